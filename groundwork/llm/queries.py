@@ -25,6 +25,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).drop("repeats_history")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import scored
+
+    return scored(_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
@@ -37,6 +43,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_spans import without_repeated_spans
+
+    return without_repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -56,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op4_best_fit_packing, op6_mixing, op9_near_dedup, op10_quality, pipeline]
+    own = [op1_exact_dedup, op3_language_model, op4_best_fit_packing, op6_mixing, op8_sentence_spans, op9_near_dedup, op10_quality, pipeline]
     return {f.__name__: f for f in own}
 
 
