@@ -43,6 +43,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentence_spans import without_repeated_spans
 
@@ -68,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op3_language_model, op4_best_fit_packing, op6_mixing, op8_sentence_spans, op9_near_dedup, op10_quality, pipeline]
+    own = [op1_exact_dedup, op3_language_model, op4_best_fit_packing, op6_mixing, op7_pii, op8_sentence_spans, op9_near_dedup, op10_quality, pipeline]
     return {f.__name__: f for f in own}
 
 

@@ -41,6 +41,13 @@ def sentences(text: str) -> np.ndarray:
     return np.array([[0, *ends[:-1]], ends]).T
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sentence spans of a text; (n, 2) runs as first and last sentence; their 64-bit hashes."""
     where = sentences(text) if text else np.empty((0, 2), np.int64)
@@ -55,8 +62,7 @@ def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1, at - MIN_SENTENCES + 1)
     ahead, back = last < n, first >= 0
     runs = np.unique(np.concatenate([np.stack([at[ahead], last[ahead]], 1), np.stack([first[back], at[back]], 1)]), axis=0)
-    power = np.cumprod(np.concatenate([[1], np.full(n - 1, _BASE, np.uint64)]).astype(np.uint64))
-    inverse = np.cumprod(np.concatenate([[1], np.full(n - 1, _INVERSE, np.uint64)]).astype(np.uint64))
+    power, inverse = _powers(_BASE, n), _powers(_INVERSE, n)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)])
     v = (prefix[runs[:, 1] + 1] - prefix[runs[:, 0]]) * inverse[runs[:, 0]]
     v = (v ^ (v >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
