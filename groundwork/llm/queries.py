@@ -25,6 +25,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).drop("repeats_history")
 
 
+def op2_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat_views import views
+
+    out = views(_table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return out.withColumn("mask", mask)
+
+
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import scored
 
@@ -37,6 +47,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixture
 
@@ -74,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op3_language_model, op4_best_fit_packing, op6_mixing, op7_pii, op8_sentence_spans, op9_near_dedup, op10_quality, pipeline]
+    own = [op1_exact_dedup, op2_chat_views, op3_language_model, op4_best_fit_packing, op5_neighbours, op6_mixing, op7_pii, op8_sentence_spans, op9_near_dedup, op10_quality, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -88,4 +104,27 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER w AS kept, text_sha256
             FROM h WINDOW w AS (PARTITION BY text_sha256)
         """,
+        "op2_chat_views": r"""
+            WITH t AS (
+                SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+                       coalesce(turn // 512, 0) AS segment
+                FROM conversations
+            ), p AS (
+                SELECT DISTINCT conv_id AS of, role AS assistant FROM t WHERE role <> 'system'
+            ), s AS (
+                SELECT *, role = assistant AS own,
+                       CASE WHEN role = 'system' THEN '<|im_start|>system' WHEN role = assistant THEN '<|im_start|>assistant'
+                            ELSE '<|im_start|>user name=' || regexp_replace(replace(role, '<|', '< |'), '\s', '_', 'g') END || chr(10) AS head
+                FROM t JOIN p ON conv_id IS NOT DISTINCT FROM of
+            ), a AS (
+                SELECT *, sum(length(head) + length(text) + 11) OVER (
+                           PARTITION BY conv_id, segment, assistant ORDER BY coalesce(turn, -4611686018427387904), role, text
+                           ROWS UNBOUNDED PRECEDING) AS after
+                FROM s
+            )
+            SELECT conv_id, segment, assistant, count(*)::INT AS n_turns, (count(*) FILTER (own))::INT AS n_trained,
+                   string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY coalesce(turn, -4611686018427387904), role, text) AS text,
+                   coalesce(string_agg((after - 11 - length(text))::BIGINT || ':' || (after - 1)::BIGINT, ',' ORDER BY after) FILTER (own), '') AS mask
+            FROM a GROUP BY conv_id, segment, assistant
+        """,
     }
