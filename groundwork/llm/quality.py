@@ -152,10 +152,15 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` rows (id, text, y) of ``labelled``, those of the smallest id hashes."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on ``docs`` (id, text) with at most ``sample_rows`` of ``labels`` (id, y), those of the smallest id hashes.
+
+    The labels chosen are at most ``sample_rows`` and so are broadcast: texts are not shuffled. Of documents that
+    repeat an id, the smallest text is used.
+    """
     order = F.xxhash64("id", F.lit(11))
-    ids = written(labelled.select("id", "y", order.alias("h")).orderBy("h", "id").limit(sample_rows).select("id", "y"), "quality-sample")
+    ids = labels.join(docs.select("id").distinct(), "id", "left_semi").withColumn("h", order).orderBy("h", "id").limit(sample_rows).select("id", "y")
+    ids = written(ids, "quality-sample")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, seen = Shapes(), np.zeros(1 << TABLE_BITS, bool)
@@ -169,7 +174,7 @@ def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         m = fit(rows, t["y"].to_numpy().astype(np.int64))
         return pa.table({"w": [m.weights.tobytes()], "r": [m.ratio.tobytes()], "b": [m.bias], "a": [m.slope], "c": [m.shift]})
 
-    sample = labelled.select("id", "text").join(ids, "id").select(F.col("y").cast("int").alias("y"), "text")
+    sample = docs.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
     sample = written(sample.mapInArrow(extract, "y int, f binary"), "quality-features")
     got = sample.groupBy(F.lit("all")).applyInArrow(fitted, "w binary, r binary, b double, a double, c double").first()
     if got is None:
@@ -189,23 +194,22 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "
     return docs.mapInArrow(add, type(docs.schema)([*docs.schema.fields]).add(score, "double"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, text, y of the rows whose labels may be used. Of repeated labels for an id, the larger counts."""
-    y = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("y"))
-    y = y.filter(~held_out(F.col("id")))
-    return docs.select(F.col("doc_id").alias("id"), "text").join(y, "id")
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """id, y of the labels that may be used. Of repeated labels for an id, the larger counts."""
+    y = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("y"))
+    return y.filter(~held_out(F.col("id")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    model = train(labelled_rows(docs, labels))
+    model = train(docs.select(F.col("doc_id").alias("id"), "text"), usable_labels(labels))
     out = with_score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
-    model = train(labelled_rows(docs, labels))
+    model = train(docs.select(F.col("doc_id").alias("id"), "text"), usable_labels(labels))
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     out = with_score(plain, model, f"c{names.index('text')}")
