@@ -12,13 +12,14 @@ packed once each; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,12 @@ CAPACITY = 1024
 END_ID = 2
 
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Texts of these characters only are split here as the tokenizer splits them; all others it splits itself.
+_USUAL = re.compile(f"[\\t\\n\\r\x20-\x7e{_LETTERS}¡¿«»–—‘’“”…]*\\Z")
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+
+
 class WordEncoder:
     """Ids of texts from the merges of a byte-level tokenizer file, one lookup per word.
 
@@ -37,29 +44,30 @@ class WordEncoder:
     batches and are kept; texts are then joined from them.
     """
 
-    KEEP = 400_000
+    KEEP = 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # words come split already
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, np.ndarray] = {}
+        self.whole, self.single = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.whole, self.single):
+            t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
         if len(known) > self.KEEP:
             known.clear()
-        split = [self.words.findall(t) for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        split = [_WORDS.findall(t) if _USUAL.match(t) else None for t in texts]
+        new = list(set(chain.from_iterable(ws for ws in split if ws)).difference(known))
+        for w, e in zip(new, self.single.encode_batch_fast(new, add_special_tokens=False)):
             known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4") for ws in split]
+        return [
+            np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if ws is None else np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
+            for t, ws in zip(texts, split)
+        ]
 
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, block int, nth bigint"
@@ -76,8 +84,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
         block, encoder, count = TaskContext.get().partitionId(), WordEncoder(tokenizer_path), defaultdict(int)
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 out: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()])):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
