@@ -1,0 +1,90 @@
+"""Pages to ordered text blocks, as a table function."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_BLOCK = {"p", "li", "td", "th", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figcaption", "summary", "caption"}
+_BREAK = _BLOCK | {"div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "dl", "table", "tr", "body", "form"}
+_SKIP = {"script", "style", "template", "noscript", "svg", "head"}
+_REGIONS = {"nav": "navigation", "footer": "footer", "header": "banner", "aside": "related-links", "main": "main", "article": "main"}
+
+
+class _Walk(HTMLParser):
+    """Text between structural tags, with the kind of the nearest block, the heading path and the region."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[tuple[str, str, int, list[str], str, list[str]]] = []
+        self.text: list[str] = []
+        self.links: list[str] = []
+        self.kinds: list[str] = []
+        self.regions: list[str] = []
+        self.path: list[tuple[int, str]] = []
+        self.skip = 0
+
+    def flush(self) -> None:
+        text, links = " ".join("".join(self.text).split()), self.links
+        self.text, self.links = [], []
+        if not text:
+            return
+        kind = self.kinds[-1] if self.kinds else "text"
+        level = int(kind[1]) if kind[0] == "h" and kind[1:].isdigit() else 0
+        if level:
+            self.path = [x for x in self.path if x[0] < level]
+        self.blocks.append((kind, text, level, [t for _, t in self.path], self.regions[-1] if self.regions else "", links))
+        if level:
+            self.path.append((level, text))
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _SKIP:
+            self.skip += 1
+        if tag in _BREAK:
+            self.flush()
+        if tag == "br":
+            self.text.append(" ")
+        if tag in _BLOCK:
+            self.kinds.append(tag)
+        if tag in _REGIONS:
+            self.regions.append(_REGIONS[tag])
+        if tag == "a":
+            self.links += [v for k, v in attrs if k == "href" and v]
+
+    def handle_endtag(self, tag):
+        if tag in _SKIP:
+            self.skip = max(0, self.skip - 1)
+        if tag in _BREAK:
+            self.flush()
+        if tag in _BLOCK and tag in self.kinds:
+            while self.kinds.pop() != tag:
+                pass
+        if tag in _REGIONS and self.regions:
+            self.regions.pop()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+
+
+_SCHEMA = "page_id bigint, block_no int, kind string, text string, level int, heading_path array<string>, region string, links array<string>"
+
+
+def blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """One row per block of every page, in order; pages that are null or have no text give none."""
+
+    def walk(batches):
+        for pdf in batches:
+            out = []
+            for pid, source in zip(pdf["page_id"], pdf["html"]):
+                w = _Walk()
+                w.feed(source or "")
+                w.close()
+                w.flush()
+                out += [(pid, i, *b) for i, b in enumerate(w.blocks, 1)]
+            yield pd.DataFrame(out, columns=["page_id", "block_no", "kind", "text", "level", "heading_path", "region", "links"])
+
+    return pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).mapInPandas(walk, _SCHEMA)
