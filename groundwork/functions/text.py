@@ -125,8 +125,12 @@ def missing_terms(terms: Column, excerpt: Column) -> Column:
 
 def question_language(text: Column, lists: dict[str, list[str]]) -> Column:
     """The language with most function words; null at a tie or without any."""
-    found = F.transform(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w)
-    counts = {k: F.size(F.filter(found, lambda w, v=v: w.isin(v))) for k, v in lists.items()}
+    found = F.split(F.lower(text), r"[^\p{L}]+")
+
+    def votes(own: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(own)))
+
+    counts = {k: votes(v) for k, v in lists.items()}
     best = F.greatest(*counts.values()) if len(counts) > 1 else next(iter(counts.values()))
     winners = F.array_compact(F.array(*(F.when(n == best, F.lit(k)) for k, n in counts.items())))
     return F.when((best > 0) & (F.size(winners) == 1), winners[0])

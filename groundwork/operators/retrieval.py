@@ -20,7 +20,8 @@ def lexical_hits(queries: DataFrame, fields: DataFrame, query: str, item: str, l
     """query, item, score, rank, share and weight of the best items.
 
     ``queries``: query, token. ``fields``: item, field, token. A token counts once per item, at its best field;
-    items must match in an anchor field; common tokens neither anchor nor score.
+    items must match in an anchor field; common tokens neither anchor nor score. Scores are rounded before they are
+    ranked, so that ties do not hang on the order of addition.
     """
     weights = F.create_map(*(F.lit(x) for kv in S.FIELD_WEIGHTS.items() for x in kv))
     best = fields.groupBy(item, "token").agg(F.max(weights[F.col("field")]).alias("field_weight"), F.bool_or(F.col("field").isin(*S.ANCHOR_FIELDS)).alias("anchor"))
@@ -31,7 +32,7 @@ def lexical_hits(queries: DataFrame, fields: DataFrame, query: str, item: str, l
     asked = useful.filter(~F.col("common")).join(F.broadcast(n)).withColumn("idf", F.coalesce("idf", F.log1p(F.col("n").cast("double"))))
     mass = asked.groupBy(query).agg(F.sum("idf").alias("mass"), F.max(F.log1p(F.col("n").cast("double"))).alias("rarest"))
     hits = asked.select(query, "token", "idf").join(best, "token")
-    scored = hits.groupBy(query, item).agg(F.sum(F.col("field_weight") * F.col("idf")).alias("score"), F.sum(F.when(F.col("anchor"), F.col("idf"))).alias("anchored"))
+    scored = hits.groupBy(query, item).agg(F.round(F.sum(F.col("field_weight") * F.col("idf")), 9).alias("score"), F.sum(F.when(F.col("anchor"), F.col("idf"))).alias("anchored"))
     scored = scored.filter(F.col("anchored").isNotNull())
     if prior is not None:
         scored = scored.join(prior, item, "left").withColumn("score", F.col("score") * F.coalesce("prior", F.lit(1.0)))
@@ -51,8 +52,8 @@ def fuse(lists: list[DataFrame], key: list[str]) -> DataFrame:
     return both.groupBy(*key).agg(F.sum("part").alias("score"))
 
 
-def cosine_top(queries: DataFrame, rows: DataFrame, on: str, query: str, item: str, limit: int = S.SEMANTIC_LIMIT) -> DataFrame:
-    """Within each ``on``, the rows of cosine at least the floor, best first."""
-    pairs = queries.join(rows, on).withColumn("cosine", S.cosine(F.col("query_vector"), F.col("vector")))
+def cosine_top(queries: DataFrame, rows: DataFrame, on: str | None, query: str, item: str, limit: int = S.SEMANTIC_LIMIT) -> DataFrame:
+    """The rows of cosine at least the floor, best first, within each ``on`` or among all."""
+    pairs = rows.join(queries, on) if on else rows.join(queries).withColumn("cosine", S.cosine(F.col("query_vector"), F.col("vector")))
     order = Window.partitionBy(query).orderBy(F.desc("cosine"), item)
     return pairs.filter(F.col("cosine") >= S.SEMANTIC_FLOOR).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(query, item, "cosine", "rank")

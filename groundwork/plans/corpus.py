@@ -117,7 +117,7 @@ def language_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rules of the example: the first path segment of a host decides
 @query(f"""
     WITH p AS (SELECT page_id, url, {_HOST} AS host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-    s AS (SELECT *, list_filter(string_split(path, '/'), x -> x <> '') AS seg FROM p),
+    s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM p),
     rules AS (
         SELECT DISTINCT host, '/' AS prefix, 'host' AS rule FROM s
         UNION ALL SELECT host, '/' || seg[1], 'section' FROM s WHERE len(seg) > 1 GROUP BY ALL HAVING count(*) >= 2

@@ -43,16 +43,17 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def repeated_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of content that several pages of a host share, counted by pages."""
+    """Sections that several pages of a host share, counted by pages."""
     hosts = table(spark, sf_dir, "pages").select("page_id", I.host_of(F.col("url")).alias("host"))
-    s = sections(_blocks(spark, sf_dir)).filter("content").select("page_id", F.sha2("text", 256).alias("text_sha256"))
+    s = sections(_blocks(spark, sf_dir)).select("page_id", F.sha2("text", 256).alias("text_sha256"))
     return R.repeated_texts(s.join(hosts, "page_id"), "host", "page_id", "text_sha256")
 
 
 @query()
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses linked from content, with the pages that link them; the first 50 of each host by count."""
-    links = _blocks(spark, sf_dir).filter(~F.col("region").isin(*FURNITURE)).select("page_id", F.explode("links").alias("href"))
-    n = links.groupBy(I.host_of(F.col("href")).alias("host"), "href").agg(F.countDistinct("page_id").alias("pages"))
+    """Links of each host's pages, by the pages that have them; the first 50 of a host."""
+    hosts = table(spark, sf_dir, "pages").select("page_id", I.host_of(F.col("url")).alias("host"))
+    links = _blocks(spark, sf_dir).select("page_id", F.explode("links").alias("href")).join(hosts, "page_id")
+    n = links.groupBy("host", "href").agg(F.countDistinct("page_id").alias("pages"))
     order = Window.partitionBy("host").orderBy(F.desc("pages"), "href")
     return n.withColumn("rank", F.row_number().over(order)).filter("rank <= 50")

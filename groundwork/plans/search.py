@@ -13,9 +13,9 @@ from .registry import query, table
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TOKENS = (
-    "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), w -> w NOT IN ("
+    "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: w NOT IN ("
     + _STOP
-    + ")), w -> left(replace(replace(replace(w, 'ae', 'a'), 'oe', 'o'), 'ue', 'u'), 6)))"
+    + ")), lambda w: left(replace(replace(replace(w, 'ae', 'a'), 'oe', 'o'), 'ue', 'u'), 6)))"
 )
 
 
@@ -53,7 +53,7 @@ _HITS = f"""
     ), mass AS (SELECT item_id, sum(idf) AS mass, max(rarest) AS rarest FROM asked GROUP BY ALL),
     best AS (SELECT doc_id, token, max(CASE field WHEN 'label' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS w, bool_or(field = 'label') AS anchor FROM fields GROUP BY ALL),
     scored AS (
-        SELECT item_id, doc_id, sum(w * idf) AS score, sum(idf) FILTER (anchor) AS anchored
+        SELECT item_id, doc_id, round(sum(w * idf), 9) AS score, sum(idf) FILTER (anchor) AS anchored
         FROM asked JOIN best USING (token) GROUP BY ALL HAVING anchored IS NOT NULL
     ), top AS (
         SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 3
@@ -91,30 +91,24 @@ def match_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("item_id", F.round("share", 4).alias("share"), F.round("weight", 4).alias("weight"), S.verdict(F.col("share"), F.col("weight"), none).alias("verdict"))
 
 
-_CENTRES = """
-    long AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-    centre AS (SELECT label, i, avg(x) AS c FROM long GROUP BY ALL),
-    scored AS (
-        SELECT label, vec_id, sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))) AS cosine
-        FROM long JOIN centre USING (label, i) GROUP BY ALL
-    ), near AS (
-        SELECT *, row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) AS rank FROM scored WHERE cosine >= 0.5
-        QUALIFY rank <= 10
-    )
+_NEAR = """
+    q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings ORDER BY vec_id LIMIT 16),
+    long AS (SELECT query_id, vec_id, unnest(e)::DOUBLE AS x, unnest(embedding)::DOUBLE AS y FROM embeddings, q),
+    scored AS (SELECT query_id, vec_id, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS cosine FROM long GROUP BY ALL)
 """
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
-    # a mean per label and place is aggregated within tasks first, so a hot label costs nothing more
-    parts = rows.select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
-    centre = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("p")).select("label", F.col("p.c").alias("query_vector"))
-    return R.cosine_top(centre, rows, "label", "label", "vec_id")
-
-
-@query(f"WITH {_CENTRES} SELECT label, vec_id, round(cosine, 6) AS cosine, rank::INT AS rank FROM near")
+@query(f"""
+    WITH {_NEAR}
+    SELECT query_id, vec_id, round(cosine, 6) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)::INT AS rank
+    FROM scored WHERE cosine >= 0.5 QUALIFY rank <= 10
+""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir).select("label", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
+    """The stored vectors of the 16 smallest ids against all rows: a query set of fixed size, so it is broadcast."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = rows.orderBy("vec_id").limit(16).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    out = R.cosine_top(F.broadcast(asked), rows, None, "query_id", "vec_id")
+    return out.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 @query("""
@@ -172,9 +166,9 @@ LANGUAGES = {"en": ["the", "of", "and", "to", "is", "what", "how", "which"], "de
 
 
 @query("""
-    WITH w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), x -> true) AS words FROM documents),
-    c AS (SELECT lang, len(list_filter(words, x -> x IN ('the','of','and','to','is','what','how','which'))) AS en,
-                 len(list_filter(words, x -> x IN ('der','die','und','das','ist','wie','was','welche'))) AS de FROM w)
+    WITH w AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}]+'), lambda x: true) AS words FROM documents),
+    c AS (SELECT lang, len(list_filter(words, lambda x: x IN ('the','of','and','to','is','what','how','which'))) AS en,
+                 len(list_filter(words, lambda x: x IN ('der','die','und','das','ist','wie','was','welche'))) AS de FROM w)
     SELECT lang, CASE WHEN en > de THEN 'en' WHEN de > en THEN 'de' END AS voted, count(*) AS documents FROM c GROUP BY ALL
 """)
 def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
