@@ -33,7 +33,7 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 PERCENT = 75  # of the union, at least
 #: Hashed counters that order shingles by rarity; any order is exact, a good one is fast.
-RARITY_BITS = 20
+RARITY_BITS = 16
 
 
 class WordHashes(dict):
@@ -150,8 +150,8 @@ def _rarity(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
     out = np.zeros(1 << RARITY_BITS, np.int64)
-    got = sets.select("set").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    got = sets.select("set").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
