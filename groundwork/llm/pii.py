@@ -187,9 +187,9 @@ def trained(fields: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    got = fields.select("nodes").filter("nodes is not null").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = fields.select("nodes").filter("nodes is not null").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size)
-    total[got["at"]] = got["n"]
+    total[got["at"].to_numpy()] = got["n"].to_numpy()
     return potentials(total)
 
 
