@@ -6,6 +6,7 @@ lost, is written as Parquet below the folder named by ``spark.checkpoint.dir``,
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,9 +35,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and plans of steps that nothing refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which a driver with little to do may put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the scratch table behind ``df``, once all that was read from it has been written."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
