@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import corpus, pages, search, service  # noqa: F401  registering their queries
+from .plans import corpus, curation, pages, search, service  # noqa: F401  registering their queries
 from .plans.registry import QUERIES, SQL, Query
 
 
