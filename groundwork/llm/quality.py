@@ -45,15 +45,18 @@ class Shapes(dict):
             self.clear()
         core = word.strip(".,;:!?\"'()")
         end = word[-1]
-        marks = sum(not c.isalnum() for c in word)
-        code = min(len(core), 12) | (word[:1].isupper() << 4) | ((len(core) > 1 and core.isupper()) << 5) | (any(c.isdigit() for c in word) << 6)
+        if core.isalpha():
+            marks, digit = len(word) - len(core), False
+        else:
+            marks, digit = sum(not c.isalnum() for c in word), any(c.isdigit() for c in word)
+        code = min(len(core), 12) | (word[:1].isupper() << 4) | ((len(core) > 1 and core.isupper()) << 5) | (digit << 6)
         code |= (0 if end.isalnum() else ".,!?;:|#%&$*-".find(end) + 2) << 7
         self[word] = code = code | (min(marks, 5) << 12)
         return code
 
 
-def features(text: str | None, shapes: Shapes, seen: np.ndarray) -> np.ndarray:
-    """Sorted distinct feature numbers of a whole text. ``seen``: a boolean table that is clean before and after."""
+def features(text: str | None, shapes: Shapes, last: np.ndarray) -> np.ndarray:
+    """Distinct feature numbers of a whole text. ``last``: an int32 table for the place where each was met last."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
     parts = []
     for seed, grams in ((1, 1), (2, 2), (3, 3)):
@@ -67,21 +70,21 @@ def features(text: str | None, shapes: Shapes, seen: np.ndarray) -> np.ndarray:
         codes = np.fromiter(map(shapes.__getitem__, words), np.uint32, len(words))
         same = np.fromiter(map(str.__eq__, words[1:], words), bool, len(words) - 1)
         codes[1:][same] |= np.uint32(1 << 16)
-        first: dict[str, int] = {}
-        again = np.fromiter((first.setdefault(w, i) != i for i, w in enumerate(words)), bool, len(words))
         # how much of the text repeats earlier words, in sixteenths
-        parts.append(_mix(np.array([int(again.mean() * 16) + 77_000], np.uint32) * np.uint32(0x85EBCA6B)))
+        again = (len(words) - len(set(words))) / len(words)
+        parts.append(_mix(np.array([int(again * 16) + 77_000], np.uint32) * np.uint32(0x85EBCA6B)))
         for grams in (1, 2, 3):
             if len(codes) >= grams:
                 h = codes[: len(codes) - grams + 1] + np.uint32(500_000 * grams)
                 for k in range(1, grams):
                     h = h * np.uint32(0xC2B2AE35) + codes[k : len(codes) - grams + 1 + k]
                 parts.append(_mix(h * np.uint32(0x27D4EB2F)))
-    for p in parts:
-        seen[p] = True
-    out = np.flatnonzero(seen).astype(np.int32)
-    seen[out] = False
-    return out
+    if not parts:
+        return np.empty(0, np.int32)
+    every = np.concatenate(parts)
+    at = np.arange(len(every), dtype=np.int32)
+    last[every] = at
+    return every[last[every] == at].astype(np.int32)
 
 
 @dataclass
@@ -163,11 +166,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     ids = written(ids, "quality-sample")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, seen = Shapes(), np.zeros(1 << TABLE_BITS, bool)
+        shapes, last = Shapes(), np.zeros(1 << TABLE_BITS, np.int32)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 c = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([c.column("y"), pa.array([features(t, shapes, seen).tobytes() for t in c.column("text").to_pylist()], pa.binary())], ["y", "f"])
+                yield pa.RecordBatch.from_arrays([c.column("y"), pa.array([features(t, shapes, last).tobytes() for t in c.column("text").to_pylist()], pa.binary())], ["y", "f"])
 
     def fitted(t: pa.Table) -> pa.Table:
         rows = [np.frombuffer(x, np.int32) for x in t["f"].to_pylist()]
@@ -186,9 +189,9 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "
     """``docs`` with the score of every whole text."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes, seen = Shapes(), np.zeros(1 << TABLE_BITS, bool)
+        shapes, last = Shapes(), np.zeros(1 << TABLE_BITS, np.int32)
         for b in batches:
-            margins = np.array([model.margin(features(t, shapes, seen)) for t in b.column(b.schema.get_field_index(text)).to_pylist()], np.float64)
+            margins = np.array([model.margin(features(t, shapes, last)) for t in b.column(b.schema.get_field_index(text)).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(margins), pa.float64())], [*b.schema.names, score])
 
     return docs.mapInArrow(add, type(docs.schema)([*docs.schema.fields]).add(score, "double"))
