@@ -1,0 +1,30 @@
+"""Chunks of evidence spans for a model's context: greedy, in order, with a size limit and an overlap."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: A span costs its text and this much for its frame.
+SPAN_FRAME = 32
+
+
+def packed_chunks(spans: DataFrame, item: str, order: str, length: str, most: int = 6400) -> DataFrame:
+    """``spans`` with the number of their chunk: a new one begins where the next span would exceed ``most``.
+
+    Each item is one group of a bounded size, its own spans; items are spread over tasks.
+    """
+    schema = f"{item} {dict(spans.dtypes)[item]}, {order} {dict(spans.dtypes)[order]}, {length} {dict(spans.dtypes)[length]}, chunk int"
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        chunk, used, out = 1, 0, []
+        for n in group[length]:
+            cost = int(n) + SPAN_FRAME
+            if used and used + cost > most:
+                chunk, used = chunk + 1, 0
+            used += cost
+            out.append(chunk)
+        return group.assign(chunk=out)[[item, order, length, "chunk"]]
+
+    return spans.select(item, order, length).groupBy(item).applyInPandas(pack, schema)
