@@ -33,7 +33,7 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 PERCENT = 75  # of the union, at least
 #: Hashed counters that order shingles by rarity; any order is exact, a good one is fast.
-RARITY_BITS = 16
+RARITY_BITS = 20
 
 
 class WordHashes(dict):
@@ -149,9 +149,9 @@ def _rarity(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    out = np.zeros(1 << RARITY_BITS, np.int64)
+    out = np.zeros(1 << RARITY_BITS, np.int32)
     got = sets.select("set").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    out[got["at"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
     return out
 
 
