@@ -131,13 +131,23 @@ def nearest(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
             lists = q["codes"].combine_chunks()
             probed[np.repeat(np.arange(len(reps)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy() % GROUP] = True
             found = []
-            for i in range(0, len(reps), 512):
-                score = np.where(probed[i : i + 512][:, codes], y[i : i + 512] @ x.T, -np.inf)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, : k + 1]
-                best = np.take_along_axis(score, order, 1)
-                at, col = np.nonzero(best > -np.inf)
-                found.append((reps[i : i + 512][at], ids[order[at, col]], best[at, col]))
-            out = [np.concatenate(c) for c in zip(*found)]
+            for c in range(GROUP):
+                asks, has = np.flatnonzero(probed[:, c]), np.flatnonzero(codes == c)
+                if not len(has):
+                    continue
+                for i in range(0, len(asks), 512):
+                    score = y[asks[i : i + 512]] @ x[has].T
+                    rest = max(0, score.shape[1] - (k + 1))
+                    least = np.partition(score, rest, axis=1)[:, rest]  # of the best k + 1
+                    at, col = np.nonzero(score >= least[:, None])
+                    found.append((asks[i + at], has[col], score[at, col]))
+            if found:
+                q_at, d_at, score = (np.concatenate(f) for f in zip(*found))
+                order = np.lexsort((ids[d_at], -score, q_at))
+                q_at, d_at, score = q_at[order], d_at[order], score[order]
+                first = np.searchsorted(q_at, q_at)
+                best = np.arange(len(q_at)) - first <= k
+                out = [reps[q_at[best]], ids[d_at[best]], score[best]]
         return pa.table({"rep": pa.array(out[0], pa.int64()), "near": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     key = ["table", "shelf", "part"]
