@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from helpers import awkward, empty, words
+from pyspark.sql import functions as F
 
 from groundwork.llm import language_model, pii, quality
 
@@ -63,6 +64,18 @@ def test_seating_follows_the_restaurant():
     assert abs(tables.mean() - want.mean()) < 0.05
 
 
+def test_rare_words_are_contexts(spark):
+    """Every word is below 1/4000 of the tokens; what follows it must count all the same."""
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(held[0], "a17 b17"), (held[1], "a17 b18")]
+    learnt = [i for i in range(1000, 40000) if zlib.crc32(str(i).encode()) % 7 != 2][:18000]
+    rows += [(i, f"a{k % 6000} b{k % 6000}") for k, i in enumerate(learnt)]
+    got = {r.doc_id: r for r in language_model.scored(spark.createDataFrame(rows, "doc_id long, text string")).filter(F.col("doc_id").isin(held)).collect()}
+    seen, other = got[held[0]], got[held[1]]
+    assert seen.held_out and other.held_out and seen.base_score == other.base_score
+    assert seen.score > other.score + 1
+
+
 def test_lm_awkward(spark):
     docs = awkward(spark)
     got = language_model.scored(docs).collect()
