@@ -2,9 +2,11 @@
 
 Base spans come from fixed patterns. Nodes of the field are the base spans and all other chunks of a text that
 hold a digit or an at sign (every other chunk has the label "none" by its shape). Neighbouring nodes are linked
-in a chain; nodes with the same digits, the same last digits or the same name before an at sign are linked by
-skip edges, each to the one before it. Loopy message passing over whole documents gives label marginals; a chunk
-whose marginal for a kind exceeds one half is added as a span of that kind. Base spans always stay.
+in a chain; nodes with the same digits, the same last digits, the same four short numbers or the same name before
+an at sign are linked by skip edges: each repeat to the first base span of every kind among them, or, where none is
+a base span, to the one before it. Loopy message passing over whole documents gives label marginals; a chunk whose
+marginal for a kind exceeds one half is added as a span of that kind. Base spans always stay: they send their label
+and take no messages.
 
 Potentials are trained piecewise on all documents: shape against label for nodes, label against label for the
 chain, agreement of repeated surfaces for skip edges.
@@ -30,7 +32,7 @@ from .scratch import written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0 is none
-ROUNDS, DAMPING = 10, 0.3
+DAMPING, CLOSE, MOST_ROUNDS = 0.3, 1e-6, 500  # messages pass until they are this close
 UNARY_LIMIT, CHAIN_LIMIT, SKIP_LIMIT, EVIDENCE = 3.0, 1.0, 4.0, 8.0
 
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -94,6 +96,9 @@ def _keys(chunk: str, digits: str) -> tuple[int, int]:
         return xxhash.xxh3_64_intdigest("@" + name), 0
     if len(digits) >= 7:
         return xxhash.xxh3_64_intdigest(digits), xxhash.xxh3_64_intdigest("~" + digits[-8:]) if len(digits) >= 9 else 0
+    parts = _NOT_DIGIT.sub(".", chunk).strip(".").split(".")
+    if len(parts) == 4 and all(int(p) <= 255 for p in parts):  # an address of few digits
+        return xxhash.xxh3_64_intdigest("." + ".".join(parts)), 0
     return 0, 0
 
 
@@ -159,7 +164,7 @@ class Graph:
         same = self.doc[1:] == self.doc[:-1]
         at = np.flatnonzero(same)
         self.chain = np.stack([at, at + 1], 1)
-        self.skip = np.unique(np.concatenate([self._repeats(keys[:, 0]), self._repeats(keys[:, 1])]), axis=0)
+        self.skip = np.unique(np.concatenate([self._links(keys[:, 0]), self._links(keys[:, 1])]), axis=0)
         self.equal = self._repeats(keys[:, 0])
 
     def _repeats(self, key: np.ndarray) -> np.ndarray:
@@ -169,6 +174,27 @@ class Graph:
         near = (key[order][1:] == key[order][:-1]) & (self.doc[order][1:] == self.doc[order][:-1])
         return np.stack([order[:-1][near], order[1:][near]], 1) if len(order) else np.empty((0, 2), np.int64)
 
+    def _links(self, key: np.ndarray) -> np.ndarray:
+        """Each node with a key that is no base span, and the first base span of each kind in its document with the same; without any, the node before it."""
+        at = np.flatnonzero(key)
+        order = at[np.lexsort((at, key[at], self.doc[at]))]
+        if not len(order):
+            return np.empty((0, 2), np.int64)
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (self.doc[order][1:] != self.doc[order][:-1])
+        group, label = np.cumsum(new) - 1, self.label[order]
+        based = np.bincount(group, label > 0) > 0
+        out = []
+        for kind in range(1, LABELS):
+            of, first = np.unique(group[label == kind], return_index=True)
+            base = np.full(len(based), -1)
+            base[of] = order[label == kind][first]
+            repeat = (label == 0) & (base[group] >= 0)
+            out.append(np.stack([base[group[repeat]], order[repeat]], 1))
+        near = ~new[1:] & ~based[group[1:]]
+        out.append(np.stack([order[:-1][near], order[1:][near]], 1))
+        return np.concatenate(out)
+
 
 _CHAIN_AT, _SKIP_AT = 4096 * LABELS, 4096 * LABELS + LABELS * LABELS
 
@@ -219,16 +245,19 @@ def marginals(g: Graph, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray)
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
         message = np.zeros((2 * n, LABELS))
-        for _ in range(ROUNDS):
+        fixed = known[a]
+        for _ in range(MOST_ROUNDS):
             belief = local.copy()
             np.add.at(belief, b, message)
-            rest = belief[a] - message[back]
+            rest = np.where(fixed[:, None], local[a], belief[a] - message[back])
             rest = rest[:, :, None] + table
             top = rest.max(1, keepdims=True)
             new = np.log(np.exp(rest - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            message = DAMPING * message + (1 - DAMPING) * new
-        np.add.at(local, b, message)
+            before, message = message, DAMPING * message + (1 - DAMPING) * new
+            if np.abs(message - before).max() < CLOSE:
+                break
+        np.add.at(local, b, np.where(known[b][:, None], 0.0, message))
     local = np.exp(local - local.max(1, keepdims=True)) if len(local) else local
     return local / local.sum(1, keepdims=True) if len(local) else local
 

@@ -174,6 +174,20 @@ def test_repeats_take_the_label(spark):
     assert all(got[i].n_added == 0 and got[i].spans == "" for i in range(10, 40))
 
 
+@pytest.mark.parametrize("n", [2, 5, 50])
+def test_every_repeat_hears_the_base_span(n):
+    """By the limits of the potentials: shapes that vote none, the largest skip weight, no chain."""
+    unary = np.zeros((4096, pii.LABELS))
+    unary[:, 1:] = -pii.UNARY_LIMIT
+    chain, skip = np.zeros((pii.LABELS, pii.LABELS)), pii.SKIP_LIMIT * np.eye(pii.LABELS)
+    for kind, first, again in ((4, "+1 (555) 123-4567", "555-123-4567"), (2, "10.0.0.1", "10-0-0-1")):
+        text = f"call {first} or " + " or ".join([again] * n)
+        found = pii.nodes(text, pii.base_spans(text))
+        g = pii.Graph([pii.pack(np.array([x[:4] for x in found], "<i4").reshape(-1), np.array([x[4:] for x in found], np.uint64).reshape(-1))])
+        p = pii.marginals(g, unary, chain, skip)
+        assert len(p) == n + 1 and (p[:, kind] > 0.5).all()
+
+
 def test_pii_awkward(spark):
     got = pii.personal_data(awkward(spark)).collect()
     assert len(got) == awkward(spark).count()
