@@ -1,15 +1,17 @@
 """Substring deduplication over sliding sentence spans.
 
 Every run of consecutive sentences, the shortest from each sentence on and the shortest up to each sentence that
-have at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words, is hashed. Hashes meet in hash ranges over
+have at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words, is hashed, and so is every single sentence of at
+least ``LONG_WORDS`` words. Hashes meet in hash ranges over
 the whole corpus, one entry per block of documents and hash. The first place of a repeated span is the one with
 the smallest document id, then the first position; sentences covered by any other place of it are removed.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space, or at a line end; they are compared by their words, A-Z
+Sentences end at ``.``, ``!`` or ``?`` before white space, at other scripts' full stops and marks, or at a line
+end; a Chinese or Japanese character counts as a word of its own. Sentences are compared by their words, A-Z
 lower-cased. Removal takes the white space that follows a sentence along.
 
 Defined results: null and empty texts have no sentences and give an empty text; null ids come last in the order;
-rows that repeat lose all spans but the first row's; an empty table gives no rows.
+rows that repeat lose all spans but the first row's, if they have a run or a sentence that is long enough; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 from .blocks import blocks_of, pack, shard_bounds, unpack
 from .scratch import shards, written
 
-MIN_SENTENCES, MIN_WORDS = 2, 20
-_END = re.compile(r"[.!?]+\s+|\n\s*")
+MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 50
+_END = re.compile(r"[.!?]+\s+|[。｡．！？।॥؟۔]+\s*|\n\s*")
+_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LAST = np.iinfo(np.int64).max
@@ -48,20 +51,29 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _size(sentence: str, words: list[bytes]) -> int:
+    """Words between white space and wide characters."""
+    if sentence.isascii():
+        return len(words)
+    rest, wide = _WIDE.subn(" ", sentence)
+    return wide + len(rest.split()) if wide else len(words)
+
+
 def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sentence spans of a text; (n, 2) runs as first and last sentence; their 64-bit hashes."""
     where = sentences(text) if text else np.empty((0, 2), np.int64)
     n = len(where)
-    if n < MIN_SENTENCES:
+    if not n:
         return where, np.empty((0, 2), np.int64), np.empty(0, np.uint64)
     words = [text[i:j].encode("utf-8", "surrogatepass").lower().split() for i, j in where.tolist()]
     h = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, n)
-    total = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    total = np.concatenate([[0], np.cumsum([_size(text[i:j], w) for (i, j), w in zip(where.tolist(), words)])])
     at = np.arange(n)
     last = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS) - 1, at + MIN_SENTENCES - 1)
     first = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1, at - MIN_SENTENCES + 1)
     ahead, back = last < n, first >= 0
-    runs = np.unique(np.concatenate([np.stack([at[ahead], last[ahead]], 1), np.stack([first[back], at[back]], 1)]), axis=0)
+    long = at[np.diff(total) >= LONG_WORDS]
+    runs = np.unique(np.concatenate([np.stack([at[ahead], last[ahead]], 1), np.stack([first[back], at[back]], 1), np.stack([long, long], 1)]), axis=0)
     power, inverse = _powers(_BASE, n), _powers(_INVERSE, n)
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)])
     v = (prefix[runs[:, 1] + 1] - prefix[runs[:, 0]]) * inverse[runs[:, 0]]

@@ -135,3 +135,12 @@ def test_planted_passage(spark):
     for i in range(1, 5):
         assert got[i].text == f"Opening line number {i} of its own kind. Closing words of document {i} alone."
     assert sentence_spans.without_repeated_spans(empty(spark)).count() == 0
+
+
+def test_long_single_sentences(spark):
+    """A repeated sentence of 50 words goes alone; one of 49 stays; wide characters are words."""
+    long, short = (" ".join(f"w{k}" for k in range(n)) + ". " for n in (50, 49))
+    wide = "".join(chr(0x4E00 + k) for k in range(60)) + "。"
+    rows = [(1, long), (2, long), (3, "First here. " + long + "Then this."), (4, short), (5, short), (6, wide), (7, "前。" + wide + "後。")]
+    got = {r.doc_id: r.text for r in sentence_spans.without_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: long, 2: "", 3: "First here. Then this.", 4: short, 5: short, 6: wide, 7: "前。後。"}
