@@ -25,15 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import pack, shard_bounds, unpack
 from .graphs import components
-from .joins import join_groups
-from .scratch import written
+from .joins import join_dealt, join_groups
+from .scratch import discard, release, written
 
 WORDS = 5
 BANDS, ROWS = 32, 4
 PERCENT = 75  # of the union, at least
-#: Hashed counters that order shingles by rarity; any order is exact, a good one is fast.
-RARITY_BITS = 20
+#: Sets of a block and, about, shingles of a hash range when shingles are counted.
+BLOCK_SETS, RANGE_SHINGLES = 2048, 4_000_000
 
 
 class WordHashes(dict):
@@ -138,45 +139,74 @@ def _linked(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("both", both).filter(100 * F.col("both") >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
 
 
-def _rarity(sets: DataFrame) -> np.ndarray:
-    """Counts of hashed shingles over all of ``sets``: a table of fixed size."""
+_APART = "uid bigint, n bigint, component bigint, members bigint"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
-        for b in batches:
-            flat = b.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            total += np.bincount((flat >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    out = np.zeros(1 << RARITY_BITS, np.int32)
-    got = sets.select("set").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out[got["at"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
-    return out
 
+def _blocks(sets: DataFrame, n: int) -> DataFrame:
+    """Blocks of sets (packed), and for each block and hash range the block's distinct shingles with their counts."""
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """The rarest shingles of each set, as many as a link can need, with their place in that order."""
-    rarity = _rarity(sets)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
         for b in batches:
-            values, offsets = b.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64), b.column("set").offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            tokens, of, place = [], [], []
-            for i in range(b.num_rows):
-                s = values[offsets[i] : offsets[i + 1]]
-                need = len(s) - -(-PERCENT * len(s) // 100) + 1
-                order = np.lexsort((s, rarity[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))[:need]
-                tokens.append(s[order]), of.append(np.full(len(order), i)), place.append(np.arange(len(order)))
-            if tokens:
-                take = pa.array(np.concatenate(of))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), *(b.column(c).take(take) for c in ("uid", "n", "component", "members")), pa.array(np.concatenate(place))],
-                    ["token", "uid", "n", "component", "members", "place"],
-                )
+            for i in range(0, b.num_rows, BLOCK_SETS):
+                part = b.slice(i, BLOCK_SETS)
+                flat, lengths = part.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(part.column("set").offsets.to_numpy())
+                distinct, count = np.unique(flat, return_counts=True)
+                edge = shard_bounds(distinct, n)
+                kept = [k for k in range(n) if edge[k + 1] > edge[k]]
+                own = pack(*(np.array(part.column(c).to_pylist(), "<i8") for c in ("uid", "n", "component", "members")), lengths.astype("<u4"), flat)
+                rows = {
+                    "block": [number] * (1 + len(kept)), "range": [None, *kept], "sets": [own] + [None] * len(kept),
+                    "entries": [None, *(pack(distinct[edge[k] : edge[k + 1]], count[edge[k] : edge[k + 1]].astype("<u4")) for k in kept)],
+                }
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(rows.values(), kinds)], list(rows))
+                number += 1
+
+    return sets.select("uid", "n", "component", "members", "set").mapInArrow(deal, "block bigint, range bigint, sets binary, entries binary")
+
+
+def _counted(entries: DataFrame) -> DataFrame:
+    """By block and range: how many sets of all blocks hold each of the block's shingles."""
 
-    return sets.select("set", "uid", "n", "component", "members").mapInArrow(cut, "token bigint, uid bigint, n bigint, component bigint, members bigint, place bigint")
+    def count(t: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in t["entries"].to_pylist()]
+        distinct, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(of, np.concatenate([p[1] for p in parts]), len(distinct)).astype("<u4")
+        cut = np.cumsum([0, *(len(p[0]) for p in parts)])
+        return pa.table({"block": t["block"], "range": t["range"], "held": pa.array([pack(total[of[i:j]]) for i, j in zip(cut, cut[1:])], pa.binary())})
+
+    return entries.groupBy("range").applyInArrow(count, "block bigint, range bigint, held binary")
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """The rarest shingles of each set, as many as a link can need, with their place in that order.
+
+    The order is by the exact number of sets that hold a shingle. Shingles of one set only take their places, but
+    have no partner and so no row.
+    """
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    blocks = written(_blocks(sets, max(1, -(-total // RANGE_SHINGLES))), "near-blocks")
+    counts = _counted(blocks.filter("entries is not null").select("block", "range", "entries"))
+
+    def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        *columns, lengths, flat = unpack(left["sets"][0].as_py())
+        held = np.concatenate([unpack(x)[0] for _, x in sorted(zip(right["range"].to_pylist(), right["held"].to_pylist()))])
+        of = np.repeat(np.arange(len(lengths)), lengths)
+        rarity = held[np.searchsorted(np.unique(flat), flat)]
+        order = np.lexsort((flat, rarity, of))
+        starts = np.cumsum(lengths, dtype=np.int64) - lengths
+        place = np.arange(len(flat)) - starts[of]
+        need = lengths.astype(np.int64) - -(-PERCENT * lengths.astype(np.int64) // 100) + 1
+        take = order[(place < need[of]) & (rarity[order] > 1)]
+        place = place[(place < need[of]) & (rarity[order] > 1)]
+        rows = {"token": flat[take].view(np.int64), **{c: v[of[take]] for c, v in zip(("uid", "n", "component", "members"), columns)}, "place": place}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in rows.items()})
+
+    left = blocks.filter("sets is not null").select("block", "sets")
+    return left.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(cut, f"token bigint, {_APART}, place bigint")
 
 
 def _size_class(n):
@@ -186,23 +216,30 @@ def _size_class(n):
 def _cross_pairs(sets: DataFrame) -> DataFrame:
     """Pairs a, b of different components that could be similar enough.
 
-    ``sets``: uid, n, set, component, members. Of each shingle's list, all but the rows of its largest component
-    look for partners, in the size classes that their place in the order leaves possible.
+    ``sets``: uid, n, set, component, members. The first common shingle of a linked pair is among the first
+    quarter of the larger set and, since the overlap is at least 6/7 of the smaller one, among the first seventh of
+    the smaller set. Of each shingle's list, the rows of its largest component do not meet each other.
     """
     prefix = written(_prefixes(sets), "near-prefixes")
-    lists = prefix.groupBy("token").agg(F.max(F.struct("members", "component")).alias("big"), F.min("component").alias("low"), F.max("component").alias("high"))
-    lists = lists.filter("low < high").select("token", F.col("big.component").alias("big"))
-    rows = written(prefix.join(lists, "token"), "near-lists")
+    lists = prefix.groupBy("token").agg(F.max(F.struct("members", "component")).alias("big"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held"))
+    lists = lists.filter("low < high").select("token", F.col("big.component").alias("big"), "held")
+    rows = written(join_groups(prefix, lists, "token", "held", prefix.count()).withColumn("other", F.col("component") != F.col("big")), "near-lists")
     part = 100 + PERCENT
-    most = F.floor((part * (F.col("n") - F.col("place")) - PERCENT * F.col("n")) / F.lit(PERCENT))  # overlap >= PERCENT / part * (n + partner)
-    low, high = F.ceil(F.col("n") * PERCENT / 100), F.least(most, F.floor(F.col("n") * 100 / PERCENT))
-    asks = rows.filter(F.col("component") != F.col("big")).withColumns({"low": low, "high": high}).filter("low <= high")
-    asks = asks.withColumn("class", F.explode(F.sequence(_size_class(F.col("low")) - 1, _size_class(F.col("high")) + 1))).alias("x")
-    held = rows.withColumn("class", _size_class(F.col("n"))).alias("y")
+    n, place = F.col("n"), F.col("place")
+    large = rows.withColumn("most", F.least(n, F.floor((part * (n - place) - PERCENT * n) / F.lit(PERCENT)))).withColumn("low", F.ceil(n * PERCENT / 100)).filter("low <= most")
+    small = rows.filter(part * (n - place) >= 2 * PERCENT * n)
+    ask = lambda x: x.withColumn("class", F.explode(F.sequence(_size_class(F.col("low")) - 1, _size_class(F.col("most")) + 1)))
+    small = small.withColumn("class", _size_class(n))
+    found = _met(ask(large.filter("other")), small).unionAll(_met(ask(large.filter("not other")), small.filter("other")))
+    return found.distinct()
+
+
+def _met(large: DataFrame, small: DataFrame) -> DataFrame:
+    x, y = large.alias("x"), small.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     reach = F.least(n - F.col("x.place"), m - F.col("y.place"))
-    fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & (part * reach >= PERCENT * (n + m)) & m.between(F.col("x.low"), F.col("x.high"))
-    return asks.join(held, fits).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct()
+    fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & ((100 + PERCENT) * reach >= PERCENT * (n + m)) & m.between(F.col("x.low"), F.col("x.most"))
+    return x.join(y, fits).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -216,40 +253,56 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # Buckets that nodes share, and in each the node that shares most
     bands = sets.select("uid", F.explode("bands").alias("bucket"))
+    n_bands = BANDS * sets.count()
     shared = bands.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
-    bucketed = written(bands.join(shared, "bucket"), "near-buckets")
+    bucketed = written(join_groups(bands, shared, "bucket", "held", n_bands), "near-buckets")
     central = bucketed.groupBy("uid").agg(F.sum("held").alias("weight"))
     weighed = bucketed.join(central, "uid")
-    hub = weighed.groupBy("bucket").agg(F.max_by("uid", F.struct("weight", -F.col("uid"))).alias("hub"))
-    stars = written(bucketed.join(hub, "bucket").select("uid", "hub").distinct(), "near-stars")
+    hub = weighed.groupBy("bucket").agg(F.max_by("uid", F.struct("weight", -F.col("uid"))).alias("hub"), F.max("held").alias("size"))
+    stars = written(join_groups(bucketed, hub, "bucket", "size", n_bands).select("uid", "hub").distinct(), "near-stars")
+    release(rows.sparkSession)
     hubs = stars.groupBy("uid").agg(F.collect_set("hub").alias("hubs"))  # at most one for each band
 
     # Full sets of the nodes that share a bucket
     asked = sets.join(hubs, "uid").select("row_key", "set_key", "uid", "n", "hubs")
     full = with_sets(rows.join(asked, "row_key").select("text", "set_key", "uid", "n", "hubs"), "uid", "n", "hubs")
     full = written(full, "near-full")
-    lone = stars.filter("uid <> hub").select(F.col("hub").alias("uid")).distinct()
-    centre = full.join(lone, "uid", "left_semi").select(F.col("uid").alias("b"), F.col("set").alias("set_b"))
+    release(rows.sparkSession)
+    away = stars.filter("uid <> hub")
+    centre = full.join(away.select(F.col("hub").alias("uid")).distinct(), "uid", "left_semi").select(F.col("uid").alias("b"), F.col("set").alias("set_b"))
     spokes = full.select(F.col("uid").alias("a"), F.col("set").alias("set_a"), F.explode("hubs").alias("b")).filter("a <> b")
-    links = written(_linked(spokes.join(centre, "b")).distinct(), "near-links")
+    links = written(_linked(join_dealt(spokes, centre, "b", "a", away.count())).distinct(), "near-links")
 
     # What the stars left apart within a bucket
     found = components(links)
     named = bucketed.select("uid").distinct().join(found, F.col("uid") == F.col("node"), "left").select("uid", F.coalesce("component", "uid").alias("component"))
     named = written(named, "near-named")
-    split = bucketed.join(named, "uid").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    open_ = bucketed.join(split, "bucket", "left_semi").select("uid").distinct()
+    n_named = named.count()
+    split = bucketed.join(named, "uid").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("held").alias("size")).filter("low < high").select("bucket", "size")
+    open_ = join_groups(bucketed, split, "bucket", "size", n_bands).select("uid").distinct()
     members = named.groupBy("component").agg(F.count("*").alias("members"))
-    apart = full.join(open_, "uid", "left_semi").join(named, "uid").join(members, "component").select("uid", "n", "set", "component", "members")
-    pairs = _cross_pairs(written(apart, "near-apart"))
-    one = full.select(F.col("uid").alias("a"), F.col("set").alias("set_a"))
-    two = full.select(F.col("uid").alias("b"), F.col("set").alias("set_b"))
-    more = _linked(pairs.join(one, "a").join(two, "b"))
-    final = components(links.unionAll(more))
-
-    joined = sets.select("set_key", "copies", "uid", "min_doc").join(final, F.col("uid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "uid"))
-    first = joined.groupBy("component").agg(F.min(F.struct(F.col("min_doc").isNull(), "min_doc", "uid")).alias("f")).select("component", F.col("f.min_doc").alias("component_id"), F.col("f.uid").alias("first_uid"))
-    groups = written(joined.join(first, "component").select("set_key", "copies", "component", "component_id", "first_uid"), "near-groups")
+    apart = join_groups(named.join(open_, "uid", "left_semi"), members, "component", "members", n_named)
+    apart = full.select("uid", "n", "set").join(apart, "uid").select("uid", "n", "set", "component", "members")
+    pairs = written(_cross_pairs(written(apart, "near-apart")), "near-pairs")
+    n_pairs = pairs.count()
+    release(rows.sparkSession)
+    final = named
+    if n_pairs:
+        one = full.select(F.col("uid").alias("a"), F.col("set").alias("set_a"))
+        two = full.select(F.col("uid").alias("b"), F.col("set").alias("set_b"))
+        more = written(_linked(join_dealt(join_dealt(pairs, one, "a", "b", n_pairs), two, "b", "a", n_pairs)), "near-more")
+        ends = [named.select(F.col("uid").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
+        met = components(more.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        after = members.join(met, F.col("component") == F.col("node"), "left").select(members["component"].alias("was"), "members", F.coalesce(met["component"], members["component"]).alias("component"))
+        final = join_groups(named.withColumnRenamed("component", "was"), after, "was", "members", n_named).select("uid", "component")
+
+    joined = sets.select("set_key", "copies", "uid", "min_doc").join(final, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    first = joined.groupBy("component").agg(F.min(F.struct(F.col("min_doc").isNull(), "min_doc", "uid")).alias("f"), F.count("*").alias("size")).select("component", F.col("f.min_doc").alias("component_id"), F.col("f.uid").alias("first_uid"), "size")
+    groups = join_groups(joined, first, "component", "size", n_bands // BANDS)
+    groups = written(groups.select("set_key", "copies", "component", "component_id", "first_uid"), "near-groups")
+    for done in (sets, bucketed, stars, full, links, named, pairs):
+        discard(done)
+    release(rows.sparkSession)
     return sigs, groups
 
 

@@ -35,17 +35,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    release(spark)
     return out
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files and plans of steps that nothing refers to any more.
+    """Between phases: let Spark drop the shuffle files of steps that nothing refers to any more.
 
-    Its cleaner acts when the driver collects garbage, which a driver with little to do may put off for long.
+    Its cleaner acts when the driver collects garbage, which a driver with little to do may put off for long, and
+    until then the executors' disks hold every shuffle of a long job. A session without a JVM of its own skips this.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = getattr(getattr(spark, "sparkContext", None), "_jvm", None) if hasattr(type(spark), "_instantiatedSession") else None
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def discard(df: DataFrame) -> None:
