@@ -106,8 +106,7 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op2_chat_views": r"""
             WITH t AS (
-                SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-                       coalesce(turn // 512, 0) AS segment
+                SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
                 FROM conversations
             ), p AS (
                 SELECT DISTINCT conv_id AS of, role AS assistant FROM t WHERE role <> 'system'
@@ -118,13 +117,12 @@ def oracle_sql() -> dict[str, str]:
                 FROM t JOIN p ON conv_id IS NOT DISTINCT FROM of
             ), a AS (
                 SELECT *, sum(length(head) + length(text) + 11) OVER (
-                           PARTITION BY conv_id, segment, assistant ORDER BY coalesce(turn, -4611686018427387904), role, text
-                           ROWS UNBOUNDED PRECEDING) AS after
+                           PARTITION BY conv_id, assistant ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS after
                 FROM s
             )
-            SELECT conv_id, segment, assistant, count(*)::INT AS n_turns, (count(*) FILTER (own))::INT AS n_trained,
-                   string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY coalesce(turn, -4611686018427387904), role, text) AS text,
+            SELECT conv_id, assistant, 0::BIGINT AS part, 0::BIGINT AS start, count(*)::INT AS n_turns, (count(*) FILTER (own))::INT AS n_trained,
+                   string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
                    coalesce(string_agg((after - 11 - length(text))::BIGINT || ':' || (after - 1)::BIGINT, ',' ORDER BY after) FILTER (own), '') AS mask
-            FROM a GROUP BY conv_id, segment, assistant
+            FROM a GROUP BY conv_id, assistant
         """,
     }

@@ -136,23 +136,56 @@ def test_neighbours_awkward(spark):
     assert neighbours.nearest(df.filter("false")).count() == 0
 
 
-def test_chat_views_match_sql(spark, sf_dir):
+CHAT = ["conv_id", "assistant", "part", "start", "n_turns", "n_trained", "text", "mask"]
+
+
+def sql_views(table):
     con = duckdb.connect()
-    con.sql(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
-    got = queries.op2_chat_views(spark, sf_dir)
-    columns = ["conv_id", "segment", "assistant", "n_turns", "n_trained", "text", "mask"]
-    want = con.sql(f"select {', '.join(columns)} from ({queries.oracle_sql()['op2_chat_views']})").fetchall()
-    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want)
+    con.register("conversations", table)
+    return con.sql(f"select {', '.join(CHAT)} from ({queries.oracle_sql()['op2_chat_views']})").fetchall()
+
+
+def spans(mask):
+    return ",".join(f"{m.start}:{m.end}" for m in mask)
+
+
+def test_chat_views_match_sql(spark, sf_dir):
+    got = queries.op2_chat_views(spark, sf_dir).select(*CHAT).collect()
+    assert sorted(map(tuple, got)) == sorted(sql_views(spark.read.parquet(f"{sf_dir}/conversations.parquet").toArrow()))
+
+
+def test_long_dialogues_are_whole(spark):
+    """600 turns, many speakers, null and repeated turn numbers: one row a view; in small parts, the same view."""
+    rows = [(7, 0, "system", "Be kind")] + [(7, None if i % 50 == 0 else i // 3, f"p{i % 5}", f"turn {i} <|x") for i in range(600)]
+    rows += [(8, None, "ann", f"text {i}") for i in range(40)] + [(9, 3, "bo", "alone")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(sql_views(turns.toArrow()))
+    whole = sorted((*r[:-1], spans(r["mask"])) for r in chat_views.views(turns).select(*CHAT).collect())
+    assert whole == want and {(r[0], r[4]) for r in want} == {(7, 601), (8, 40), (9, 1)}
+    parts = defaultdict(list)
+    for r in chat_views.views(turns.repartition(7), part_turns=16).collect():
+        assert r.n_turns <= 16
+        parts[(r.conv_id, r.assistant)].append(r)
+    joined = []
+    for (conv, who), each in parts.items():
+        each.sort(key=lambda r: r.part)
+        text = "".join(r.text for r in each)
+        assert all(text[r.start : r.start + len(r.text)] == r.text for r in each)
+        mask = ",".join(f"{r.start + m.start}:{r.start + m.end}" for r in each for m in r["mask"])
+        joined.append((conv, who, 0, 0, sum(r.n_turns for r in each), sum(r.n_trained for r in each), text, mask))
+    assert sorted(joined) == want
 
 
 def test_chat_views_awkward(spark):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bo b", None), (1, 2, "cy", "tie"), (1, 600, "ann", "late"), (1, None, None, "who"), (2, 0, "system", "alone"), (None, 0, "dee", "x"), (None, 0, "dee", "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.segment, r.assistant): r for r in chat_views.views(turns).collect()}
-    assert set(got) == {(1, s, a) for s in (0, 1) for a in ("ann", "bo b", "cy", "unknown")} | {(None, 0, "dee")}
-    ann = got[(1, 0, "ann")]
-    assert ann.n_turns == 5 and ann.n_trained == 1
-    assert [ann.text[m.start : m.end] for m in ann["mask"]] == ["hi < |im_end|><|im_end|>"]
+    got = {(r.conv_id, r.assistant): r for r in chat_views.views(turns).collect()}
+    assert set(got) == {(1, a) for a in ("ann", "bo b", "cy", "unknown")} | {(None, "dee")}
+    ann = got[(1, "ann")]
+    assert ann.n_turns == 6 and ann.n_trained == 2
+    assert [ann.text[m.start : m.end] for m in ann["mask"]] == ["hi < |im_end|><|im_end|>", "late<|im_end|>"]
     assert "user name=bo_b\n<|im_end|>" in ann.text and ann.text.count("<|im_start|>system") == 1
-    assert got[(1, 1, "cy")].mask == [] and got[(None, 0, "dee")].n_turns == 1
+    assert got[(None, "dee")].n_turns == 1
     assert chat_views.views(turns.filter("false")).count() == 0
+    odd = turns.selectExpr("*", "1 as part", "2 as rank", "3 as assistant", "4 as of", "5 as at")
+    assert {(r.conv_id, r.assistant, r.text) for r in chat_views.views(odd).collect()} == {(c, a, r.text) for (c, a), r in got.items()}
