@@ -293,7 +293,8 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         more = written(_linked(join_dealt(join_dealt(pairs, one, "a", "b", n_pairs), two, "b", "a", n_pairs)), "near-more")
         ends = [named.select(F.col("uid").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b")]
         met = components(more.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
-        after = members.join(met, F.col("component") == F.col("node"), "left").select(members["component"].alias("was"), "members", F.coalesce(met["component"], members["component"]).alias("component"))
+        met = met.select(F.col("node").alias("was"), F.col("component").alias("now"))
+        after = members.withColumnRenamed("component", "was").join(met, "was", "left").select("was", "members", F.coalesce("now", "was").alias("component"))
         final = join_groups(named.withColumnRenamed("component", "was"), after, "was", "members", n_named).select("uid", "component")
 
     joined = sets.select("set_key", "copies", "uid", "min_doc").join(final, "uid", "left").withColumn("component", F.coalesce("component", "uid"))

@@ -1,8 +1,10 @@
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import awkward, empty, lower, near_classes, shingle_set
 
 from groundwork.llm import exact_dedup, near_dedup, sentence_spans
@@ -88,6 +90,32 @@ def test_near_graded_copies(spark):
     check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_near_chains_across_components(spark):
+    """Many drifting chains of copies, so that stars leave links for the pair join."""
+    rng, rows = np.random.default_rng(8), []
+    for c in range(12):
+        w = [f"c{c}w{i}" for i in range(60)]
+        for k in range(25):
+            rows.append((len(rows), " ".join(w)))
+            w = list(w)
+            for i in rng.choice(60, 1 + k % 2, replace=False):
+                w[i] = f"c{c}n{k}x{i}"
+    check_near(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("own, linked", [(32, False), (14, True)])
+def test_a_shared_template_makes_few_pairs(spark, monkeypatch, own, linked):
+    """Hundreds of texts with one template: just below the limit they make no pair at all, above it a star links them."""
+    made = []
+    plain = near_dedup._cross_pairs
+    monkeypatch.setattr(near_dedup, "_cross_pairs", lambda sets: made.append(near_dedup.written(plain(sets), "test")) or made[0])
+    template = " ".join(f"t{i}" for i in range(150))
+    rows = [(i, template + " " + " ".join(f"d{i}x{k}" for k in range(own))) for i in range(600)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.select("component_id").distinct().count() == (1 if linked else 600)
+    assert made[0].count() <= 600
+
+
 def test_one_per_group(spark):
     docs = awkward(spark).withColumnRenamed("lang", "uid").withColumnRenamed("source", "row_key")
     out = near_dedup.one_per_group(docs)
@@ -103,30 +131,64 @@ def test_one_per_group(spark):
     assert near_dedup.one_per_group(empty(spark)).count() == 0
 
 
-def brute_spans(rows):
-    """By row number: the text without sentences of repeated spans."""
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
-    seen, lost, cut = set(), defaultdict(set), {}
+MARK = re.compile(r"(?<=[.!?])\s+|(?<=[。｡．！？।॥؟۔])(?![。｡．！？।॥؟۔\s])|(?<=[。｡．！？।॥؟۔])\s+|\n\s*")
+
+
+def brute_sentences(text):
+    """(start, end, words) built from the marks alone; blank stretches join the sentence before them."""
+    out, at = [], 0
+    for end in [*(m.end() for m in MARK.finditer(text)), len(text)]:
+        w = tuple(lower(text[at:end]).encode("utf-8", "surrogatepass").split())
+        if w or (out and end > at):
+            if w:
+                out.append([at if out else 0, end, w])
+            else:
+                out[-1][1] = end
+            at = end
+    return out
+
+
+def brute_spans(rows, run=3, long=50):
+    """By row: what stays when every sentence of a span that an earlier place holds is removed."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, xxhash.xxh3_64_intdigest((rows[k][1] or "").encode("utf-8", "surrogatepass"))))
+    seen, out = set(), [None] * len(rows)
     for k in order:
-        where, runs, _ = sentence_spans.spans(rows[k][1])
-        cut[k] = where
-        for a, b in runs.tolist():
-            key = tuple(tuple(rows[k][1][i:j].encode("utf-8", "surrogatepass").lower().split()) for i, j in where[a : b + 1].tolist())
-            if key in seen:
-                lost[k].update(range(a, b + 1))
-            seen.add(key)
-    return [("".join(rows[k][1][i:j] for n, (i, j) in enumerate(cut[k].tolist()) if n not in lost[k]) if rows[k][1] else "", len(lost[k])) for k in range(len(rows))]
+        text = rows[k][1] or ""
+        s, lost = brute_sentences(text), set()
+        for i in range(len(s)):
+            for size in range(1, run + 1):
+                words = [w for *_, w in s[i : i + size]]
+                if i + size <= len(s) and (size == run or sum(map(len, words)) >= long):
+                    key = tuple(words)
+                    if key in seen:
+                        lost.update(range(i, i + size))
+                    seen.add(key)
+        out[k] = ("".join(text[i:j] for n, (i, j, _) in enumerate(s) if n not in lost) if s else text, len(lost))
+    return out
 
 
 @pytest.mark.parametrize("table", ["awkward", "shared"])
-def test_spans_against_brute_force(spark, sf_dir, table):
-    docs = awkward(spark).coalesce(1) if table == "awkward" else spark.read.parquet(f"{sf_dir}/documents.parquet")
+@pytest.mark.parametrize("parts", [1, 7])
+def test_spans_against_brute_force(spark, sf_dir, table, parts):
+    docs = awkward(spark) if table == "awkward" else spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = sorted((-1 if i is None else i, t, n) for (i, _), (t, n) in zip(rows, brute_spans(rows)))
-    got = sentence_spans.without_repeated_spans(docs).collect()
+    got = sentence_spans.without_repeated_spans(docs.repartition(parts)).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_removed) for r in got) == want
 
 
+def test_short_spans_and_shared_ids(spark):
+    """Three short sentences repeat; two rows of one id in different blocks, and clashing columns."""
+    rows = [(1, "One here. Two. Three now. Own words."), (2, "Other. One here. Two. Three now."), (3, "One here. Two. Else."), (5, "A b. C d. E f. G."), (5, "Start. A b. C d. E f.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i, t, n) for (i, _), (t, n) in zip(rows, brute_spans(rows)))
+    assert (2, "Other. ", 3) in want and (3, "One here. Two. Else.", 0) in want
+    for parts in (1, 5):
+        odd = docs.repartition(parts, "text").selectExpr("*", "1 as block", "2 as nth", "3 as shard", "4 as entries")
+        got = sentence_spans.without_repeated_spans(odd).collect()
+        assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == want
+
+
 def test_planted_passage(spark):
     passage = " ".join(f"Word{i} follows word{i + 1} and then ends here." for i in range(9))
     rows = [(i, f"Opening line number {i} of its own kind. {passage} Closing words of document {i} alone.") for i in range(5)]
@@ -141,6 +203,6 @@ def test_long_single_sentences(spark):
     """A repeated sentence of 50 words goes alone; one of 49 stays; wide characters are words."""
     long, short = (" ".join(f"w{k}" for k in range(n)) + ". " for n in (50, 49))
     wide = "".join(chr(0x4E00 + k) for k in range(60)) + "。"
-    rows = [(1, long), (2, long), (3, "First here. " + long + "Then this."), (4, short), (5, short), (6, wide), (7, "前。" + wide + "後。")]
+    rows = [(1, long), (2, long), (3, "First here. " + long + "Then this."), (4, short), (5, short), (6, wide), (7, "前。" + wide + "後。")]  # no run of three but these
     got = {r.doc_id: r.text for r in sentence_spans.without_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: long, 2: "", 3: "First here. Then this.", 4: short, 5: short, 6: wide, 7: "前。後。"}
