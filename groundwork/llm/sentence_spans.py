@@ -1,17 +1,18 @@
 """Substring deduplication over sliding sentence spans.
 
-Every run of consecutive sentences, the shortest from each sentence on and the shortest up to each sentence that
-have at least ``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words, is hashed, and so is every single sentence of at
-least ``LONG_WORDS`` words. Hashes meet in hash ranges over
-the whole corpus, one entry per block of documents and hash. The first place of a repeated span is the one with
-the smallest document id, then the first position; sentences covered by any other place of it are removed.
+Every run of ``RUN`` consecutive sentences is hashed, whatever its length in words, and so is every shorter run of at
+least ``LONG_WORDS`` words, so that a long passage of one or two sentences counts too. Runs are compared by 128-bit
+hashes of all their words, over the whole corpus, in hash ranges that get one entry per block of documents and hash.
+The first place of a repeated span is the one with the smallest document id (of rows that share an id, the one with
+the smallest text hash), then the first position; sentences covered by any other place are removed.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space, at other scripts' full stops and marks, or at a line
-end; a Chinese or Japanese character counts as a word of its own. Sentences are compared by their words, A-Z
-lower-cased. Removal takes the white space that follows a sentence along.
+Sentences end at ``.``, ``!`` or ``?`` before white space, at other scripts' full stops and marks, or at a line end;
+what has no words joins the sentence before it. A Chinese or Japanese character counts as a word of its own.
+Sentences are compared by their words, A-Z lower-cased. Removal takes the white space after a sentence along.
 
 Defined results: null and empty texts have no sentences and give an empty text; null ids come last in the order;
-rows that repeat lose all spans but the first row's, if they have a run or a sentence that is long enough; an empty table gives no rows.
+rows that repeat lose all spans but the first row's; texts that are shorter than a span stay; other columns,
+whatever their names, are ignored; an empty table gives no rows. The result does not depend on file layout.
 """
 
 from __future__ import annotations
@@ -21,84 +22,81 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks_of, pack, shard_bounds, unpack
-from .scratch import shards, written
+from .scratch import written
 
-MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 20, 50
+RUN, LONG_WORDS = 3, 50
+#: Characters of text whose spans meet in one hash range, about.
+RANGE_CHARS = 32_000_000
 _END = re.compile(r"[.!?]+\s+|[。｡．！？।॥؟۔]+\s*|\n\s*")
-_WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_WIDE = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 _LAST = np.iinfo(np.int64).max
 
 
-def sentences(text: str) -> np.ndarray:
-    """(n, 2) code point spans that tile the text."""
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return np.array([[0, *ends[:-1]], ends]).T
+def sentences(text: str) -> list[tuple[int, int, bytes]]:
+    """(start, end, words between single spaces) that tile the text."""
+    out: list[tuple[int, int, bytes]] = []
+    at = 0
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        words = b" ".join(text[at:end].encode("utf-8", "surrogatepass").lower().split())
+        if words:
+            out.append((at if out else 0, end, words))
+        elif out and end > at:
+            out[-1] = (out[-1][0], end, out[-1][2])
+        else:
+            continue  # white space before the first sentence belongs to it
+        at = end
+    return out
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _size(sentence: str, words: list[bytes]) -> int:
+def _size(sentence: str, words: bytes) -> int:
     """Words between white space and wide characters."""
     if sentence.isascii():
-        return len(words)
+        return words.count(b" ") + 1
     rest, wide = _WIDE.subn(" ", sentence)
-    return wide + len(rest.split()) if wide else len(words)
+    return wide + len(rest.split()) if wide else words.count(b" ") + 1
+
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
 
-def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sentence spans of a text; (n, 2) runs as first and last sentence; their 64-bit hashes."""
-    where = sentences(text) if text else np.empty((0, 2), np.int64)
-    n = len(where)
+
+def spans(text: str | None, run: int = RUN, long_words: int = LONG_WORDS) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many sentences a text has; (m, 2) runs as first and last sentence; (m, 2) halves of their hashes."""
+    each = sentences(text) if text else []
+    n = len(each)
     if not n:
-        return where, np.empty((0, 2), np.int64), np.empty(0, np.uint64)
-    words = [text[i:j].encode("utf-8", "surrogatepass").lower().split() for i, j in where.tolist()]
-    h = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, n)
-    total = np.concatenate([[0], np.cumsum([_size(text[i:j], w) for (i, j), w in zip(where.tolist(), words)])])
-    at = np.arange(n)
-    last = np.maximum(np.searchsorted(total, total[:-1] + MIN_WORDS) - 1, at + MIN_SENTENCES - 1)
-    first = np.minimum(np.searchsorted(total, total[1:] - MIN_WORDS, side="right") - 1, at - MIN_SENTENCES + 1)
-    ahead, back = last < n, first >= 0
-    long = at[np.diff(total) >= LONG_WORDS]
-    runs = np.unique(np.concatenate([np.stack([at[ahead], last[ahead]], 1), np.stack([first[back], at[back]], 1), np.stack([long, long], 1)]), axis=0)
-    power, inverse = _powers(_BASE, n), _powers(_INVERSE, n)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)])
-    v = (prefix[runs[:, 1] + 1] - prefix[runs[:, 0]]) * inverse[runs[:, 0]]
-    v = (v ^ (v >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return where, runs, v ^ (v >> np.uint64(33))
-
-
-def _block_spans(doc_ids: list, texts: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block, documents in order of id: spans of each, all hashes, distinct hashes, the first place of each, its document's id, whether it repeats here."""
-    each = [spans(t) for t in texts]
-    hashes = np.concatenate([e[2] for e in each]) if each else np.empty(0, np.uint64)
-    ids = np.repeat(np.array([_LAST if i is None else i for i in doc_ids], np.int64), [len(e[2]) for e in each])
-    distinct, first, count = np.unique(hashes, return_index=True, return_counts=True)
-    return each, hashes, distinct, first, ids[first], count > 1
-
-
-def _in_order(t: pa.Table) -> pa.Table:
-    return t.sort_by([("doc_id", "ascending"), ("nth", "ascending")])  # nulls last
+        return 0, np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64)
+    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for *_, w in each), "<u8").reshape(-1, 2).astype(np.uint64)
+    total = np.concatenate([[0], np.cumsum([_size(text[i:j], w) for i, j, w in each])])
+    runs, hashes = [], []
+    for size in range(1, min(run, n) + 1):
+        at = np.arange(n - size + 1)
+        if size < run:
+            at = at[total[at + size] - total[at] >= long_words]
+        if len(at):
+            v = np.full((len(at), 2), size, np.uint64)
+            for k in range(size):
+                v = _mix(v * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64) + h[at + k])
+            runs.append(np.stack([at, at + size - 1], 1)), hashes.append(v)
+    if not runs:
+        return n, np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64)
+    return n, np.concatenate(runs), np.concatenate(hashes)
 
 
 _FIRST = "block bigint, nth bigint, doc_id bigint, text string, shard bigint, entries binary"
+_PLACES = -1  # the "shard" of the row that says where a block's spans are
 
 
-def _dealt(docs: DataFrame, n: int) -> DataFrame:
-    """The documents with their block, and the entries of each block for each shard."""
+def _dealt(docs: DataFrame, n: int, run: int, long_words: int) -> DataFrame:
+    """The documents with their block; each block's distinct spans for each shard; where in the block they are."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("shard", pa.int64()), ("entries", pa.binary())])
@@ -107,14 +105,29 @@ def _dealt(docs: DataFrame, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
         for block, t in blocks_of(batches, "text"):
-            t = t.append_column("nth", pa.array(np.arange(t.num_rows)))
-            for b in t.to_batches(max_chunksize=1024):
-                yield rows(b.num_rows, block=pa.array(np.full(b.num_rows, block)), nth=b.column("nth"), doc_id=b.column("doc_id"), text=b.column("text"))
-            t = _in_order(t)
-            _, _, distinct, _, ids, again = _block_spans(t["doc_id"].to_pylist(), t["text"].to_pylist())
-            edge = shard_bounds(distinct, n)
-            packed = [pack(distinct[i:j], ids[i:j], again[i:j].astype("u1")) for i, j in zip(edge, edge[1:])]
-            yield rows(n, block=pa.array(np.full(n, block)), shard=pa.array(np.arange(n)), entries=pa.array(packed, pa.binary()))
+            for i in range(0, t.num_rows, 1024):
+                b = t.slice(i, 1024).combine_chunks().to_batches()[0]
+                yield rows(b.num_rows, block=pa.array(np.full(b.num_rows, block)), nth=pa.array(np.arange(i, i + b.num_rows)), doc_id=b.column("doc_id"), text=b.column("text"))
+            texts = t["text"].to_pylist()
+            ids = np.array([_LAST if i is None else i for i in t["doc_id"].to_pylist()], np.int64)
+            ties = np.array([xxhash.xxh3_64_intdigest((x or "").encode("utf-8", "surrogatepass")) for x in texts], np.uint64)
+            order = np.lexsort((np.arange(len(ids)), ties, ids))
+            each = [spans(texts[k], run, long_words) for k in order]
+            doc = np.repeat(order, [len(e[1]) for e in each])
+            runs, hashes = (np.concatenate([e[k] for e in each]) for k in (1, 2))
+            # spans of one document in the order of their places
+            place = np.lexsort((runs[:, 1], runs[:, 0], np.repeat(np.arange(len(order)), [len(e[1]) for e in each])))
+            doc, runs, hashes = doc[place], runs[place], hashes[place]
+            distinct, first, of, count = np.unique(hashes.view("u8,u8").reshape(-1), return_index=True, return_inverse=True, return_counts=True)
+            h1, h2, of = distinct["f0"], distinct["f1"], of.reshape(-1)
+            edge = shard_bounds(h1, n)
+            kept = [k for k in range(n) if edge[k + 1] > edge[k]]
+            own = [h1, h2, ids[doc[first]], ties[doc[first]], (count > 1).astype("u1")]
+            packed = [pack(*(x[edge[k] : edge[k + 1]] for x in own)) for k in kept]
+            sizes = np.zeros(len(order), np.int64)
+            sizes[order] = [e[0] for e in each]
+            places = pack(sizes.astype("<u4"), doc.astype("<u4"), runs[:, 0].astype("<u4"), runs[:, 1].astype("<u4"), of.astype("<u4"))
+            yield rows(1 + len(kept), block=pa.array(np.full(1 + len(kept), block)), shard=pa.array([_PLACES, *kept]), entries=pa.array([places, *packed], pa.binary()))
 
     return docs.mapInArrow(deal, _FIRST)
 
@@ -126,13 +139,13 @@ def _judged(entries: DataFrame) -> DataFrame:
         t = t.sort_by("block")
         parts = [unpack(x) for x in t["entries"].to_pylist()]
         sizes = [len(p[0]) for p in parts]
-        hashes, ids, again = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        h1, h2, ids, ties, again = (np.concatenate([p[k] for p in parts]) for k in range(5))
         block = np.repeat(np.arange(len(parts)), sizes)
-        order = np.lexsort((block, ids, hashes))
+        order = np.lexsort((block, ties, ids, h2, h1))
         new = np.ones(len(order), bool)
-        new[1:] = hashes[order][1:] != hashes[order][:-1]
+        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
         group = np.cumsum(new) - 1
-        repeated = (np.bincount(group, minlength=group[-1] + 1 if len(group) else 0) > 1) | (np.bincount(group, again[order]) > 0 if len(group) else np.empty(0, bool))
+        repeated = (np.bincount(group) > 1) | (np.bincount(group, again[order]) > 0)
         flags = np.zeros(len(order), np.uint8)
         flags[order] = np.where(repeated[group], np.where(new, 1, 2), 0)
         cut = np.cumsum([0, *sizes])
@@ -144,45 +157,55 @@ def _judged(entries: DataFrame) -> DataFrame:
 _CLEAN = "doc_id bigint, text string, n_sentences bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>"
 
 
+def _without(text: str, runs: np.ndarray, n: int) -> tuple[str, int, list[dict]]:
+    """The text without the sentences that ``runs`` cover, their number, their spans."""
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, runs[:, 0], 1)
+    np.add.at(cover, runs[:, 1] + 1, -1)
+    cover = np.cumsum(cover[:-1]) > 0
+    where, pieces = sentences(text), []
+    for i in np.flatnonzero(cover).tolist():
+        start, end, _ = where[i]
+        if pieces and pieces[-1]["end"] == start:
+            pieces[-1]["end"] = end
+        else:
+            pieces.append({"start": start, "end": end})
+    kept, at = [], 0
+    for p in pieces:
+        kept.append(text[at : p["start"]])
+        at = p["end"]
+    return "".join([*kept, text[at:]]), int(cover.sum()), pieces
+
+
 def _cleaned(docs: DataFrame, flags: DataFrame) -> DataFrame:
     def clean(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = _in_order(left)
+        placed = pa.compute.is_valid(left["shard"])
+        sizes, doc, first, last, of = unpack(left.filter(placed)["entries"][0].as_py())
+        left = left.filter(pa.compute.invert(placed)).sort_by("nth")
         ids, texts = left["doc_id"].to_pylist(), left["text"].to_pylist()
-        each, hashes, distinct, first, _, _ = _block_spans(ids, texts)
-        flag = np.concatenate([unpack(x)[0] for _, x in sorted(zip(right["shard"].to_pylist(), right["flags"].to_pylist()))])
-        mine = flag[np.searchsorted(distinct, hashes)]
-        here = np.zeros(len(hashes), bool)
-        here[first] = True
-        gone = (mine == 2) | ((mine == 1) & ~here)
-        out, at = [], 0
-        for doc_id, text, (where, runs, own) in zip(ids, texts, each):
-            lost = runs[gone[at : at + len(own)]]
-            at += len(own)
-            cover = np.zeros(len(where) + 1, np.int64)
-            np.add.at(cover, lost[:, 0], 1)
-            np.add.at(cover, lost[:, 1] + 1, -1)
-            cover = np.cumsum(cover[:-1]) > 0
-            pieces = []
-            for i in np.flatnonzero(cover).tolist():
-                if pieces and pieces[-1][1] == where[i, 0]:
-                    pieces[-1][1] = int(where[i, 1])
-                else:
-                    pieces.append([int(where[i, 0]), int(where[i, 1])])
-            kept, end = [], 0
-            for i, j in pieces:
-                kept.append(text[end:i])
-                end = j
-            kept.append((text or "")[end:])
-            out.append((doc_id, "".join(kept), len(where), int(cover.sum()), [{"start": i, "end": j} for i, j in pieces]))
+        flag = np.concatenate([np.empty(0, np.uint8), *(unpack(x)[0] for _, x in sorted(zip(right["shard"].to_pylist(), right["flags"].to_pylist())))])[of]
+        here = np.zeros(len(of), bool)
+        here[np.unique(of, return_index=True)[1]] = True  # spans are in the order of their places
+        gone = np.flatnonzero((flag == 2) | ((flag == 1) & ~here))
+        runs = np.stack([first[gone], last[gone]], 1).astype(np.int64)
+        gone = doc[gone]
+        order = np.argsort(gone, kind="stable")
+        cut = np.searchsorted(gone[order], np.arange(len(ids) + 1))
+        out = []
+        for k, (doc_id, text) in enumerate(zip(ids, texts)):
+            lost = runs[order[cut[k] : cut[k + 1]]]
+            text, removed, pieces = _without(text, lost, int(sizes[k])) if len(lost) else (text or "", 0, [])
+            out.append((doc_id, text, int(sizes[k]), removed, pieces))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         return pa.table({k: pa.array(c, kind) for k, c, kind in zip(("doc_id", "text", "n_sentences", "n_removed", "removed"), zip(*out), kinds)})
 
     return docs.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(clean, _CLEAN)
 
 
-def without_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
     """doc_id, text without the removed sentences, n_sentences, n_removed, removed (spans of the old text)."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    both = written(_dealt(rows, shards(docs.sparkSession)), "spans")
-    flags = written(_judged(both.filter("entries is not null").select("shard", "block", "entries")), "span-flags")
-    return _cleaned(both.filter("entries is null").select("block", "nth", "doc_id", "text"), flags)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    both = written(_dealt(rows, max(1, -(-chars // RANGE_CHARS)), run, long_words), "spans")
+    flags = written(_judged(both.filter("shard >= 0").select("shard", "block", "entries")), "span-flags")
+    return _cleaned(both.filter(f"shard is null or shard = {_PLACES}").select("block", "nth", "doc_id", "text", "shard", "entries"), flags)
