@@ -4,6 +4,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from helpers import awkward, empty
 
 from groundwork.llm import chat_views, mixing, neighbours, packing, queries
@@ -60,27 +61,94 @@ def test_plan_is_best_fit():
     assert len(room) == 4
 
 
-def test_raking_meets_the_marginals():
-    rng = np.random.default_rng(0)
-    tokens = rng.integers(1, 100, (3, 4, 2)).astype(float)
-    goals = [np.array([0.2, 0.3, 0.5]), np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.6, 0.4])]
-    w = mixing.rake(tokens, goals)
-    for axis, goal in enumerate(goals):
-        assert np.allclose(w.sum(tuple(k for k in range(3) if k != axis)), goal, atol=1e-8)
+def plain_rates(cells, power=0.7, rounds=300):
+    """Keep rates of cells {(source, lang, topic): tokens} by plain raking, and the targets."""
+    total = sum(cells.values())
+    sums = [defaultdict(float) for _ in range(3)]
+    within = defaultdict(float)
+    for key, n in cells.items():
+        for k in range(3):
+            sums[k][key[k]] += n
+        within[key[1:]] += n
+    goals = [{c: n**power / sum(v**power for v in sums[k].values()) for c, n in sums[k].items()} for k in range(2)]
+    z = defaultdict(float)
+    for (lang, _), n in within.items():
+        z[lang] += n**power
+    goals.append(defaultdict(float))
+    for (lang, topic), n in within.items():
+        goals[2][topic] += goals[1][lang] * n**power / z[lang]
+    keep = min(sums[k][c] / g for k in range(3) for c, g in goals[k].items())
+    factor = dict.fromkeys(cells, keep / total)
+    for _ in range(rounds):
+        for k in range(3):
+            have = defaultdict(float)
+            for key, n in cells.items():
+                have[key[k]] += n * min(1.0, factor[key])
+            for key in cells:
+                factor[key] *= goals[k][key[k]] * keep / have[key[k]]
+    return {key: min(1.0, f) for key, f in factor.items()}, goals
+
+
+def plain_draw(doc_id, text, seed=17):
+    h = 42
+    for raw in ([doc_id.to_bytes(8, "little", signed=True)] if doc_id is not None else []) + [len(text).to_bytes(4, "little"), text.encode(), seed.to_bytes(4, "little")]:
+        h = xxhash.xxh64_intdigest(raw, h)
+    return (h - (1 << 64) * (h >> 63)) % (1 << 53) / (1 << 53)
 
 
-def test_mixture(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+@pytest.mark.parametrize("table", ["awkward", "shared"])
+def test_mixture_against_plain_raking_and_draws(spark, sf_dir, table):
+    docs = awkward(spark) if table == "awkward" else spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = mixing.mixture(docs).collect()
-    assert len(got) == docs.count() and 0 < sum(r.kept for r in got) < len(got)
-    kept = {r.doc_id for r in got if r.kept}
-    assert {r.doc_id for r in mixing.mixed(docs).collect()} == kept
-    again = {r.doc_id for r in mixing.mixture(docs.repartition(7)).collect() if r.kept}
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    cells = defaultdict(int)
+    for r in got:
+        cells[(r.source, r.lang, r.topic)] += r.tokens
+    rates, _ = plain_rates(cells)
+    assert all(abs(r.keep_rate - rates[(r.source, r.lang, r.topic)]) < 2e-4 for r in got)
+    count = lambda t: max(1, len(t.encode("utf-8").split()))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.tokens) for r in got) == sorted((-1 if i is None else i, count(t)) for i, t in rows)
+    draws = defaultdict(list)
+    for i, t in rows:
+        draws[(i, count(t))].append(plain_draw(i, t))
+    for r in got:
+        mine = draws[(r.doc_id, r.tokens)]
+        assert len(set(mine)) > 1 or r.kept == (mine[0] < r.keep_rate)
+    kept = sorted(-1 if r.doc_id is None else r.doc_id for r in got if r.kept)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in mixing.mixed(docs).collect()) == kept
+    again = sorted(-1 if r.doc_id is None else r.doc_id for r in mixing.mixture(docs.repartition(7)).collect() if r.kept)
     assert again == kept
 
 
+def test_raking_a_table_is_raking(spark):
+    """Many small sources, a hot one, a null and an empty name: no class is pooled; both ways agree and meet the targets."""
+    rng = np.random.default_rng(0)
+    sources = [None, ""] + [f"s{k}" for k in range(40)]
+    rows = [(sources[int(k)], ["en", "de"][int(k) % 2], f"t{int(t)}", int(n)) for k, t, n in zip(rng.integers(0, 42, 600), rng.integers(0, 3, 600), rng.integers(1, 300, 600))]
+    rows += [("hot", "en", "t0", 200)] * 300
+    counted = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    names = ["_source", "_lang", "_topic", "keep_rate"]
+    a, b = (sorted(map(tuple, mixing.calibrate(counted, driver_cells=most, rounds=4).select(*names).collect())) for most in (10_000, 0))
+    assert [x[:3] for x in a] == [x[:3] for x in b] and max(abs(x[3] - y[3]) for x, y in zip(a, b)) < 1e-6
+    assert {x[0] for x in a} >= {"null", "=", "=hot", "=s7"}
+    given = {"source": {None: 0.5, "s1": 0.25, "hot": 0.25, "absent": 9.0}}
+    rates = {x[0]: x[3] for x in sorted(map(tuple, mixing.calibrate(counted, given).select(*names).collect()))}
+    assert rates["=s3"] == 0 and rates["=hot"] > 0 and rates["null"] > 0
+
+
+def test_topics_follow_words(spark):
+    pools = [[f"{p}{chr(97 + i)}{chr(97 + j)}x" for i in range(9) for j in range(26)] for p in ("river", "metal", "piano")]
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(pools[i % 3], 40))) for i in range(300)] + [(900, ""), (901, None), (902, "1 2 3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mixing.fit_topics(docs, "text", topics=3)
+    got = {r.doc_id: r.topic for r in mixing.with_topics(docs, "text", model, ["doc_id"]).collect()}
+    assert len({got[i] for i in range(300)}) == 3 and all(got[i] == got[i % 3] for i in range(300))
+    assert got[900] == got[901] == got[902] == "none"
+
+
 def test_mixture_awkward(spark):
-    docs = awkward(spark).withColumnRenamed("n_chars", "topic")
+    docs = awkward(spark).withColumnRenamed("n_chars", "topic").selectExpr("*", "1 as draw", "2 as weight", "3 as keep_rate", "4 as size", "5 as row")
     assert mixing.mixed(docs).columns == docs.columns
     assert mixing.mixture(docs).count() == docs.count()
     assert mixing.mixture(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
