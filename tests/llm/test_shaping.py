@@ -195,7 +195,7 @@ def test_neighbours_awkward(spark):
     ids, x = np.array(sorted(good)), np.array([good[i] for i in sorted(good)])
     want = exact_neighbours(ids, x)
     got = defaultdict(list)
-    for r in neighbours.nearest(df, probes=64).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df.selectExpr('*', '1 as rep', '2 as code', '3 as part', '4 as n')).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     assert set(got) == set(want)
     assert got[300] == [v for v, _ in want[300]]
@@ -204,6 +204,38 @@ def test_neighbours_awkward(spark):
     assert neighbours.nearest(df.filter("false")).count() == 0
 
 
+def recall(spark, rows, **more):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ids, x = np.array([i for i, _ in rows]), np.array([np.array(v, np.float32) for _, v in rows], np.float64)
+    want, got = exact_neighbours(ids, x), defaultdict(set)
+    for r in neighbours.nearest(df, **more).collect():
+        got[r.query_id].add(r.vec_id)
+    assert set(got) == set(want) and all(len(got[i]) == len(want[i]) for i in want)
+    return sum(len(got[i] & {v for v, _ in want[i]}) for i in want) / sum(len(w) for w in want.values())
+
+
+def test_long_vectors_move_no_others(spark):
+    rng = np.random.default_rng(3)
+    unit = rng.normal(size=(1500, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit[7] *= 100
+    unit[9] *= 3
+    assert recall(spark, [(i, [float(c) for c in v]) for i, v in enumerate(unit)]) >= 0.9
+
+
+def test_small_tables_are_searched_whole(spark):
+    rng = np.random.default_rng(4)
+    for n in (2, 21, 25):
+        assert recall(spark, [(i, [float(c) for c in rng.normal(size=16)]) for i in range(n)]) == 1
+
+
+def test_clustered_vectors_need_few_probes(spark):
+    """With near neighbours, a quarter of the probes find them."""
+    rng = np.random.default_rng(5)
+    rows = [(40 * c + k, [float(v) for v in centre + 0.25 * rng.normal(size=64) / 8]) for c, centre in enumerate(rng.normal(size=(50, 64)) / 8) for k in range(40)]
+    assert recall(spark, rows, probes=26) >= 0.9
+
+
 CHAT = ["conv_id", "assistant", "part", "start", "n_turns", "n_trained", "text", "mask"]
 
 
