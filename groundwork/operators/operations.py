@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,10 +29,31 @@ def sessions(calls: DataFrame, user: str, at: str, gap: str) -> DataFrame:
 
 
 def chained(events: DataFrame, chain: str, order: str, body: Column) -> DataFrame:
-    """Events with the digest of the event before in their chain and whether they follow it in order without a gap."""
+    """chain, order, digest, previous, link: each link covers the link before it and the event's digest.
+
+    An early event changes every later link, so links are folded in order, one chain at a time.
+    """
+    kinds = dict(events.dtypes)
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        before, previous, link = "", [], []
+        for d in t["digest"].to_pylist():
+            previous.append(before)
+            before = hashlib.sha256((before + d).encode()).hexdigest()
+            link.append(before)
+        return t.append_column("previous", pa.array(previous, pa.string())).append_column("link", pa.array(link, pa.string()))
+
+    sealed = events.select(chain, order, F.sha2(body, 256).alias("digest"))
+    return sealed.groupBy(chain).applyInArrow(fold, f"{chain} {kinds[chain]}, {order} {kinds[order]}, digest string, previous string, link string")
+
+
+def chain_breaks(stored: DataFrame, chain: str, order: str, body: Column) -> DataFrame:
+    """chain, order of stored events (previous, link) that do not follow the link before them or do not have their own."""
     w = Window.partitionBy(chain).orderBy(order)
-    sealed = events.withColumn("digest", F.sha2(body, 256))
-    return sealed.withColumn("previous", F.coalesce(F.lag("digest").over(w), F.lit(""))).withColumn("link", F.sha2(F.concat("previous", "digest"), 256))
+    rows = stored.withColumn("_before", F.coalesce(F.lag("link").over(w), F.lit("")))
+    sound = (F.col("previous") == F.col("_before")) & (F.col("link") == F.sha2(F.concat("previous", F.sha2(body, 256)), 256))
+    return rows.filter(~F.coalesce(sound, F.lit(False))).select(chain, order)
 
 
 def null_sum(value: str) -> Column:

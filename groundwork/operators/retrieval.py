@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,12 +26,15 @@ def lexical_hits(queries: DataFrame, fields: DataFrame, query: str, item: str, l
     ranked, so that ties do not hang on the order of addition.
     """
     weights = F.create_map(*(F.lit(x) for kv in S.FIELD_WEIGHTS.items() for x in kv))
-    best = fields.groupBy(item, "token").agg(F.max(weights[F.col("field")]).alias("field_weight"), F.bool_or(F.col("field").isin(*S.ANCHOR_FIELDS)).alias("anchor"))
-    df = document_frequency(fields.select(item, "token"), item)
-    common = (F.col("total") >= S.COMMON_TOKEN_MIN) & (F.col("df") >= S.COMMON_TOKEN_SHARE * F.col("total"))
-    useful = queries.join(df, "token", "left").withColumn("common", F.coalesce(common, F.lit(False)))
-    n = fields.agg(F.countDistinct(item).alias("n"))
-    asked = useful.filter(~F.col("common")).join(F.broadcast(n)).withColumn("idf", F.coalesce("idf", F.log1p(F.col("n").cast("double"))))
+    # Only tokens that someone asks for are kept; frequencies come from the same aggregate as the matches
+    wanted = fields.join(queries.select("token").distinct(), "token", "left_semi")
+    best = wanted.groupBy(item, "token").agg(F.max(weights[F.col("field")]).alias("field_weight"), F.bool_or(F.col("field").isin(*S.ANCHOR_FIELDS)).alias("anchor"))
+    n = fields.select(item).distinct().agg(F.count("*").alias("n"))
+    df = best.groupBy("token").agg(F.count("*").alias("df"))
+    useful = queries.join(df, "token", "left").crossJoin(F.broadcast(n))  # one row
+    common = (F.col("n") >= S.COMMON_TOKEN_MIN) & (F.col("df") >= S.COMMON_TOKEN_SHARE * F.col("n"))
+    most = F.log1p(F.col("n").cast("double"))
+    asked = useful.filter(~F.coalesce(common, F.lit(False))).withColumn("idf", F.coalesce(S.idf(F.col("n").cast("double"), F.col("df")), most))
     mass = asked.groupBy(query).agg(F.sum("idf").alias("mass"), F.max(F.log1p(F.col("n").cast("double"))).alias("rarest"))
     hits = asked.select(query, "token", "idf").join(best, "token")
     scored = hits.groupBy(query, item).agg(F.round(F.sum(F.col("field_weight") * F.col("idf")), 9).alias("score"), F.sum(F.when(F.col("anchor"), F.col("idf"))).alias("anchored"))
@@ -52,8 +57,40 @@ def fuse(lists: list[DataFrame], key: list[str]) -> DataFrame:
     return both.groupBy(*key).agg(F.sum("part").alias("score"))
 
 
+#: Rows of a block of queries and of a block of rows that are compared with each other at once.
+QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
+
+
+def _block_scores(left: pa.Table, right: pa.Table, query: str, item: str, limit: int) -> pa.Table:
+    """The best ``limit`` rows of each query of one pair of blocks."""
+    matrix = lambda t, c: np.array(t[c].to_pylist(), np.float64).reshape(t.num_rows, -1)
+    out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+    if left.num_rows and right.num_rows:
+        q, r = matrix(left, "query_vector"), matrix(right, "vector")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = (q @ r.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1)[None])
+        cosine[~(cosine >= S.SEMANTIC_FLOOR)] = -np.inf
+        ids = right[item].to_numpy()
+        order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :limit]
+        score = np.take_along_axis(cosine, order, 1)
+        row, at = np.nonzero(score > -np.inf)
+        out = [left[query].to_numpy()[row], ids[order[row, at]], score[row, at]]
+    return pa.table({query: pa.array(out[0], pa.int64()), item: pa.array(out[1], pa.int64()), "cosine": pa.array(out[2], pa.float64())})
+
+
 def cosine_top(queries: DataFrame, rows: DataFrame, on: str | None, query: str, item: str, limit: int = S.SEMANTIC_LIMIT) -> DataFrame:
-    """The rows of cosine at least the floor, best first, within each ``on`` or among all."""
-    pairs = rows.join(queries, on) if on else rows.join(queries).withColumn("cosine", S.cosine(F.col("query_vector"), F.col("vector")))
+    """The rows of cosine at least the floor, best first, within each ``on`` or, for a query set of any size, among all.
+
+    Among all, blocks of queries meet blocks of rows and send on the best ``limit`` of each pair of blocks; ids are longs.
+    """
+    if on:
+        pairs = rows.join(queries, on).withColumn("cosine", S.cosine(F.col("query_vector"), F.col("vector"))).filter(F.col("cosine") >= S.SEMANTIC_FLOOR)
+    else:
+        n_q, n_r = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (rows, ROW_BLOCK)))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = queries.select(F.col(query).cast("bigint").alias(query), "query_vector", F.pmod(F.hash(query), F.lit(n_q)).alias("qb"), every(n_r).alias("rb"))
+        right = rows.select(F.col(item).cast("bigint").alias(item), "vector", F.pmod(F.hash(item), F.lit(n_r)).alias("rb"), every(n_q).alias("qb"))
+        best = lambda q, r: _block_scores(q, r, query, item, limit)
+        pairs = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(best, f"{query} bigint, {item} bigint, cosine double")
     order = Window.partitionBy(query).orderBy(F.desc("cosine"), item)
-    return pairs.filter(F.col("cosine") >= S.SEMANTIC_FLOOR).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(query, item, "cosine", "rank")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(query, item, "cosine", "rank")

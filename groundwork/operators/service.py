@@ -58,14 +58,34 @@ def authority(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     return fact.groupBy("concept_id").agg((S.PRIOR_FLOOR + (1 - S.PRIOR_FLOOR) * F.max("w")).alias("prior"))
 
 
+def applying(queries: DataFrame, concepts: DataFrame) -> DataFrame:
+    """query_id, concept_id by ``applies``, as an equality join: a place and a jurisdiction expand to what holds them.
+
+    Queries without a place meet every concept with jurisdictions, and concepts without a list meet every query.
+    """
+    one = lambda kind, key: F.array(F.struct(F.lit(kind).alias("kind"), key.alias("key")))
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+
+    def held_by(code: Column) -> Column:
+        parts = F.split(code, "-")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "-"))
+
+    as_keys = lambda kind, codes: F.transform(codes, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("key")))
+    place, js = F.col("place"), F.col("jurisdictions")
+    asks = F.when(place.isNull(), F.concat(one("all", F.lit("")), one("any", F.lit("")))).otherwise(F.concat(as_keys("over", held_by(place)), one("under", place), one("any", F.lit(""))))
+    over, under = as_keys("over", js), F.flatten(F.transform(js, lambda j: as_keys("under", held_by(j))))
+    has = F.when(js.isNull(), one("any", F.lit(""))).otherwise(F.concat(over, under, F.when(F.size(js) > 0, one("all", F.lit(""))).otherwise(none)))
+    keyed = lambda df, item, keys: df.select(item, F.explode(keys).alias("k")).select(item, "k.kind", "k.key")
+    return keyed(queries, "query_id", asks).join(keyed(concepts, "concept_id", has), ["kind", "key"]).select("query_id", "concept_id").distinct()
+
+
 def search(queries: DataFrame, concepts: DataFrame, facts: DataFrame, prior: DataFrame, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, limit: int = 3) -> DataFrame:
     """query_id, concept_id, rank, score, verdict for queries (query_id, text, place).
 
     Words alone rank by weight; with vectors, both lists are fused by reciprocal ranks. The verdict rests on the
     words that are not facets and, with vectors, on the best cosine of the concepts that apply.
     """
-    pairs = queries.select("query_id", "place").join(concepts.select("concept_id", "jurisdictions"))  # queries are a request's few
-    allowed = pairs.filter(applies(F.col("jurisdictions"), F.col("place"))).select("query_id", "concept_id")
+    allowed = applying(queries, concepts)
     fields, asked = concept_fields(concepts, facts), query_tokens(queries)
     every = concepts.count()
     hits = lexical_hits(asked.select("query_id", "token"), fields, "query_id", "concept_id", every, prior).join(allowed, ["query_id", "concept_id"], "left_semi")

@@ -145,28 +145,52 @@ def release_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.diff(docs.filter("v = 0"), docs.filter("v = 1"), "k", "lang", "source")
 
 
-@query("""
-    WITH t AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]{4,}')) AS tokens FROM documents),
-    e AS (SELECT source, doc_id, len(tokens) AS n, unnest(tokens) AS token FROM t WHERE len(tokens) >= 2),
-    f AS (SELECT source, token FROM e GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50),
-    p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS rare
-          FROM e a JOIN f USING (source, token) JOIN e b USING (source, token) WHERE a.doc_id < b.doc_id GROUP BY ALL)
-    SELECT p.a, p.b, len(list_intersect(x.tokens, y.tokens))::INT AS overlap FROM p JOIN t x ON x.doc_id = p.a JOIN t y ON y.doc_id = p.b
-    WHERE len(list_intersect(x.tokens, y.tokens)) >= 2 AND len(list_intersect(x.tokens, y.tokens)) >= 0.6 * (na + nb - len(list_intersect(x.tokens, y.tokens)))
+_LABELS = """
+    t AS (SELECT doc_id, source, list_sort(list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]{4,}'))) AS tokens FROM documents),
+    k AS (SELECT source, tokens, min(doc_id) AS rep, count(*) AS copies FROM t WHERE len(tokens) >= 2 GROUP BY ALL)
+"""
+
+
+def _label_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, tokens (sorted) of first lines with at least two words."""
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("tokens"))
+    return docs.filter(F.size("tokens") >= 2)
+
+
+@query(f"WITH {_LABELS} SELECT doc_id, rep, copies FROM t JOIN k ON t.source IS NOT DISTINCT FROM k.source AND t.tokens = k.tokens")
+def consolidation_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source with equal first-line words: their class, named by its smallest id."""
+    docs = _label_classes(spark, sf_dir).select("doc_id", "source", F.sha2(F.array_join("tokens", " "), 256).alias("h"))
+    classes = docs.groupBy("source", "h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    same = docs["source"].eqNullSafe(classes["source"]) & (docs["h"] == classes["h"])
+    return docs.join(classes, same).select("doc_id", "rep", "copies")
+
+
+@query(f"""
+    WITH {_LABELS}
+    SELECT a.rep AS a, b.rep AS b, a.copies AS copies_a, b.copies AS copies_b, len(list_intersect(a.tokens, b.tokens))::INT AS overlap
+    FROM k a JOIN k b ON a.source IS NOT DISTINCT FROM b.source AND a.rep < b.rep
+    WHERE len(list_intersect(a.tokens, b.tokens)) >= 2 AND 10 * len(list_intersect(a.tokens, b.tokens)) >= 6 * (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)))
 """)
 def consolidation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a source whose first lines share at least two words and 0.6 of their union, found by a word that at most 50 of them have."""
-    line = F.get(F.split("text", "\n"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("tokens"))
-    docs = docs.filter(F.size("tokens") >= 2)
-    each = docs.select("source", "doc_id", F.explode("tokens").alias("token"))
-    rare = each.groupBy("source", "token").count().filter("count between 2 and 50").select("source", "token")
-    each = each.join(rare, ["source", "token"])
-    a, b = each.select("source", "token", F.col("doc_id").alias("a")), each.select("source", "token", F.col("doc_id").alias("b"))
-    pairs = a.join(b, ["source", "token"]).filter("a < b").select("a", "b").distinct()
-    pairs = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.withColumn("overlap", both).filter((F.col("overlap") >= 2) & (F.col("overlap") >= 0.6 * (F.size("x") + F.size("y") - F.col("overlap")))).select("a", "b", "overlap")
+    """Classes of a source whose first lines share at least two words and 0.6 of their union.
+
+    Such classes share one of their rarest words: of n words, the first n - ceil(0.6 n) + 1. All others never meet.
+    """
+    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
+    classes = _label_classes(spark, sf_dir).groupBy(source.alias("source"), "tokens").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    each = classes.select("source", "rep", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = each.groupBy("source", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "token"))
+    alone = F.coalesce("df", F.lit(1))
+    prefix = each.join(often, ["source", "token"], "left").withColumn("df", alone).withColumn("place", place).filter("place <= n - ceil(n * 6 / 10) + 1 and df > 1")
+    a, b = (prefix.select("source", "token", F.col("rep").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    pairs = a.join(b, ["source", "token"]).filter("a < b and 10 * least(n_a, n_b) >= 6 * greatest(n_a, n_b)").select("a", "b").distinct()
+    whole = lambda c, t: classes.select(F.col("rep").alias(c), F.col("tokens").alias(t), F.col("copies").alias(f"copies_{c}"))
+    pairs = pairs.join(whole("a", "x"), "a").join(whole("b", "y"), "b").withColumn("overlap", F.size(F.array_intersect("x", "y")))
+    fits = (F.col("overlap") >= 2) & (10 * F.col("overlap") >= 6 * (F.size("x") + F.size("y") - F.col("overlap")))
+    return pairs.filter(fits).select("a", "b", "copies_a", "copies_b", "overlap")
 
 
 @query("""

@@ -179,12 +179,10 @@ def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.place_candidates(nation.select(F.col("n_name").alias("name"), key.alias("key"), loose.alias("loose")), register, "name")
 
 
-@query("""
-    WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)
-    SELECT lang, sum(n) FILTER (source = 'src0')::BIGINT AS src0, sum(n) FILTER (source = 'src1')::BIGINT AS src1, sum(n) FILTER (source = 'src2')::BIGINT AS src2 FROM c GROUP BY lang
-""")
+@query("SELECT * FROM (PIVOT documents ON source USING count(*) GROUP BY lang)")
 def coverage_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).count()
+    """Documents by language and source, a column for every source; Spark refuses more than spark.sql.pivotMaxValues (10,000)."""
+    return table(spark, sf_dir, "documents").groupBy("lang").pivot("source").count().na.fill(0)
 
 
 @query("""

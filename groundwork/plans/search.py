@@ -11,6 +11,9 @@ from ..functions.text import STOPWORDS, collapse_umlauts, question_language, ste
 from ..operators import retrieval as R
 from .registry import query, table
 
+#: Passages up to which their words are broadcast; more meet the documents' words in a shuffle.
+PROBE_ITEMS = 100_000
+
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TOKENS = (
     "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda w: w NOT IN ("
@@ -92,7 +95,7 @@ def match_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = """
-    q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings ORDER BY vec_id LIMIT 16),
+    q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
     long AS (SELECT query_id, vec_id, unnest(e)::DOUBLE AS x, unnest(embedding)::DOUBLE AS y FROM embeddings, q),
     scored AS (SELECT query_id, vec_id, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS cosine FROM long GROUP BY ALL)
 """
@@ -104,10 +107,10 @@ _NEAR = """
     FROM scored WHERE cosine >= 0.5 QUALIFY rank <= 10
 """)
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored vectors of the 16 smallest ids against all rows: a query set of fixed size, so it is broadcast."""
+    """Every vector whose id is divisible by 20 against all rows, in blocks."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    asked = rows.orderBy("vec_id").limit(16).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    out = R.cosine_top(F.broadcast(asked), rows, None, "query_id", "vec_id")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    out = R.cosine_top(asked, rows, None, "query_id", "vec_id")
     return out.select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
@@ -138,11 +141,18 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.filter(F.slice(F.split("text", " "), F.lit(2), F.greatest(F.size(F.split("text", " ")) - 2, F.lit(0))), lambda w: w != "")
     rare = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))
     keyed = items.select("item_id", F.col("text").alias("passage"), rare["word"].alias("word"))
+    few = items.count() <= PROBE_ITEMS
+    probe = lambda df: F.broadcast(df) if few else df
+    # a document's words meet the probe words where they are read; only those that match are shuffled
     terms = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    pairs = terms.join(keyed.filter("word is not null"), "word").select("doc_id", "item_id", "passage")
-    bare = keyed.filter("word is null").select("item_id", "passage")  # passages of one or two words
+    asked = keyed.filter("word is not null")
+    narrowed = terms.join(probe(asked.select("word").distinct()), "word", "left_semi")
+    pairs = narrowed.join(probe(asked), "word").select("doc_id", "item_id", "passage")
     found = pairs.join(docs, "doc_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    return found.unionByName(docs.join(bare, F.contains("text", F.col("passage"))).select("item_id", "doc_id")).distinct()
+    bare = keyed.filter("word is null").select("item_id", "passage")  # passages of one or two words: no word to join on
+    if not bare.isEmpty():
+        found = found.unionByName(docs.join(bare, F.contains("text", F.col("passage"))).select("item_id", "doc_id"))
+    return found.distinct()
 
 
 @query(f"""

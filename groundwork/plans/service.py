@@ -53,14 +53,27 @@ def top_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "user_id", "event_type").limit(20)
 
 
-@query("""
-    WITH e AS (SELECT user_id, event_id, sha256(event_id || '|' || event_type || '|' || props) AS digest FROM events),
-    p AS (SELECT *, coalesce(lag(digest) OVER (PARTITION BY user_id ORDER BY event_id), '') AS previous FROM e)
-    SELECT user_id, event_id, digest, previous, sha256(previous || digest) AS link FROM p
-""")
+_CHAIN = """
+    e AS (SELECT user_id, event_id, sha256(event_id || '|' || event_type || '|' || props) AS digest, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    l AS (SELECT user_id, event_id, digest, n, '' AS previous, sha256(digest) AS link FROM e WHERE n = 1
+          UNION ALL SELECT e.user_id, e.event_id, e.digest, e.n, l.link, sha256(l.link || e.digest) FROM l JOIN e ON e.user_id = l.user_id AND e.n = l.n + 1)
+"""
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT user_id, event_id, digest, previous, link FROM l")
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
-    return O.chained(table(spark, sf_dir, "events"), "user_id", "event_id", body).select("user_id", "event_id", "digest", "previous", "link")
+    return O.chained(table(spark, sf_dir, "events"), "user_id", "event_id", body)
+
+
+@query("SELECT user_id, event_id FROM events WHERE event_id % 501 = 7")
+def chain_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain with some events altered after they were sealed: those and no others break it."""
+    events = table(spark, sf_dir, "events")
+    body = F.concat_ws("|", F.col("event_id").cast("string"), "event_type", "props")
+    stored = O.chained(events, "user_id", "event_id", body).select("user_id", "event_id", "previous", "link")
+    altered = events.withColumn("props", F.when(F.col("event_id") % 501 == 7, F.concat("props", F.lit(" "))).otherwise(F.col("props")))
+    return O.chain_breaks(stored.join(altered, ["user_id", "event_id"]), "user_id", "event_id", body)
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
     have = canon(got.select(*columns).collect())
     quoted = ", ".join(f'"{c}"' for c in columns)
     assert have == canon(duck.sql(f"select {quoted} from ({catalogue.oracle_sql()[name]}) t").fetchall())
-    assert have or name in {"fk_issues"}
+    assert have or name in {"fk_issues", "consolidation_pairs"}  # none at the smallest scale
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
