@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -228,6 +229,31 @@ def test_dual_coordinate_descent_separates():
     assert ((s >= 0.5) == y).mean() > 0.98
 
 
+def test_fit_against_a_plain_dual_solver():
+    """The same problem with dense rows and cyclic steps until nothing moves: equal margins."""
+    rng = np.random.default_rng(3)
+    y = (np.arange(80) % 3 == 0).astype(np.int64)
+    rows = [np.unique(np.concatenate([rng.integers(0, 60, 12), [70 + 3 * k + int(rng.integers(0, 3))]])).astype(np.int32) for k in y]
+    m = quality.fit(rows, y, cost=1.0, epochs=400)
+    counts = np.ones((2, 80))
+    for f, k in zip(rows, y):
+        counts[k, f] += 1
+    rest = (1 << quality.TABLE_BITS) - 80  # features that no row has count one each
+    ratio = np.log((counts[1] / (counts[1].sum() + rest)) / (counts[0] / (counts[0].sum() + rest)))
+    x = np.zeros((80, 81))
+    for i, f in enumerate(rows):
+        x[i, f] = ratio[f] / np.sqrt((ratio[f] ** 2).sum())
+        x[i, 80] = 1
+    sign, most = np.where(y == 1, 1, -1), np.where(y == 1, 80 / (2 * y.sum()), 80 / (2 * (1 - y).sum()))
+    alpha, w = np.zeros(80), np.zeros(81)
+    for _ in range(3000):
+        for i in range(80):
+            new = min(max(alpha[i] - (sign[i] * (w @ x[i]) - 1) / (x[i] @ x[i]), 0), most[i])
+            w += (new - alpha[i]) * sign[i] * x[i]
+            alpha[i] = new
+    assert np.abs(np.array([m.margin(f) for f in rows]) - x @ w).max() < 2e-3
+
+
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -251,6 +277,23 @@ def test_base_spans_against_patterns():
     assert sorted(pii.base_spans(card)) == sorted(plain_spans(card)) and len(pii.base_spans(card)) == 4
 
 
+@pytest.mark.parametrize("table", ["awkward", "shared"])
+def test_personal_data_against_patterns(spark, sf_dir, table):
+    """Counts and digest of the base spans of every text; the method's spans come on top and overlap none of them."""
+    docs = awkward(spark) if table == "awkward" else spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names, want = ("email", "ip", "card", "phone"), Counter()
+    for r in docs.select("doc_id", "text").collect():
+        base = sorted(plain_spans(r.text or ""))
+        joined = ",".join(f"{names[k - 1]}:{s}:{e}" for k, s, e in base)
+        want[(r.doc_id, *(sum(b[0] == k for b in base) for k in range(1, 5)), hashlib.sha256(joined.encode()).hexdigest())] += 1
+    got = pii.personal_data(docs.selectExpr("*", "1 as base", "2 as nodes")).collect()
+    assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == want
+    for r in got:
+        each = [x.split(":") for x in r.spans.split(",") if x]
+        n = r.n_email + r.n_ip + r.n_card + r.n_phone
+        assert len(each) == n + r.n_added and each == sorted(each, key=lambda x: (names.index(x[0]), int(x[1])))
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 300_000, "a" * 300_000, "a@" * 100_000, "1." * 100_000, "+1" * 100_000):
         pii.base_spans(text)

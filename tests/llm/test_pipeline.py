@@ -1,7 +1,8 @@
+import zlib
 from collections import defaultdict
 
 import corpus_pipeline
-from helpers import lower, near_classes
+from helpers import awkward, empty, lower, near_classes
 
 from groundwork.llm import exact_dedup, mixing, near_dedup, packing, quality, queries
 
@@ -38,6 +39,22 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == steps["pack"]
 
 
+def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
+    """Nulls, long and empty texts, repeats: every stage works on what the one before it kept; nothing in, nothing out."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (4, 0, 0), (7, 0, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    for name, docs in (("some", awkward(spark)), ("none", empty(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        rows = out.collect()
+        assert (name == "some") == bool(rows)
+        assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+        stage = awkward(spark) if name == "some" else empty(spark)
+        for step, f in corpus_pipeline.STAGES[:-1]:
+            after = f(spark, stage, f"{tmp_path}/{name}")
+            assert after.columns == docs.columns and after.count() <= stage.count()
+
+
 def test_clean_documents_pass_the_first_stage(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

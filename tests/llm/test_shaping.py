@@ -24,7 +24,7 @@ def whole_ids(texts):
 def test_packing(spark, sf_dir, table):
     docs = awkward(spark) if table == "awkward" else spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
-    got = packing.packed(docs, PATH).collect()
+    got = packing.packed(docs.selectExpr('*', '1 as piece', '2 as block', '3 as rank', '4 as length'), PATH).collect()
     want = defaultdict(int)
     for r, ids in zip(rows, whole_ids([r.text for r in rows])):
         n = -(-len(ids) // 1024)
