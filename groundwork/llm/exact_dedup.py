@@ -184,11 +184,9 @@ def duplicate_groups(keyed: DataFrame, n_rows: int) -> DataFrame:
 
 
 def _historical(docs: DataFrame, doc_id: str):
-    """The older half by id is the history, what follows is the batch that comes in."""
-    low, high = docs.agg(F.min(doc_id), F.max(doc_id)).first()
-    if low is None:
-        return F.lit(False)
-    return F.coalesce(F.col(doc_id) < F.lit(low + (high - low) // 2), F.lit(False))
+    """The older half of the rows by id is the history, what follows is the batch that comes in; null ids come in."""
+    middle = docs.agg(F.percentile_approx(doc_id, 0.5)).first()[0]
+    return F.lit(False) if middle is None else F.coalesce(F.col(doc_id) < F.lit(middle), F.lit(False))
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
