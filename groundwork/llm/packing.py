@@ -29,6 +29,8 @@ from .scratch import written
 
 CAPACITY = 1024
 END_ID = 2
+#: Counts by block and length up to which they are broadcast (about 50 MB); more are joined in a shuffle.
+BROADCAST_COUNTS = 500_000
 
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -145,7 +147,8 @@ def packed(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
     slots = spark.createDataFrame(plan(histogram, capacity), _SLOTS)
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select("block", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = cut.join(starts, ["block", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    few = per_block.count() <= BROADCAST_COUNTS
+    ranked = cut.join(F.broadcast(starts) if few else starts.hint("merge"), ["block", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     # The plan has a few ranges per length, whatever the number of documents
     took = ranked.join(F.broadcast(slots), (ranked["length"] == slots["length"]) & ranked["rank"].between(slots["rank_from"], slots["rank_to"] - 1))
     nth = F.col("rank") - F.col("rank_from")

@@ -289,3 +289,10 @@ def test_chat_views_awkward(spark):
     assert chat_views.views(turns.filter("false")).count() == 0
     odd = turns.selectExpr("*", "1 as part", "2 as rank", "3 as assistant", "4 as of", "5 as at")
     assert {(r.conv_id, r.assistant, r.text) for r in chat_views.views(odd).collect()} == {(c, a, r.text) for (c, a), r in got.items()}
+
+
+def test_packing_without_broadcast(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    a = sorted(map(tuple, packing.packed(docs, PATH).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)
+    assert sorted(map(tuple, packing.packed(docs, PATH).collect())) == a
