@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import host_of
+from ..operators import anchors as A
 from ..operators import release as R
 from .registry import query, table
 
@@ -181,3 +182,25 @@ def review_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "labels").select("doc_id")
     verdicts = given.unionAll(given.filter("doc_id % 6 = 0")).unionAll(given.filter("doc_id % 25 = 0").select(F.col("doc_id") + 1000000000))
     return R.review_issues(table(spark, sf_dir, "documents").select("doc_id"), verdicts, "doc_id")
+
+
+@query("""
+    WITH a AS (SELECT doc_id AS anchor_id, CASE WHEN doc_id % 9 = 0 THEN 'never said ' || doc_id ELSE substring(text, 11, 60) END AS excerpt,
+                      CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || text ELSE 'new opening' || chr(10) || text END AS content FROM documents WHERE length(text) >= 100),
+    p AS (SELECT anchor_id, excerpt, content, list_filter(range(1, length(content) - length(excerpt) + 2), lambda i: substring(content, i, length(excerpt)) = excerpt) AS found FROM a),
+    r AS (SELECT anchor_id, CASE len(found) WHEN 0 THEN 'changed' WHEN 1 THEN 'moved' ELSE 'ambiguous' END AS outcome, CASE WHEN len(found) = 1 THEN found[1] - 1 END AS s, length(excerpt) AS n, content FROM p)
+    SELECT anchor_id, outcome, s::BIGINT AS start, (s + n)::BIGINT AS "end", (length(substring(content, 1, s)) - length(replace(substring(content, 1, s), chr(10), '')) + 1)::BIGINT AS first_block,
+           (length(substring(content, 1, s + n - 1)) - length(replace(substring(content, 1, s + n - 1), chr(10), '')) + 1)::BIGINT AS last_block
+    FROM r
+""")
+def excerpt_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of documents in newer versions that begin with another line or say everything twice; blocks are lines."""
+    k, text = F.col("doc_id"), F.col("text")
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 100)
+    content = F.when(k % 5 == 0, F.concat(text, F.lit("\n"), text)).otherwise(F.concat(F.lit("new opening\n"), text))
+    records = docs.select(k.alias("document"), content.alias("content"))
+    anchors = docs.select(k.alias("anchor_id"), k.alias("document"), F.when(k % 9 == 0, F.concat(F.lit("never said "), k.cast("string"))).otherwise(F.substring("text", 11, 60)).alias("excerpt"))
+    lines = records.select("document", F.split("content", "\n").alias("lines")).select("document", "lines", F.posexplode("lines").alias("at", "line"))
+    start = F.aggregate(F.slice("lines", F.lit(1), F.col("at")), F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1)
+    blocks = lines.select("document", (F.col("at") + 1).cast("bigint").alias("block_no"), start.alias("start"), (start + F.length("line") + 1).alias("end"))  # a line and its end
+    return A.relocated_by_excerpt(anchors, records, blocks)

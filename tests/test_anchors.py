@@ -15,3 +15,14 @@ def test_pinned(spark):
     ranges = spark.createDataFrame([(7, "d", 1, 2)], "anchor_id int, document string, first_block int, last_block int")
     r = anchors.pinned(blocks, ranges).first()
     assert (r.hashes, r.start, r.end) == (["h1", "h2"], 10, 28)
+
+
+def test_excerpts_and_closest_blocks(spark):
+    records = spark.createDataFrame([("d", "aaa one two three. four")], "document string, content string")
+    blocks = spark.createDataFrame([("d", 1, 0, 10, "aaa one tw"), ("d", 2, 10, 23, "o three. four")], "document string, block_no int, start int, end int, text string")
+    asked = spark.createDataFrame([(1, "d", "one two"), (2, "d", "aa"), (3, "d", "one 2 three"), (4, "d", ""), (5, "e", "x")], "anchor_id int, document string, excerpt string")
+    got = {r.anchor_id: tuple(r)[1:] for r in anchors.relocated_by_excerpt(asked, records, blocks).select("anchor_id", "outcome", "start", "end", "first_block", "last_block").collect()}
+    assert got[1] == ("moved", 4, 11, 1, 2) and got[2] == ("ambiguous", None, None, None, None)
+    assert got[3][0] == got[4][0] == got[5][0] == "changed"
+    near = anchors.closest_blocks(asked.filter("anchor_id = 3"), blocks).orderBy("rank").collect()
+    assert [r["rank"] for r in near] == [1, 2] and near[0].ratio >= near[1].ratio > 0
