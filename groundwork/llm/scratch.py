@@ -28,10 +28,24 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/groundwork/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once the results that read them have been written."""
+    _delete(spark, _folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh scratch table and return a frame that reads it."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/groundwork/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -52,10 +66,4 @@ def release(spark: SparkSession) -> None:
 
 def discard(df: DataFrame) -> None:
     """Delete the scratch table behind ``df``, once all that was read from it has been written."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shards(spark: SparkSession, least: int = 32) -> int:
-    """How many hash ranges a global exchange uses: it follows the shuffle partitions set for the cluster."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    _delete(df.sparkSession, df._scratch_path)
