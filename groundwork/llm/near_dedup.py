@@ -255,7 +255,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bands = sets.select("uid", F.explode("bands").alias("bucket"))
     n_bands = BANDS * sets.count()
     shared = bands.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
-    bucketed = written(join_groups(bands, shared, "bucket", "held", n_bands), "near-buckets")
+    bucketed = written(bands.join(shared, "bucket"), "near-buckets")  # a plain join, so Spark splits the rows of a hot bucket
     central = bucketed.groupBy("uid").agg(F.sum("held").alias("weight"))
     weighed = bucketed.join(central, "uid")
     hub = weighed.groupBy("bucket").agg(F.max_by("uid", F.struct("weight", -F.col("uid"))).alias("hub"), F.max("held").alias("size"))

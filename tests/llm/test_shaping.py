@@ -61,7 +61,7 @@ def test_plan_is_best_fit():
     assert len(room) == 4
 
 
-def plain_rates(cells, power=0.7, rounds=300):
+def plain_rates(cells, power=0.7, rounds=100):
     """Keep rates of cells {(source, lang, topic): tokens} by plain raking, and the targets."""
     total = sum(cells.values())
     sums = [defaultdict(float) for _ in range(3)]
@@ -77,15 +77,22 @@ def plain_rates(cells, power=0.7, rounds=300):
     goals.append(defaultdict(float))
     for (lang, topic), n in within.items():
         goals[2][topic] += goals[1][lang] * n**power / z[lang]
-    keep = min(sums[k][c] / g for k in range(3) for c, g in goals[k].items())
-    factor = dict.fromkeys(cells, keep / total)
+    keep, wanted = 0.5 * total, []
+    for k in range(3):
+        scale = keep
+        for _ in range(50):
+            whole = {c for c, g in goals[k].items() if g * scale >= sums[k][c]}
+            left = sum(g for c, g in goals[k].items() if c not in whole)
+            scale = max(scale, (keep - sum(sums[k][c] for c in whole)) / left) if left else scale
+        wanted.append({c: min(g * scale, sums[k][c]) for c, g in goals[k].items()})
+    factor = dict.fromkeys(cells, 0.5)
     for _ in range(rounds):
         for k in range(3):
             have = defaultdict(float)
             for key, n in cells.items():
                 have[key[k]] += n * min(1.0, factor[key])
             for key in cells:
-                factor[key] *= goals[k][key[k]] * keep / have[key[k]]
+                factor[key] = min(factor[key] * wanted[k][key[k]] / have[key[k]], 1e9)
     return {key: min(1.0, f) for key, f in factor.items()}, goals
 
 
