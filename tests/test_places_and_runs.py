@@ -4,8 +4,8 @@ from groundwork.operators import operations, places, release, retrieval, runs, s
 
 
 def test_places(spark):
-    register = spark.createDataFrame([("CH", "Swissland"), ("CH-ZH", "Zett"), ("CH-BE", "Bee"), ("CH-ZH-261", "Town"), ("CH-BE-12", "Town"), ("CH-BE-13", "Brook")], "code string, name string")
-    asked = [(1, None, None, "town"), (2, None, "zett", "town"), (3, "ch", "ZH", "brook"), (4, None, None, "261"), (5, None, "zh", "0261"), (6, None, None, "ZH-261"), (7, "Mars", "ZH", "town"), (8, "Swissland", "Nowhere", "brook"), (9, " ", " ", " ")]
+    register = spark.createDataFrame([("CH", "Alpland"), ("CH-ZH", "Zett"), ("CH-BE", "Bee"), ("CH-ZH-261", "Town"), ("CH-BE-12", "Town"), ("CH-BE-13", "Brook")], "code string, name string")
+    asked = [(1, None, None, "town"), (2, None, "zett", "town"), (3, "ch", "ZH", "brook"), (4, None, None, "261"), (5, None, "zh", "0261"), (6, None, None, "ZH-261"), (7, "Mars", "ZH", "town"), (8, "Alpland", "Nowhere", "brook"), (9, " ", " ", " ")]
     got = {r.request_id: r for r in places.resolved(spark.createDataFrame(asked, "request_id int, country string, canton string, city string"), register, "CH").collect()}
     assert got[1].error == "city fits several" and got[3].error == "city lies elsewhere"
     assert got[2].municipality == got[5].municipality == got[6].municipality == "CH-ZH-261"
