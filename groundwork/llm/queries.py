@@ -83,6 +83,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def _with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text: where crc32(doc_id) ends in 0, the words from number a = g % n on are those of a period
+    p = 1 + floor((n - a) / (3 + g % 8)), g being the rest of that number."""
+    from pyspark.sql import functions as F
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words"), F.size(words).alias("n"))
+    docs = docs.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + floor((n - a) / (3 + g % 8))"))
+    planted = F.expr("array_join(transform(sequence(0, n - 1), i -> words[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .periodic_runs import periodic_runs
+
+    out = periodic_runs(_with_planted_repeats(_table(spark, sf_dir, "documents")))
+    out = out.withColumn("longest", F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as back, -r.period as low)))"))
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("longest.back")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.low")).alias("period"), F.expr("1000 * longest.length div -longest.low").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_chat_views, op3_language_model, op4_best_fit_packing, op5_neighbours, op6_mixing, op7_pii, op8_sentence_spans, op9_near_dedup, op10_quality, pipeline]
+    own = [op1_exact_dedup, op2_chat_views, op3_language_model, op4_best_fit_packing, op5_neighbours, op6_mixing, op7_pii, op8_sentence_spans, op9_near_dedup, op10_quality, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -125,4 +153,41 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(string_agg((after - 11 - length(text))::BIGINT || ':' || (after - 1)::BIGINT, ',' ORDER BY after) FILTER (own), '') AS mask
             FROM a GROUP BY conv_id, assistant
         """,
+        "op13_periodic_runs": r"""
+            WITH tbl AS (
+                SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+            ), d AS (
+                SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+                       xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+                FROM documents, tbl
+            ), g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM d
+            ), a AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a FROM g
+            ), p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a
+            ), words AS (
+                SELECT doc_id, n, i, w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+                FROM (SELECT *, unnest(range(n)) AS i FROM p)
+            ), grams AS (
+                SELECT doc_id, i, hash(list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)) AS gram, n FROM words
+            ), pairs AS (
+                SELECT x.doc_id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+                FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i
+                WHERE y.i + 6 <= y.n
+            ), stretches AS (
+                SELECT doc_id, min(i) AS start, count(*) + 5 + q AS length, q AS period FROM pairs GROUP BY doc_id, q, island
+            ), runs AS (
+                SELECT doc_id, start, length, min(period) AS period FROM stretches WHERE length >= 12 AND length >= 2 * period GROUP BY doc_id, start, length
+            ), dropped AS (
+                SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+            ), by_run AS (
+                SELECT doc_id, count(*) AS n_runs, max(struct_pack(a := length, b := -start, c := -period)) AS top,
+                       string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+                FROM runs GROUP BY doc_id
+            ), kept AS (
+                SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS body FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+            )
+            SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -top.b AS start, top.a AS length, -top.c AS period, (1000 * top.a // -top.c)::BIGINT AS exponent_milli,
+                   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+            FROM documents LEFT JOIN by_run USING (doc_id) LEFT JOIN kept USING (doc_id)
+        """,
     }
