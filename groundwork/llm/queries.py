@@ -83,6 +83,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .suffix_dedup import without_earlier_strings
+
+    out = without_earlier_strings(_table(spark, sf_dir, "documents"))
+    n_removed = F.col("n_bytes") - F.length("kept")
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _with_planted_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text: where crc32(doc_id) ends in 0, the words from number a = g % n on are those of a period
     p = 1 + floor((n - a) / (3 + g % 8)), g being the rest of that number."""
@@ -118,7 +128,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_chat_views, op3_language_model, op4_best_fit_packing, op5_neighbours, op6_mixing, op7_pii, op8_sentence_spans, op9_near_dedup, op10_quality, op13_periodic_runs, pipeline]
+    own = [op1_exact_dedup, op2_chat_views, op3_language_model, op4_best_fit_packing, op5_neighbours, op6_mixing, op7_pii, op8_sentence_spans, op9_near_dedup, op10_quality, op12_suffix_dedup, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -153,6 +163,29 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(string_agg((after - 11 - length(text))::BIGINT || ':' || (after - 1)::BIGINT, ',' ORDER BY after) FILTER (own), '') AS mask
             FROM a GROUP BY conv_id, assistant
         """,
+        "op12_suffix_dedup": """
+            WITH t AS (
+                SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents
+            ), w AS (
+                SELECT doc_id, i, hash(substr(x, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, x, unnest(range(n_bytes - 49)) AS i FROM t)
+            ), f AS (
+                SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1
+            ), hit AS (
+                SELECT DISTINCT doc_id, i FROM w JOIN f USING (s) WHERE first < doc_id
+            ), runs AS (
+                SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+                FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit)
+            ), spans AS (
+                SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run
+            ), kept AS (
+                SELECT doc_id, substr(x, 2 * lag(b, 1, 0) OVER o + 1, 2 * (a - lag(b, 1, 0) OVER o)) AS piece, a, b FROM spans JOIN t USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+            ), by_doc AS (
+                SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(piece, '' ORDER BY a) AS head FROM kept GROUP BY doc_id
+            )
+            SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+                   sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+            FROM t LEFT JOIN by_doc USING (doc_id)
+        """,
         "op13_periodic_runs": r"""
             WITH tbl AS (
                 SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
