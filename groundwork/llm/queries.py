@@ -83,6 +83,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resampled
+
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -128,7 +134,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_chat_views, op3_language_model, op4_best_fit_packing, op5_neighbours, op6_mixing, op7_pii, op8_sentence_spans, op9_near_dedup, op10_quality, op12_suffix_dedup, op13_periodic_runs, pipeline]
+    own = [op1_exact_dedup, op2_chat_views, op3_language_model, op4_best_fit_packing, op5_neighbours, op6_mixing, op7_pii, op8_sentence_spans, op9_near_dedup, op10_quality, op11_importance, op12_suffix_dedup, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -163,6 +169,39 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(string_agg((after - 11 - length(text))::BIGINT || ':' || (after - 1)::BIGINT, ',' ORDER BY after) FILTER (own), '') AS mask
             FROM a GROUP BY conv_id, assistant
         """,
+        "op11_importance": r"""
+            WITH tbl AS (
+                SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+            ), texts AS (
+                SELECT 's' AS corpus, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark
+            ), rows AS (
+                SELECT row_number() OVER () AS r, corpus, doc_id,
+                       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+                FROM texts
+            ), feats AS (
+                SELECT r, corpus, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM rows
+            ), per AS (SELECT r, corpus, f, count(*) AS n FROM feats GROUP BY ALL
+            ), hashed AS (
+                SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)),
+                       lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+                FROM (SELECT DISTINCT f FROM per), tbl
+            ), b AS (SELECT r, corpus, bucket, sum(n) AS n FROM per JOIN hashed USING (f) GROUP BY ALL
+            ), c AS (SELECT bucket, coalesce(sum(n) FILTER (corpus = 's'), 0) AS s, coalesce(sum(n) FILTER (corpus = 't'), 0) AS t FROM b GROUP BY bucket
+            ), gains AS (
+                SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM c
+            ), sums AS (SELECT r, sum(n * gain) AS gain, sum(n)::BIGINT AS n FROM b JOIN gains USING (bucket) GROUP BY r
+            ), scored AS (
+                SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features,
+                       coalesce(CASE WHEN gain % n < 0 THEN (gain - gain % n) // n - 1 ELSE (gain - gain % n) // n END, 0)::BIGINT AS weight,
+                       ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h
+                FROM rows LEFT JOIN sums USING (r) WHERE corpus = 's'
+            ), noisy AS (
+                SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored
+            ), ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS able FROM noisy
+            )
+            SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END AS rank FROM ranked
+        """,
         "op12_suffix_dedup": """
             WITH t AS (
                 SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents
