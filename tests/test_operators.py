@@ -81,8 +81,8 @@ def test_diff(spark):
 def test_html_blocks(spark):
     page = "<html><head><title>T</title></head><body><nav><ul><li>Menu</li></ul></nav><main><h1>One</h1><p>a <b>b</b><br>c<p>d<h2>Two</h2><table><tr><td>x</td><td>y</td></tr></table></main><script>no()</script></body></html>"
     got = html.blocks(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).orderBy("block_no").collect()
-    assert [(r.kind, r.text, r.heading_path) for r in got] == [("li", "Menu", []), ("h1", "One", []), ("p", "a b c", ["One"]), ("p", "d", ["One"]), ("h2", "Two", ["One"]), ("td", "x", ["One", "Two"]), ("td", "y", ["One", "Two"])]
-    assert got[0].region == "navigation"
+    assert [(r.kind, r.text, r.heading_path) for r in got] == [("list_item", "Menu", []), ("heading", "One", ["One"]), ("paragraph", "a b c", ["One"]), ("paragraph", "d", ["One"]), ("heading", "Two", ["One", "Two"]), ("table", "x\ty", ["One", "Two"])]
+    assert got[0].region == "nav" and got[0].furniture == ["navigation"]
 
 
 def test_calendar_csv(spark, tmp_path):
