@@ -33,10 +33,14 @@ def named_list(codes: Column, conjunction: str = "and") -> Column:
 
 
 def _found(asked: DataFrame, register: DataFrame, level: int, value: str, within: str, fold: Callable[[Column], Column], out: str) -> DataFrame:
-    """request_id and the codes of a level that fit a value below a place; a spelling that is equal as written wins."""
-    names = register.filter(level_of(F.col("code")) == level).select("code", "name", fold(F.col("name")).alias("key"))
+    """request_id and the codes of a level that fit a value below a place; a spelling that is equal as written wins.
+    ``register`` may give names an ``order``: of the names that fit, those of the least order count (exact before loose)."""
+    stage = F.col("order") if "order" in register.columns else F.lit(0)
+    names = register.filter(level_of(F.col("code")) == level).select("code", "name", fold(F.col("name")).alias("key"), stage.alias("stage"))
     wanted = asked.filter(F.col(value).isNotNull()).select("request_id", F.col(value).alias("value"), F.col(within).alias("within"), fold(F.col(value)).alias("key"))
     hits = wanted.join(names, "key").filter(F.startswith("code", F.concat("within", F.lit("-"))) | (level == 0))
+    first = hits.groupBy("request_id").agg(F.min("stage").alias("stage"))
+    hits = hits.join(first, ["request_id", "stage"])
     exact = F.collect_set(F.when(F.trim("value") == F.col("name"), F.col("code")))
     return hits.groupBy("request_id").agg(exact.alias("e"), F.collect_set("code").alias("a")).select("request_id", F.array_sort(F.when(F.size("e") > 0, F.col("e")).otherwise(F.col("a"))).alias(out))
 
@@ -57,6 +61,9 @@ def resolved(requests: DataFrame, register: DataFrame, default_country: str, fol
     asked = asked.join(_found(asked, register, 0, "country", "none", fold, "by_name"), "request_id", "left")
     country = F.when(F.col("country").isNull(), F.lit(default_country)).otherwise(F.coalesce("by_code", F.get("by_name", F.lit(0))))
     asked = asked.withColumn("country_code", country).withColumn("served", F.col("country_code").isNotNull()).drop("by_code", "by_name")
+    # A country that is not served keeps its code, if a code was given
+    stated = F.coalesce("country_code", F.when(F.col("country").rlike("^[A-Za-z][A-Za-z0-9]$"), F.upper("country")))
+    asked = asked.withColumn("stated", stated)
     # Canton: the short code, with or without the country, or a name
     short = F.regexp_extract(F.upper("canton"), "^(?:([A-Z0-9]+)-)?([A-Z0-9]+)$", 2)
     own = F.regexp_extract(F.upper("canton"), "^(?:([A-Z0-9]+)-)?([A-Z0-9]+)$", 1)
@@ -71,8 +78,10 @@ def resolved(requests: DataFrame, register: DataFrame, default_country: str, fol
     lost = F.col("served") & F.col("canton").isNotNull() & F.col("canton_by_code").isNull() & (n == 0)
     asked = asked.withColumn("lost_canton", lost)
     # Municipality: a number in a code, a number next to a canton, or a name
-    number = F.regexp_extract(F.upper("city"), "^(?:(?:([A-Z0-9]+)-)?([A-Z][A-Z0-9]*)-)?([0-9]+)$", 3)
-    given = F.regexp_extract(F.upper("city"), "^(?:(?:([A-Z0-9]+)-)?([A-Z][A-Z0-9]*)-)?([0-9]+)$", 2)
+    # whose country, if the code names one, is the one asked in; another country's code is taken for a name
+    part = lambda k: F.regexp_extract(F.upper("city"), "^(?:(?:([A-Z0-9]+)-)?([A-Z][A-Z0-9]*)-)?([0-9]+)$", k)
+    foreign = (part(1) != "") & (part(1) != F.col("country_code"))
+    number, given = F.when(foreign, "").otherwise(part(3)), part(2)
     prefix = F.when(given != "", F.concat("country_code", F.lit("-"), given)).otherwise(F.col("canton_code"))
     asked = asked.withColumn("numbered", F.when(number != "", F.concat(prefix, F.lit("-"), F.ltrim(number, F.lit("0"))))).withColumn("is_number", F.coalesce(number != "", F.lit(False)))
     cities = codes.filter(level_of(F.col("code")) == 2).select(F.col("code").alias("city_by_code"))
@@ -85,31 +94,38 @@ def resolved(requests: DataFrame, register: DataFrame, default_country: str, fol
     missing = F.array_compact(F.array(F.when(F.col("lost_canton"), "canton"), F.when(wanted & (F.size("cities") == 0), "city")))
     out = asked.withColumn("error", error).withColumn("municipality", F.when(F.col("served") & F.col("error").isNull() & (F.size("inside") == 1), F.get("inside", F.lit(0))))
     canton = F.when(F.col("served") & F.col("error").isNull(), F.coalesce("canton_code", parent_of(F.col("municipality"))))
-    return out.select("request_id", "served", "country_code", canton.alias("canton_code"), "municipality", F.when(F.col("error").isNull(), missing).otherwise(F.array().cast("array<string>")).alias("not_recognised"), "error")
+    return out.select("request_id", "served", F.col("stated").alias("country_code"), canton.alias("canton_code"), "municipality", F.when(F.col("error").isNull(), missing).otherwise(F.array().cast("array<string>")).alias("not_recognised"), "error")
 
 
 def register_issues(register: DataFrame) -> DataFrame:
-    """rule, key, n: codes that repeat, codes without their parent, blank names."""
+    """rule, key, n: codes that repeat, that are malformed, or without their parent; blank names."""
     orphan = register.filter(parent_of(F.col("code")).isNotNull()).join(register.select(F.col("code").alias("p")), parent_of(F.col("code")) == F.col("p"), "left_anti")
     blank = register.filter(F.coalesce(F.trim("name"), F.lit("")) == "")
     one = lambda rows, rule: rows.select(F.lit(rule).alias("rule"), F.col("code").alias("key"), F.lit(1).cast("bigint").alias("n"))
-    return all_issues(duplicate_keys(register, "place.code", "code"), one(orphan, "place.parent"), one(blank, "place.name"))
+    malformed = register.filter(~F.coalesce(F.col("code").rlike("^[A-Z][A-Z0-9]+(-[A-Z][A-Z0-9]+(-[1-9][0-9]*)?)?$"), F.lit(False)))
+    return all_issues(duplicate_keys(register, "place.code", "code"), one(malformed, "place.malformed"), one(orphan, "place.parent"), one(blank, "place.name"))
 
 
 def applying_level(facts: DataFrame, requests: DataFrame) -> DataFrame:
     """request_id, level, n_applying, n_narrower, elsewhere: the deepest published level that holds the place.
 
     ``facts``: topic, jurisdiction; ``requests``: request_id, topic, place. Narrower facts lie strictly below the
-    place; elsewhere lists deeper places of the topic outside it, null when something lies below it.
+    place; elsewhere counts deeper places of the topic, all outside it, null when something lies below it. Facts count
+    once per topic and jurisdiction; requests on topics without facts are left out.
+
+    A place meets the places above it by equality on the few codes that lead to it, those below it by counts that each
+    fact adds to the codes above its own, and the others by counts of its topic by level.
     """
-    held = F.array_distinct(F.collect_list("jurisdiction"))
-    per = requests.join(facts.select("topic", "jurisdiction").distinct(), "topic")
-    over = F.startswith(F.concat("place", F.lit("-")), F.concat("jurisdiction", F.lit("-")))
-    under = F.startswith("jurisdiction", F.concat("place", F.lit("-")))
-    level = F.max(F.when(over, level_of(F.col("jurisdiction"))))
-    grouped = per.groupBy("request_id").agg(level.alias("level"), F.count_if(over).alias("n_applying"), F.count_if(under).alias("n_narrower"), held.alias("held"))
-    deeper = F.filter("held", lambda j: (level_of(j) > F.coalesce("level", F.lit(-1))))
-    return grouped.join(requests.select("request_id", "place"), "request_id").select(
-        "request_id", "level", "n_applying", "n_narrower",
-        F.when(F.col("n_narrower") == 0, F.size(F.filter(deeper, lambda j: ~F.startswith(F.concat("place", F.lit("-")), F.concat(j, F.lit("-")))))).cast("bigint").alias("elsewhere"),
-    )
+    parts = lambda c: F.split(c, "-")
+    upward = lambda c, least: F.transform(F.sequence(F.lit(1), F.size(parts(c)) - least), lambda k: F.array_join(F.slice(parts(c), F.lit(1), k), "-"))
+    held = facts.select("topic", "jurisdiction").distinct()
+    asked = requests.select("request_id", "topic", "place").join(held.select("topic").distinct(), "topic")
+    over = asked.select("request_id", "topic", F.explode(upward(F.col("place"), 0)).alias("jurisdiction")).join(held, ["topic", "jurisdiction"])
+    over = over.groupBy("request_id").agg(F.max(level_of(F.col("jurisdiction"))).alias("level"), F.count("*").alias("n_applying"))
+    above = F.filter(upward(F.col("jurisdiction"), 0), lambda c: c != F.col("jurisdiction"))
+    under = held.select("topic", F.explode(above).alias("place")).groupBy("topic", "place").agg(F.count("*").alias("n_narrower"))
+    levels = held.groupBy("topic", level_of(F.col("jurisdiction")).alias("l")).agg(F.count("*").alias("n")).groupBy("topic").agg(F.collect_list(F.struct("l", "n")).alias("levels"))
+    rows = asked.join(over, "request_id", "left").join(under, ["topic", "place"], "left").join(levels, "topic")
+    deeper = F.aggregate("levels", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["l"] > F.coalesce("level", F.lit(-1)), x["n"]).otherwise(0))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return rows.select("request_id", "level", zero("n_applying"), zero("n_narrower"), F.when(F.col("n_narrower").isNull(), deeper).alias("elsewhere"))

@@ -14,25 +14,36 @@ def _issues(rows: DataFrame, rule: str, key: Column, bad: Column) -> DataFrame:
 
 
 def citations_resolved(citations: DataFrame, records: DataFrame) -> DataFrame:
-    """citation_id, outcome, document_id: a citation finds its record by id, else by its text, else nothing.
+    """citation_id, outcome, found, first_block of citations: in their record, relocated, or lost.
 
-    ``citations``: citation_id, document_id, url, anchor_hash (null without an anchor). ``records``: document_id, url,
-    hash, retrieved, current. The record of the id must be current and unchanged; else the newest current record of
-    the address with the anchor's hash is "moved", any other newest one "changed", none "dropped".
+    ``citations``: citation_id, document_id, url, first_block, anchor (hashes of the cited blocks, null without an anchor),
+    content_hash (of the record that the anchor was taken from). ``records``: document_id, url, content_hash, hashes (of its
+    blocks), retrieved, current, eligible, preferred.
+
+    A current, eligible record of the id answers alone: the range as it was is "same-snapshot"; else the anchor is looked for
+    in it, once is "moved", anything else "dropped". Without such a record the newest current, eligible, preferred one of the
+    address is searched: of equal content "same-text", once "moved", several times "ambiguous", never "changed". Without an
+    anchor, or a record, or with a range beyond the record, the citation is "dropped".
     """
-    now = records.filter("current")
-    own = now.select("document_id", F.col("hash").alias("own_hash"))
-    newest = now.groupBy("url").agg(F.max_by("document_id", F.struct("retrieved", "document_id")).alias("newest"))
-    same = now.groupBy("url", "hash").agg(F.max_by("document_id", F.struct("retrieved", "document_id")).alias("same"))
-    rows = citations.join(own, "document_id", "left").join(newest, "url", "left").join(same.withColumnRenamed("hash", "anchor_hash"), ["url", "anchor_hash"], "left")
-    anchored = F.col("anchor_hash").isNotNull()
+    able = records.filter("current and eligible")
+    own = able.select("document_id", F.col("hashes").alias("own"), F.col("content_hash").alias("own_content"))
+    newest = able.filter("preferred").groupBy("url").agg(F.max_by(F.struct("document_id", "hashes", "content_hash"), F.struct("retrieved", "document_id")).alias("new"))
+    rows = citations.join(own, "document_id", "left").join(newest, "url", "left")
+    here, n = F.col("own").isNotNull(), F.size("anchor")
+    blocks = F.when(here, F.col("own")).otherwise(F.col("new.hashes"))
+    starts = F.when((F.size(blocks) >= n) & (n > 0), F.sequence(F.lit(1), F.size(blocks) - n + 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_blocks", blocks).withColumn("_places", F.filter(starts, lambda i: F.slice("_blocks", i, n) == F.col("anchor")))
+    hits, anchored = F.size("_places"), F.col("anchor").isNotNull()
+    intact = F.when(anchored, F.array_contains("_places", F.col("first_block"))).otherwise(F.col("first_block") <= F.size("own"))
+    same = anchored & (F.col("new.content_hash") == F.col("content_hash"))
     outcome = (
-        F.when(F.col("own_hash").isNotNull() & (~anchored | (F.col("own_hash") == F.col("anchor_hash"))), "same-snapshot")
-        .when(F.col("own_hash").isNotNull(), "dropped")
-        .when(~anchored | F.col("newest").isNull(), "dropped").when(F.col("same").isNotNull(), "moved").otherwise("changed")
+        F.when(here, F.when(intact, "same-snapshot").when(anchored & (F.col("own_content") == F.col("content_hash")), "same-text").when(anchored & (hits == 1), "moved").otherwise("dropped"))
+        .when(~anchored | F.col("new").isNull(), "dropped").when(same, "same-text").when(hits == 1, "moved").when(hits > 1, "ambiguous").otherwise("changed")
     )
-    found = F.when(outcome == "same-snapshot", F.col("document_id")).when(outcome == "moved", F.col("same")).when(outcome == "changed", F.col("newest"))
-    return rows.select("citation_id", outcome.alias("outcome"), found.alias("found"))
+    rows = rows.withColumn("outcome", outcome)
+    found = F.when(F.col("outcome") != "dropped", F.when(here, F.col("document_id")).otherwise(F.col("new.document_id")))
+    place = F.when(F.col("outcome").isin("same-snapshot", "same-text"), F.col("first_block")).when(F.col("outcome") == "moved", F.get("_places", F.lit(0)))
+    return rows.select("citation_id", "outcome", found.alias("found"), place.alias("first_block"))
 
 
 def publishers(pages: DataFrame, registry: DataFrame, item: str, host: str, authority: str) -> DataFrame:
@@ -81,15 +92,23 @@ def repeated_units(units: DataFrame, cited: DataFrame, least: int) -> DataFrame:
 def dataset_issues(rows: DataFrame, manifests: DataFrame) -> DataFrame:
     """rule, key, n for bundles of dated rows.
 
-    ``rows``: dataset, position, key, day; ``manifests``: dataset, row_count, period_from, period_to, keys (sorted).
+    ``rows``: dataset, position (consecutive numbers), key, day; ``manifests``: dataset, row_count, period_from,
+    period_to, keys (sorted), and what every bundle states: title, licence, content_hash. A missing key sorts first and
+    is a key like others where rows repeat; keys that differ in case, blanks or hyphens only are alike. The content hash
+    is that of the rows' hashes in order, which does not depend on where rows lie.
     """
-    w = Window.partitionBy("dataset").orderBy("position")
-    here = F.struct("key", "day")
-    checked = rows.withColumn("before", F.lag(here).over(w))
-    per = checked.groupBy("dataset").agg(
-        F.count("*").alias("rows"), F.count_if(F.col("before") > here).alias("unsorted"), (F.count("*") - F.count_distinct("key", "day")).alias("repeated"),
-        F.count_if(F.col("key").isNull()).alias("keyless"), F.array_sort(F.collect_set("key")).alias("have"), F.min("day").alias("low"), F.max("day").alias("high"),
+    here = F.struct(F.coalesce("key", F.lit("")).alias("key"), "day")
+    per = rows.groupBy("dataset").agg(
+        F.count("*").alias("rows"), (F.count("*") - F.count_distinct(here)).alias("repeated"), F.count_if(F.col("key").isNull()).alias("keyless"),
+        F.array_sort(F.collect_set("key")).alias("have"), F.min("day").alias("low"), F.max("day").alias("high"),
     )
+    # neighbours meet by position, so that no task sorts a whole dataset
+    before = rows.select("dataset", (F.col("position") + 1).alias("position"), here.alias("before"))
+    unsorted = rows.select("dataset", "position", here.alias("here")).join(before, ["dataset", "position"]).filter("before > here").groupBy("dataset").agg(F.count("*").alias("unsorted"))
+    per = per.join(unsorted, "dataset", "left")
+    folded = rows.filter("key is not null").select("dataset", "key", F.regexp_replace(F.lower("key"), r"[\s-]+", "").alias("folded")).distinct()
+    alike = folded.groupBy("dataset", "folded").agg(F.count("*").alias("n")).filter("n > 1").select("dataset").distinct().withColumn("alike", F.lit(True))
+    per = per.join(alike, "dataset", "left")
     all_ = manifests.join(per, "dataset", "left")
     rules = {
         "empty": F.coalesce("rows", F.lit(0)) == 0,
@@ -99,6 +118,9 @@ def dataset_issues(rows: DataFrame, manifests: DataFrame) -> DataFrame:
         "keyless": F.coalesce("keyless", F.lit(0)) > 0,
         "period": F.coalesce((F.col("low") < F.col("period_from")) | (F.col("high") > F.col("period_to")), F.lit(False)),
         "keys": F.coalesce(F.col("have") != F.col("keys"), F.lit(False)),
+        "keys_alike": F.coalesce("alike", F.lit(False)),
+        "title": F.coalesce(F.trim("title"), F.lit("")) == "",
+        "licence": F.coalesce(F.trim("licence"), F.lit("")) == "",
     }
     found = F.array_compact(F.array(*(F.when(bad, F.lit(f"dataset.{name}")) for name, bad in rules.items())))
     return all_.select(F.explode(found).alias("rule"), F.col("dataset").cast("string").alias("key"), F.lit(1).cast("bigint").alias("n"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dates import stale, valid_on
-from ..functions.scores import contains_place
 
 SUPPORTED, NEEDS_CONTEXT, OUT_OF_COVERAGE, STALE = "SUPPORTED", "NEEDS_CONTEXT", "OUT_OF_COVERAGE", "STALE"
 PRIORITY = {NEEDS_CONTEXT: 4, STALE: 3, SUPPORTED: 2, OUT_OF_COVERAGE: 1}
@@ -28,12 +27,15 @@ def resolved(requests: DataFrame, concepts: DataFrame, facts: DataFrame) -> Data
 
     ``requests``: request_id, concept_id, place, as_of, context. ``concepts``: concept_id, required_context,
     stale_from. ``facts``: concept_id, fact_id, jurisdiction, condition, valid_from, valid_through, reviewed.
-    Gates apply in order: unknown concept, place, context, condition, window, review.
+    Gates apply in order: unknown concept, place, context, condition, window, review. A request meets the facts of the
+    places that lead to its own, by equality.
     """
     asked = requests.join(concepts, "concept_id", "left")
-    held = facts.select("concept_id", "fact_id", "jurisdiction", "condition", "valid_from", "valid_through", "reviewed")
-    each = asked.join(held, "concept_id", "left")
-    here = contains_place(F.col("jurisdiction"), F.col("place"))
+    held = facts.select("concept_id", "fact_id", "jurisdiction", "condition", "valid_from", "valid_through", "reviewed", F.lit(True).alias("held"))
+    parts = F.split("place", "-")
+    upward = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "-"))
+    each = asked.withColumn("jurisdiction", F.explode_outer(F.when(F.col("place").isNotNull(), upward))).join(held, ["concept_id", "jurisdiction"], "left")
+    here = F.col("held").isNotNull()
     fits = here & condition_holds(F.col("condition"), F.col("context"))
     now = fits & valid_on(F.col("as_of"), F.col("valid_from"), F.col("valid_through"))
     good = now & F.col("reviewed")
@@ -61,10 +63,13 @@ def rolled_up(rows: DataFrame, key: str, status: str = "status") -> DataFrame:
 def calendar(requests: DataFrame, events: DataFrame, periods: DataFrame, limit: int = 3) -> DataFrame:
     """request_id, gap, n_events, truncated, first_day for requests (request_id, key, from_day, to_day).
 
-    ``events``: key, day. ``periods``: period_from, period_to of the calendar (one row).
+    ``events``: key, day. ``periods``: period_from, period_to of the calendar, one row; more are an error.
     """
+    period = periods.select("period_from", "period_to").take(2)
+    if len(period) != 1:
+        raise ValueError(f"a calendar has one period, not {len(period)}")
     known = events.select("key").distinct().withColumn("known", F.lit(True))
-    asked = requests.join(known, "key", "left").join(F.broadcast(periods))
+    asked = requests.join(known, "key", "left").withColumns({c: F.lit(period[0][c]) for c in ("period_from", "period_to")})
     in_range = events.select("key", "day").join(requests, "key").filter(F.col("day").between(F.col("from_day"), F.col("to_day")))
     found = in_range.groupBy("request_id").agg(F.count("*").alias("n"), F.min("day").alias("first_day"))
     gap = (

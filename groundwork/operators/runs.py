@@ -6,35 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-GAPS = ("soft-error-page", "javascript-shell", "access-challenge", "unexpected-media-type", "rendered-dom")
+from ..lineage import cut
+
+# What keeps a target from being had, most specific first, and whether trying again can help.
+FAILURES = (
+    ("mailto-redirect", False), ("access-denied", False), ("dns-failure", False), ("tls-certificate", True), ("not-found", False), ("redirect-out-of-scope", False),
+    ("oversized", True), ("rate-limited", True), ("server-error", True), ("transient-network", True), ("robots-unavailable", True), ("unclassified", True), ("not-attempted", True),
+)
+# What a saved page can look like by its flags, the first that holds; the gap, and whether trying again can help.
+SAVED_GAPS = (
+    ("error_page_title", "soft-error-page", True), ("javascript_application_shell", "javascript-shell", False), ("possible_access_challenge", "access-challenge", True),
+    ("unexpected_media_type", "unexpected-media-type", True), ("browser-rendered-dom-not-raw-http-response", "rendered-dom", False),
+)
 
 
 def target_gaps(targets: DataFrame, attempts: DataFrame, covered: DataFrame) -> DataFrame:
     """url, status, attempts, saved_attempts, gap, retriable: one verdict for every target.
 
-    ``targets``: url, needs_review; ``attempts``: url, attempt, status, flag (what a saved page looks like, null for
-    nothing odd), failure (the class of an attempt that failed, with its rank); ``covered``: url of shells whose
-    documents a plugin has. The latest attempt decides; of failures the most specific one (lowest rank) does.
+    ``targets``: url, needs_review; ``attempts``: url, attempt, status, flags (a set of what a saved page looks like),
+    failure (the class of an attempt that failed; one that isn't listed is unclassified); ``covered``: url of shells
+    whose documents a plugin has. The latest attempt says whether the target is saved; the first flag that holds, or the
+    most specific failure of any attempt, is its gap. A target that needs review is not tried again while it has a gap.
     """
+    rank = F.create_map(*(F.lit(x) for k, (name, _) in enumerate(FAILURES) for x in (name, k)))
+    again = F.create_map(*(F.lit(x) for pair in FAILURES for x in pair), *(F.lit(x) for _, gap, retry in SAVED_GAPS for x in (gap, retry)))
+    known = F.when(rank[F.col("failure")].isNull(), "unclassified").otherwise(F.col("failure"))
     per = attempts.groupBy("url").agg(
         F.count("*").alias("attempts"), F.count_if(F.col("status") == "saved").alias("saved_attempts"),
-        F.max_by(F.struct("status", "flag"), "attempt").alias("latest"), F.min(F.when(F.col("status") != "saved", F.struct("rank", "failure"))).alias("worst"),
+        F.max_by(F.struct("status", "flags"), "attempt").alias("latest"), F.min(F.when(F.col("status") != "saved", F.struct(rank[known].alias("rank"), known.alias("failure")))).alias("worst"),
     )
     rows = targets.join(per, "url", "left").join(covered.select("url", F.lit(True).alias("covered")).distinct(), "url", "left")
-    status, flag = F.coalesce("latest.status", F.lit("pending")), F.col("latest.flag")
-    resolved = (flag == "javascript-shell") & F.col("covered").isNotNull()
-    gap = F.when(status == "saved", F.when(flag.isNull(), "none").when(resolved, "javascript-shell-resolved").otherwise(flag)).otherwise(F.coalesce("worst.failure", F.lit("not-attempted")))
-    retry = gap.isin("soft-error-page", "access-challenge", "unexpected-media-type", "timeout", "not-attempted") & ~F.coalesce("needs_review", F.lit(False))
+    status, flags = F.coalesce("latest.status", F.lit("pending")), F.coalesce("latest.flags", F.array().cast("array<string>"))
+    look = F.coalesce(*(F.when(F.array_contains(flags, flag), gap) for flag, gap, _ in SAVED_GAPS), F.lit("none"))
+    look = F.when((look == "javascript-shell") & F.col("covered").isNotNull(), "javascript-shell-resolved").otherwise(look)
+    gap = F.when(status == "saved", look).otherwise(F.coalesce("worst.failure", F.lit("not-attempted")))
+    retry = F.coalesce(F.try_element_at(again, gap), F.lit(False)) & ~F.coalesce("needs_review", F.lit(False))
     return rows.select("url", status.alias("status"), F.coalesce("attempts", F.lit(0).cast("bigint")).alias("attempts"), F.coalesce("saved_attempts", F.lit(0).cast("bigint")).alias("saved_attempts"), gap.alias("gap"), retry.alias("retriable"))
 
 
 def decided(rows: DataFrame, decisions: DataFrame, *fields: str) -> DataFrame:
-    """``rows`` with the decision on the same fingerprint of ``fields``; a decision on what has changed since is stale."""
+    """``rows`` with the latest decision on the same fingerprint of ``fields``, however old; decisions on other states
+    of an item only are stale."""
     mark = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)), 256)
-    latest = decisions.groupBy("item").agg(F.max_by(F.struct("fingerprint", "decision"), "at").alias("d"))
-    out = rows.withColumn("fingerprint", mark).join(latest, "item", "left")
-    state = F.when(F.col("d").isNull(), "open").when(F.col("d.fingerprint") == F.col("fingerprint"), F.col("d.decision")).otherwise("stale")
-    return out.withColumn("review", state).drop("d")
+    same = decisions.groupBy("item", "fingerprint").agg(F.max_by("decision", "at").alias("_same"))
+    any_ = decisions.select("item", F.lit(True).alias("_any")).distinct()
+    out = rows.withColumn("fingerprint", mark).join(same, ["item", "fingerprint"], "left").join(any_, "item", "left")
+    return out.withColumn("review", F.when(F.col("_same").isNotNull(), F.col("_same")).when(F.col("_any"), "stale").otherwise("open")).drop("_same", "_any")
 
 
 def next_attempts(attempts: DataFrame, urls: DataFrame) -> DataFrame:
@@ -58,20 +75,15 @@ def merged(drafts: DataFrame, keys: list[str], values: str, order: str, confiden
     return n.join(lists, keys, "left")
 
 
-def reached(edges: DataFrame, seeds: DataFrame, a: str, b: str, most: int = 64) -> DataFrame:
-    """node of everything that ``seeds`` (node) reach along ``edges``; rounds end when nothing new is found."""
-    found = frontier = seeds.select("node").distinct()
-    for _ in range(most):
-        step = edges.join(frontier, F.col(a) == F.col("node"), "left_semi").select(F.col(b).alias("node")).distinct().join(found, "node", "left_anti")
-        step = step.checkpoint() if _checkpoints(edges) else step.cache()
+def reached(edges: DataFrame, seeds: DataFrame, a: str, b: str) -> DataFrame:
+    """node of everything that ``seeds`` (node) reach along ``edges``; rounds end when nothing new is found, which they
+    do after as many as the longest of the shortest ways. Each round's nodes are checkpointed in the shared folder."""
+    found = frontier = cut(seeds.select("node").distinct())
+    while True:
+        step = cut(edges.join(frontier, F.col(a) == F.col("node"), "left_semi").select(F.col(b).alias("node")).distinct().join(found, "node", "left_anti"))
         if step.isEmpty():
-            break
-        found, frontier = found.unionByName(step), step
-    return found
-
-
-def _checkpoints(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
+            return found
+        found, frontier = cut(found.unionByName(step)), step
 
 
 def case_issues(steps: DataFrame, answers: DataFrame) -> DataFrame:

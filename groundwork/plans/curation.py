@@ -179,10 +179,15 @@ def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.place_candidates(nation.select(F.col("n_name").alias("name"), key.alias("key"), loose.alias("loose")), register, "name")
 
 
-@query("SELECT * FROM (PIVOT documents ON source USING count(*) GROUP BY lang)")
+@query("""
+    SELECT l.lang, s.source, count(d.doc_id) AS n
+    FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT DISTINCT source FROM documents) s LEFT JOIN documents d ON d.lang = l.lang AND d.source = s.source
+    GROUP BY l.lang, s.source
+""")
 def coverage_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language and source, a column for every source; Spark refuses more than spark.sql.pivotMaxValues (10,000)."""
-    return table(spark, sf_dir, "documents").groupBy("lang").pivot("source").count().na.fill(0)
+    """Documents by language and source, a row for every pair of a language and a source that there are; Spark refuses
+    more than spark.sql.pivotMaxValues (10,000) sources."""
+    return table(spark, sf_dir, "documents").groupBy("lang").pivot("source").count().na.fill(0).unpivot("lang", None, "source", "n")
 
 
 @query("""

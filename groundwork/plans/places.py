@@ -31,15 +31,15 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH {_REGISTER}, ask AS (
         SELECT s_suppkey AS request_id,
-               CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN lower(r_name) WHEN 2 THEN 'r' || r_regionkey WHEN 3 THEN r_name ELSE 'Atlantis' END AS country,
+               CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN lower(r_name) WHEN 2 THEN 'r' || r_regionkey WHEN 3 THEN r_name ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'Atlantis' ELSE 'x9' END END AS country,
                CASE WHEN s_suppkey % 11 = 0 THEN 'Nowhere' ELSE CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN lower(n_name) WHEN 2 THEN 'n' || n_nationkey ELSE 'R1-N' || n_nationkey END END AS canton,
-               CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'BUILDING ' || (s_suppkey % 40) ELSE CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'N' || n_nationkey || '-' END || (s_suppkey % 150) END AS city
+               CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'BUILDING ' || (s_suppkey % 40) ELSE CASE WHEN s_suppkey % 2 = 0 THEN '' WHEN s_suppkey % 7 = 3 THEN 'R' || (s_suppkey % 5) || '-N' || n_nationkey || '-' ELSE 'N' || n_nationkey || '-' END || (s_suppkey % 150) END AS city
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
     ), c0 AS (
         SELECT *, CASE WHEN country IS NULL THEN 'R1' ELSE coalesce((SELECT any_value(code) FROM place WHERE lvl = 0 AND code = upper(country)), (SELECT min(code) FROM place WHERE lvl = 0 AND lower(name) = lower(country))) END AS cc FROM ask
     ), c1 AS (
         SELECT *, regexp_extract(upper(canton), '^(?:([A-Z0-9]+)-)?([A-Z0-9]+)$', 1) AS own, regexp_extract(upper(canton), '^(?:([A-Z0-9]+)-)?([A-Z0-9]+)$', 2) AS short,
-               regexp_extract(upper(city), '^(?:(?:([A-Z0-9]+)-)?([A-Z][A-Z0-9]*)-)?([0-9]+)$', 2) AS given, regexp_extract(upper(city), '^(?:(?:([A-Z0-9]+)-)?([A-Z][A-Z0-9]*)-)?([0-9]+)$', 3) AS number FROM c0
+               regexp_extract(upper(city), '^(?:(?:([A-Z0-9]+)-)?([A-Z][A-Z0-9]*)-)?([0-9]+)$', 2) AS given, CASE WHEN regexp_extract(upper(city), '^(?:(?:([A-Z0-9]+)-)?([A-Z][A-Z0-9]*)-)?([0-9]+)$', 1) IN ('', cc) THEN regexp_extract(upper(city), '^(?:(?:([A-Z0-9]+)-)?([A-Z][A-Z0-9]*)-)?([0-9]+)$', 3) ELSE '' END AS number FROM c0
     ), c2 AS (
         SELECT *, (SELECT any_value(code) FROM place WHERE lvl = 1 AND short <> '' AND own IN ('', cc) AND code = cc || '-' || short) AS by_code,
                (SELECT list(code) FROM place WHERE lvl = 1 AND lower(name) = lower(canton) AND starts_with(code, cc || '-')) AS cs FROM c1
@@ -55,7 +55,7 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), c6 AS (
         SELECT *, CASE WHEN served AND many THEN 'canton fits several' WHEN served AND city IS NOT NULL AND n > 0 AND inside = 0 THEN 'city lies elsewhere' WHEN served AND city IS NOT NULL AND inside > 1 THEN 'city fits several' END AS error FROM c5
     ), c7 AS (SELECT *, CASE WHEN served AND error IS NULL AND inside = 1 THEN one END AS municipality FROM c6)
-    SELECT request_id, served, cc AS country_code, CASE WHEN served AND error IS NULL THEN coalesce(canton_code, regexp_replace(municipality, '-[0-9]+$', '')) END AS canton_code, municipality,
+    SELECT request_id, served, coalesce(cc, CASE WHEN regexp_matches(country, '^[A-Za-z][A-Za-z0-9]$') THEN upper(country) END) AS country_code, CASE WHEN served AND error IS NULL THEN coalesce(canton_code, regexp_replace(municipality, '-[0-9]+$', '')) END AS canton_code, municipality,
            CASE WHEN error IS NULL THEN concat_ws(',', CASE WHEN served AND lost THEN 'canton' END, CASE WHEN served AND city IS NOT NULL AND n = 0 THEN 'city' END) ELSE '' END AS not_recognised, error
     FROM c7
 """)
@@ -63,9 +63,10 @@ def place_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where suppliers ask from: names in any case, codes, numbers, and some places that do not exist."""
     k, text = F.col("s_suppkey"), lambda c: F.col(c).cast("string")
     rows = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    country = F.when(k % 5 == 1, F.lower("r_name")).when(k % 5 == 2, F.concat(F.lit("r"), text("r_regionkey"))).when(k % 5 == 3, F.col("r_name")).when(k % 5 == 4, "Atlantis")
+    country = F.when(k % 5 == 1, F.lower("r_name")).when(k % 5 == 2, F.concat(F.lit("r"), text("r_regionkey"))).when(k % 5 == 3, F.col("r_name")).when((k % 5 == 4) & (k % 2 == 0), "Atlantis").when(k % 5 == 4, "x9")
     canton = F.when(k % 11 == 0, "Nowhere").when(k % 4 == 1, F.lower("n_name")).when(k % 4 == 2, F.concat(F.lit("n"), text("n_nationkey"))).when(k % 4 == 3, F.concat(F.lit("R1-N"), text("n_nationkey")))
-    before = F.when(k % 2 == 0, "").otherwise(F.concat(F.lit("N"), text("n_nationkey"), F.lit("-")))
+    foreign = F.concat(F.lit("R"), (k % 5).cast("string"), F.lit("-N"), text("n_nationkey"), F.lit("-"))
+    before = F.when(k % 2 == 0, "").when(k % 7 == 3, foreign).otherwise(F.concat(F.lit("N"), text("n_nationkey"), F.lit("-")))
     city = F.when(k % 3 == 1, F.concat(F.lit("BUILDING "), (k % 40).cast("string"))).when(k % 3 == 2, F.concat(before, (k % 150).cast("string")))
     out = P.resolved(rows.select(k.alias("request_id"), country.alias("country"), canton.alias("canton"), city.alias("city")), register(spark, sf_dir), "R1")
     return out.withColumn("not_recognised", F.array_join("not_recognised", ","))
@@ -85,6 +86,7 @@ def place_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT code, name, lvl FROM place WHERE lvl = 2 AND regexp_extract(code, '[0-9]+$', 0)::INT % 40 = 7
     )
     SELECT 'place.code' AS rule, code AS key, count(*) AS n FROM bad GROUP BY code HAVING count(*) > 1
+    UNION ALL SELECT 'place.malformed', code, 1 FROM bad WHERE NOT regexp_matches(code, '^[A-Z][A-Z0-9]+(-[A-Z][A-Z0-9]+(-[1-9][0-9]*)?)?$')
     UNION ALL SELECT 'place.parent', code, 1 FROM bad WHERE lvl > 0 AND regexp_replace(code, '-[^-]+$', '') NOT IN (SELECT code FROM bad)
     UNION ALL SELECT 'place.name', code, 1 FROM bad WHERE trim(name) = ''
 """)
@@ -99,8 +101,8 @@ def place_register_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {_REGISTER}, fact AS (SELECT DISTINCT 't' || (o_orderkey % 7) AS topic, CASE o_orderkey % 3 WHEN 0 THEN 'R' || n_regionkey WHEN 1 THEN 'R' || n_regionkey || '-N' || n_nationkey ELSE 'R' || n_regionkey || '-N' || n_nationkey || '-' || c_custkey END AS j
-                 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 40 < 7),
-    ask AS (SELECT code AS request_id, code AS place, 't' || (lvl + length(code)) % 7 AS topic FROM place WHERE lvl < 2 OR regexp_extract(code, '[0-9]+$', 0)::INT % 20 = 0),
+                 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    ask AS (SELECT code AS request_id, code AS place, 't' || (lvl + length(code)) % 7 AS topic FROM place),
     per AS (SELECT request_id, place, j, len(string_split(j, '-')) - 1 AS lvl, starts_with(place || '-', j || '-') AS over, starts_with(j, place || '-') AS under FROM ask JOIN fact USING (topic)),
     agg AS (SELECT request_id, place, max(lvl) FILTER (over) AS level, count(*) FILTER (over) AS n_applying, count(*) FILTER (under) AS n_narrower, list(j) AS held FROM per GROUP BY ALL)
     SELECT request_id, level::INT AS level, n_applying, n_narrower,
@@ -110,13 +112,13 @@ def place_register_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def applying_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as facts of topics, published for a region, a nation or a customer; places ask for a topic each."""
     nation, k, text = table(spark, sf_dir, "nation"), F.col("o_orderkey"), lambda c: F.col(c).cast("string")
-    orders = table(spark, sf_dir, "orders").filter(k % 40 < 7).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     region = F.concat(F.lit("R"), text("n_regionkey"))
     canton = F.concat(region, F.lit("-N"), text("n_nationkey"))
     where = F.when(k % 3 == 0, region).when(k % 3 == 1, canton).otherwise(F.concat(canton, F.lit("-"), text("c_custkey")))
     facts = orders.select(F.concat(F.lit("t"), (k % 7).cast("string")).alias("topic"), where.alias("jurisdiction"))
     code, level = F.col("code"), P.level_of(F.col("code"))
-    asked = register(spark, sf_dir).filter((level < 2) | (F.regexp_extract(code, "[0-9]+$", 0).cast("int") % 20 == 0))
+    asked = register(spark, sf_dir)
     return P.applying_level(facts, asked.select(code.alias("request_id"), code.alias("place"), F.concat(F.lit("t"), ((level + F.length(code)) % 7).cast("string")).alias("topic")))
 
 

@@ -4,32 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.identity import host_of
 from ..operators import anchors as A
+from ..operators import records as O
 from ..operators import release as R
 from .registry import query, table
 
 
 @query("""
-    WITH r AS (SELECT doc_id, source AS url, sha256(text) AS hash, doc_id % 10 <> 3 AS current FROM documents),
-    c AS (SELECT doc_id AS citation_id, CASE WHEN doc_id % 4 = 1 THEN doc_id + 1000000000 ELSE doc_id END AS document_id, source AS url,
-                 CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN sha256(text || 'x') ELSE sha256(text) END AS anchor FROM documents),
-    own AS (SELECT citation_id, hash AS own_hash FROM c JOIN r ON doc_id = document_id AND current),
-    newest AS (SELECT url, max(doc_id) AS newest FROM r WHERE current GROUP BY url),
-    same AS (SELECT url, hash, max(doc_id) AS same FROM r WHERE current GROUP BY ALL),
-    o AS (SELECT citation_id, document_id, newest, same,
-                 CASE WHEN own_hash IS NOT NULL AND (anchor IS NULL OR own_hash = anchor) THEN 'same-snapshot' WHEN own_hash IS NOT NULL THEN 'dropped'
-                      WHEN anchor IS NULL OR newest IS NULL THEN 'dropped' WHEN same IS NOT NULL THEN 'moved' ELSE 'changed' END AS outcome
-          FROM c LEFT JOIN own USING (citation_id) LEFT JOIN newest USING (url) LEFT JOIN same ON same.url = c.url AND same.hash = anchor)
-    SELECT citation_id, outcome, CASE outcome WHEN 'same-snapshot' THEN document_id WHEN 'moved' THEN same WHEN 'changed' THEN newest END AS found FROM o
+    WITH t AS (SELECT doc_id, source, list_transform(string_split(text, chr(10)), lambda x: sha256(x)) AS hashes, sha256(text) AS content FROM documents),
+    r AS (SELECT *, doc_id % 10 <> 3 AS current, doc_id % 23 <> 1 AS eligible, doc_id % 3 <> 0 AS preferred FROM t),
+    c AS (SELECT doc_id AS citation_id, CASE WHEN doc_id % 4 = 1 THEN doc_id + 1000000000 ELSE doc_id END AS document_id, source AS url, 1 + doc_id % len(hashes) AS first_block,
+                 CASE WHEN doc_id % 9 = 5 THEN content ELSE 'other' END AS content_hash,
+                 CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN [sha256('x')] WHEN 2 THEN hashes[-1:] ELSE hashes[1 + doc_id % len(hashes):2 + doc_id % len(hashes)] END AS anchor FROM t),
+    newest AS (SELECT source AS url, arg_max(r, doc_id) AS n FROM r WHERE current AND eligible AND preferred GROUP BY source),
+    j AS (SELECT c.*, o.hashes IS NOT NULL AS here, o.content AS own_content, n, coalesce(o.hashes, n.hashes) AS blocks
+          FROM c LEFT JOIN (SELECT * FROM r WHERE current AND eligible) o ON o.doc_id = c.document_id LEFT JOIN newest USING (url)),
+    f AS (SELECT *, list_filter(range(1, len(blocks) - len(anchor) + 2), lambda i: blocks[i:i + len(anchor) - 1] = anchor) AS places FROM j),
+    o AS (SELECT *, CASE WHEN here THEN CASE WHEN (anchor IS NULL AND first_block <= len(blocks)) OR list_contains(places, first_block) THEN 'same-snapshot' WHEN anchor IS NOT NULL AND own_content = content_hash THEN 'same-text'
+                                             WHEN anchor IS NOT NULL AND len(places) = 1 THEN 'moved' ELSE 'dropped' END
+                         WHEN anchor IS NULL OR n IS NULL THEN 'dropped' WHEN n.content = content_hash THEN 'same-text' WHEN len(places) = 1 THEN 'moved' WHEN len(places) > 1 THEN 'ambiguous' ELSE 'changed' END AS outcome FROM f)
+    SELECT citation_id, outcome, CASE WHEN outcome <> 'dropped' THEN CASE WHEN here THEN document_id ELSE n.doc_id END END AS found,
+           CASE WHEN outcome IN ('same-snapshot', 'same-text') THEN first_block WHEN outcome = 'moved' THEN places[1] END::BIGINT AS first_block
+    FROM o
 """)
 def citation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is cited; some ids are gone, some records superseded, some texts changed."""
-    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
-    records = docs.select(k.alias("document_id"), F.col("source").alias("url"), F.sha2("text", 256).alias("hash"), k.alias("retrieved"), (k % 10 != 3).alias("current"))
-    anchor = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256))
-    cited = docs.select(k.alias("citation_id"), F.when(k % 4 == 1, k + 1000000000).otherwise(k).alias("document_id"), F.col("source").alias("url"), anchor.alias("anchor_hash"))
+    """Every document is cited by some of its lines; some ids are gone, some records superseded, some lines elsewhere or changed."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(k, "source", F.transform(F.split("text", "\n"), lambda x: F.sha2(x, 256)).alias("hashes"), F.sha2("text", 256).alias("content"))
+    records = docs.select(k.alias("document_id"), F.col("source").alias("url"), F.col("content").alias("content_hash"), "hashes", k.alias("retrieved"), (k % 10 != 3).alias("current"), (k % 23 != 1).alias("eligible"), (k % 3 != 0).alias("preferred"))
+    first = (1 + k % F.size("hashes")).cast("int")
+    anchor = F.when(k % 5 == 1, F.array(F.sha2(F.lit("x"), 256))).when(k % 5 == 2, F.slice("hashes", -1, 1)).when(k % 5 > 2, F.slice("hashes", first, F.lit(2)))
+    content = F.when(k % 9 == 5, F.col("content")).otherwise("other")
+    cited = docs.select(k.alias("citation_id"), F.when(k % 4 == 1, k + 1000000000).otherwise(k).alias("document_id"), F.col("source").alias("url"), first.alias("first_block"), anchor.alias("anchor"), content.alias("content_hash"))
     return R.citations_resolved(cited, records)
 
 
@@ -102,41 +111,43 @@ def citation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH r AS (SELECT o_custkey AS dataset, o_orderkey AS position, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderpriority END AS key, o_orderdate::DATE AS day FROM orders),
-    m AS (SELECT c_custkey AS dataset, c_custkey % 30 AS row_count, DATE '1992-06-01' AS a, DATE '1998-06-01' AS b, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'] AS keys FROM customer),
+    WITH r AS (SELECT o_custkey AS dataset, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN '4-not specified' ELSE o_orderpriority END AS key, o_orderdate::DATE AS day FROM orders),
+    m AS (SELECT c_custkey AS dataset, c_custkey % 30 AS row_count, CASE WHEN c_custkey % 12 <> 0 THEN c_mktsegment END AS title, CASE WHEN c_custkey % 15 = 0 THEN ' ' ELSE 'open' END AS licence, DATE '1992-06-01' AS a, DATE '1998-06-01' AS b, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'] AS keys FROM customer),
     s AS (SELECT *, lag(coalesce(key, '')) OVER w AS pk, lag(day) OVER w AS pd FROM r WINDOW w AS (PARTITION BY dataset ORDER BY position)),
-    p AS (SELECT dataset, count(*) AS n, count(*) FILTER (pk > coalesce(key, '') OR pk = coalesce(key, '') AND pd > day) AS unsorted, count(*) - (count(DISTINCT (key, day)) FILTER (key IS NOT NULL)) AS repeated,
+    p AS (SELECT dataset, count(*) AS n, count(*) FILTER (pk > coalesce(key, '') OR pk = coalesce(key, '') AND pd > day) AS unsorted, count(*) - count(DISTINCT (coalesce(key, ''), day)) AS repeated, count(DISTINCT key) <> count(DISTINCT regexp_replace(lower(key), '[\s-]+', '', 'g')) AS alike,
                  count(*) FILTER (key IS NULL) AS keyless, list(DISTINCT key ORDER BY key) FILTER (key IS NOT NULL) AS have, min(day) AS low, max(day) AS high FROM s GROUP BY dataset)
     SELECT unnest(list_filter([CASE WHEN coalesce(n, 0) = 0 THEN 'dataset.empty' END, CASE WHEN coalesce(n, 0) <> row_count THEN 'dataset.row_count' END, CASE WHEN unsorted > 0 THEN 'dataset.unsorted' END,
-                   CASE WHEN repeated > 0 THEN 'dataset.repeated' END, CASE WHEN keyless > 0 THEN 'dataset.keyless' END, CASE WHEN low < a OR high > b THEN 'dataset.period' END, CASE WHEN have <> keys THEN 'dataset.keys' END], lambda x: x IS NOT NULL)) AS rule,
+                   CASE WHEN repeated > 0 THEN 'dataset.repeated' END, CASE WHEN keyless > 0 THEN 'dataset.keyless' END, CASE WHEN low < a OR high > b THEN 'dataset.period' END, CASE WHEN have <> keys THEN 'dataset.keys' END,
+                   CASE WHEN alike THEN 'dataset.keys_alike' END, CASE WHEN title IS NULL THEN 'dataset.title' END, CASE WHEN trim(licence) = '' THEN 'dataset.licence' END], lambda x: x IS NOT NULL)) AS rule,
            dataset::VARCHAR AS key, 1::BIGINT AS n
     FROM m LEFT JOIN p USING (dataset)
 """)
 def dataset_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders as a bundle of dated rows, with manifests that often say something else."""
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dataset"), k.alias("position"), F.when(k % 97 != 0, F.col("o_orderpriority")).alias("key"), F.to_date("o_orderdate").alias("day"))
+    key = F.when(k % 97 == 0, F.lit(None)).when(k % 31 == 0, "4-not specified").otherwise(F.col("o_orderpriority"))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(k))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dataset"), place.alias("position"), key.alias("key"), F.to_date("o_orderdate").alias("day"))
     keys = F.array(*(F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
     c = F.col("c_custkey")
-    manifests = table(spark, sf_dir, "customer").select(c.alias("dataset"), (c % 30).alias("row_count"), F.lit("1992-06-01").cast("date").alias("period_from"), F.lit("1998-06-01").cast("date").alias("period_to"), keys.alias("keys"))
+    manifests = table(spark, sf_dir, "customer").select(c.alias("dataset"), (c % 30).alias("row_count"), F.lit("1992-06-01").cast("date").alias("period_from"), F.lit("1998-06-01").cast("date").alias("period_to"), keys.alias("keys"), F.when(c % 12 != 0, F.col("c_mktsegment")).alias("title"), F.when(c % 15 == 0, " ").otherwise("open").alias("licence"))
     return R.dataset_issues(rows, manifests)
 
 
 @query("""
-    WITH b AS (SELECT doc_id, n, start, length(line) AS len, line FROM (
-                   SELECT doc_id, n, lines[n] AS line, list_sum(list_transform(lines[:n - 1], lambda x: length(x) + 1))::BIGINT AS start FROM (
-                       SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))),
-    s AS (SELECT doc_id, n, line, coalesce(start, 0) + CASE WHEN (doc_id + n) % 13 = 0 THEN 1 ELSE 0 END AS start, len FROM b WHERE n <= 40)
+    WITH l AS (SELECT doc_id, generate_subscripts(lines, 1) AS n, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+    b AS (SELECT doc_id, n, length(line) AS len, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM l),
+    s AS (SELECT doc_id, n, line, (coalesce(start, 0) + CASE WHEN (doc_id + n) % 13 = 0 THEN 1 ELSE 0 END)::BIGINT AS start, len FROM b)
     SELECT 'record.content_hash' AS rule, doc_id::VARCHAR AS key, 1::BIGINT AS n FROM documents WHERE doc_id % 17 = 0
     UNION ALL SELECT 'block.offsets', doc_id || ':b' || s.n, 1 FROM s JOIN documents USING (doc_id) WHERE substring(text, start + 1, len) <> line
     UNION ALL SELECT 'block.text_hash', doc_id || ':b' || s.n, 1 FROM s WHERE (doc_id + s.n) % 19 = 0
 """)
 def record_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records and their first lines as blocks, with some offsets and hashes off."""
+    """Documents as records and their lines as blocks, with some offsets and hashes off."""
     docs, k, n = table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("n")
     records = docs.select(k.alias("document_id"), F.col("text").alias("content"), F.sha2(F.when(k % 17 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("content_hash"))
-    lines = docs.select(k, F.split("text", "\n").alias("lines")).select(k, F.slice("lines", 1, 40).alias("lines")).select(k, "lines", F.posexplode("lines").alias("at", "text"))
-    lines = lines.withColumn("n", F.col("at") + 1).withColumn("start", F.aggregate(F.slice("lines", F.lit(1), F.col("at")), F.lit(0), lambda a, x: a + F.length(x) + 1))
+    lines = docs.select(k, F.posexplode(F.split("text", "\n")).alias("at", "text")).select(k, (F.col("at") + 1).alias("n"), "text")
+    lines = O.with_offsets(lines, "doc_id", "n", "text", gap=1)
     start = F.col("start") + F.when((k + n) % 13 == 0, 1).otherwise(0)
     blocks = lines.select(k.alias("document_id"), F.concat(k.cast("string"), F.lit(":b"), n.cast("string")).alias("block_id"), start.alias("start"), (start + F.length("text")).alias("end"), "text", F.sha2(F.when((k + n) % 19 == 0, F.concat("text", F.lit("y"))).otherwise(F.col("text")), 256).alias("text_hash"))
     return R.record_issues(records, blocks)
@@ -200,7 +211,6 @@ def excerpt_relocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(k % 5 == 0, F.concat(text, F.lit("\n"), text)).otherwise(F.concat(F.lit("new opening\n"), text))
     records = docs.select(k.alias("document"), content.alias("content"))
     anchors = docs.select(k.alias("anchor_id"), k.alias("document"), F.when(k % 9 == 0, F.concat(F.lit("never said "), k.cast("string"))).otherwise(F.substring("text", 11, 60)).alias("excerpt"))
-    lines = records.select("document", F.split("content", "\n").alias("lines")).select("document", "lines", F.posexplode("lines").alias("at", "line"))
-    start = F.aggregate(F.slice("lines", F.lit(1), F.col("at")), F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1)
-    blocks = lines.select("document", (F.col("at") + 1).cast("bigint").alias("block_no"), start.alias("start"), (start + F.length("line") + 1).alias("end"))  # a line and its end
+    lines = O.with_offsets(records.select("document", F.posexplode(F.split("content", "\n")).alias("at", "line")), "document", "at", "line", gap=1)
+    blocks = lines.select("document", (F.col("at") + 1).cast("bigint").alias("block_no"), "start", (F.col("end") + 1).alias("end"))  # a line and its end
     return A.relocated_by_excerpt(anchors, records, blocks)

@@ -8,39 +8,48 @@ from pyspark.sql import functions as F
 from ..operators import runs as U
 from .registry import query, table
 
-_FLAG = "CASE WHEN value < 12 THEN 'soft-error-page' WHEN value < 25 THEN 'javascript-shell' WHEN value < 28 THEN 'access-challenge' END"
-_FAILURE = "CASE event_type WHEN 'click' THEN 'timeout' WHEN 'view' THEN 'http-error' ELSE 'blocked' END"
-_RANK = "CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END"
+_FLAGS = """
+    filter(array(if(value < 12, 'browser-rendered-dom-not-raw-http-response', NULL), if(value < 25, 'javascript_application_shell', NULL), if(event_id % 11 = 0, 'error_page_title', NULL),
+                 if(value BETWEEN 20 AND 28, 'possible_access_challenge', NULL), if(event_id % 17 = 0, 'unexpected_media_type', NULL), if(event_id % 19 = 0, 'odd', NULL)), x -> x IS NOT NULL)
+"""
+_FAILURE = "CASE event_id % 7 WHEN 0 THEN 'rate-limited' WHEN 1 THEN 'dns-failure' WHEN 2 THEN 'server-error' WHEN 3 THEN 'never heard of' WHEN 4 THEN 'not-found' WHEN 5 THEN 'transient-network' ELSE 'oversized' END"
 
 
 @query(f"""
-    WITH a AS (SELECT user_id AS url, event_id AS attempt, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'saved' END AS status, {_FLAG} AS flag, {_FAILURE} AS failure, {_RANK} AS rank FROM events),
-    p AS (SELECT url, count(*) AS attempts, count(*) FILTER (status = 'saved') AS saved_attempts, arg_max(status, attempt) AS last_status,
-                 arg_max(coalesce(flag, ''), attempt) AS last_flag, arg_min(failure, rank) FILTER (status <> 'saved') AS worst FROM a GROUP BY url),
-    t AS (SELECT c_custkey AS url, c_custkey % 7 = 0 AS needs_review FROM customer),
-    g AS (SELECT t.*, p.*, coalesce(last_status, 'pending') AS status, CASE WHEN last_status = 'saved' THEN CASE WHEN last_flag = '' THEN 'none' WHEN last_flag = 'javascript-shell' AND t.url % 2 = 0 THEN 'javascript-shell-resolved' ELSE last_flag END
-                      ELSE coalesce(worst, 'not-attempted') END AS gap FROM t LEFT JOIN p ON p.url = t.url)
-    SELECT url, status, coalesce(attempts, 0)::BIGINT AS attempts, coalesce(saved_attempts, 0)::BIGINT AS saved_attempts, gap,
-           gap IN ('soft-error-page', 'access-challenge', 'unexpected-media-type', 'timeout', 'not-attempted') AND NOT needs_review AS retriable FROM g
+    WITH a AS (SELECT user_id AS url, event_id AS attempt, value, event_id % 3 <> 0 AS saved, {_FAILURE} AS failure FROM events),
+    l AS (SELECT url, count(*) AS attempts, count(*) FILTER (saved) AS saved_attempts, max(attempt) AS last,
+                 min(CASE failure WHEN 'dns-failure' THEN 1 WHEN 'not-found' THEN 2 WHEN 'oversized' THEN 3 WHEN 'rate-limited' THEN 4 WHEN 'server-error' THEN 5 WHEN 'transient-network' THEN 6 ELSE 7 END) FILTER (NOT saved) AS worst
+          FROM a GROUP BY url),
+    t AS (SELECT c_custkey AS url, attempts, saved_attempts, worst, saved, attempt, value FROM customer LEFT JOIN l ON l.url = c_custkey LEFT JOIN a ON a.url = l.url AND attempt = last),
+    g AS (SELECT *, CASE WHEN saved THEN CASE WHEN attempt % 11 = 0 THEN 'soft-error-page' WHEN value < 25 THEN CASE WHEN url % 2 = 0 THEN 'javascript-shell-resolved' ELSE 'javascript-shell' END
+                                              WHEN value BETWEEN 20 AND 28 THEN 'access-challenge' WHEN attempt % 17 = 0 THEN 'unexpected-media-type' WHEN value < 12 THEN 'rendered-dom' ELSE 'none' END
+                         ELSE coalesce(['dns-failure', 'not-found', 'oversized', 'rate-limited', 'server-error', 'transient-network', 'unclassified'][worst], 'not-attempted') END AS gap FROM t)
+    SELECT url, CASE WHEN saved THEN 'saved' WHEN attempts IS NULL THEN 'pending' ELSE 'failed' END AS status, coalesce(attempts, 0)::BIGINT AS attempts, coalesce(saved_attempts, 0)::BIGINT AS saved_attempts, gap,
+           url % 7 <> 0 AND gap NOT IN ('none', 'dns-failure', 'not-found', 'javascript-shell', 'javascript-shell-resolved', 'rendered-dom') AS retriable FROM g
 """)
 def target_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as targets, events as attempts on them."""
     k = F.col("c_custkey")
     targets = table(spark, sf_dir, "customer").select(k.alias("url"), (k % 7 == 0).alias("needs_review"))
-    attempts = table(spark, sf_dir, "events").select(F.col("user_id").alias("url"), F.col("event_id").alias("attempt"), F.when(F.col("event_id") % 3 == 0, "failed").otherwise("saved").alias("status"), F.expr(_FLAG).alias("flag"), F.expr(_FAILURE).alias("failure"), F.expr(_RANK).alias("rank"))
+    attempts = table(spark, sf_dir, "events").select(F.col("user_id").alias("url"), F.col("event_id").alias("attempt"), F.when(F.col("event_id") % 3 == 0, "failed").otherwise("saved").alias("status"), F.expr(_FLAGS).alias("flags"), F.expr(_FAILURE).alias("failure"))
     return U.target_gaps(targets, attempts, targets.filter("url % 2 = 0"))
 
 
 @query("""
     WITH r AS (SELECT o_orderkey AS item, sha256(concat_ws('|', o_orderstatus, o_orderpriority)) AS fingerprint FROM orders),
-    d AS (SELECT o_orderkey AS item, sha256(concat_ws('|', o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 'old' ELSE o_orderpriority END)) AS mark, CASE WHEN o_orderkey % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS decision FROM orders WHERE o_orderkey % 3 = 0)
-    SELECT CASE WHEN mark IS NULL THEN 'open' WHEN mark = fingerprint THEN decision ELSE 'stale' END AS review, count(*) AS n FROM r LEFT JOIN d USING (item) GROUP BY ALL
+    d AS (SELECT o_orderkey AS item, sha256(concat_ws('|', o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN 'old' ELSE o_orderpriority END)) AS mark, CASE WHEN o_orderkey % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS decision, 1 AS seq FROM orders WHERE o_orderkey % 3 = 0
+          UNION ALL SELECT o_orderkey, sha256(concat_ws('|', o_orderstatus, 'changed')), 'accepted', 2 FROM orders WHERE o_orderkey % 4 = 0
+          UNION ALL SELECT o_orderkey, sha256(concat_ws('|', o_orderstatus, o_orderpriority)), 'deferred', 3 FROM orders WHERE o_orderkey % 10 = 0),
+    s AS (SELECT item, mark, arg_max(decision, seq) AS decision FROM d GROUP BY ALL)
+    SELECT coalesce(decision, CASE WHEN r.item IN (SELECT item FROM d) THEN 'stale' ELSE 'open' END) AS review, count(*) AS n FROM r LEFT JOIN s ON s.item = r.item AND mark = fingerprint GROUP BY ALL
 """)
 def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on orders by what they saw; some orders have changed since."""
+    """Decisions on orders by what they saw; some orders have changed since, some have changed and changed back."""
     k, orders = F.col("o_orderkey"), table(spark, sf_dir, "orders")
     seen = F.sha2(F.concat_ws("|", "o_orderstatus", F.when(k % 5 == 0, "old").otherwise(F.col("o_orderpriority"))), 256)
-    decisions = orders.filter(k % 3 == 0).select(k.alias("item"), seen.alias("fingerprint"), F.when(k % 2 == 0, "accepted").otherwise("rejected").alias("decision"), F.col("o_orderdate").alias("at"))
+    mark = lambda priority: F.sha2(F.concat_ws("|", "o_orderstatus", priority), 256).alias("fingerprint")
+    decisions = orders.filter(k % 3 == 0).select(k.alias("item"), seen.alias("fingerprint"), F.when(k % 2 == 0, "accepted").otherwise("rejected").alias("decision"), F.lit(1).alias("at"))
+    decisions = decisions.unionAll(orders.filter(k % 4 == 0).select(k, mark(F.lit("changed")), F.lit("accepted"), F.lit(2))).unionAll(orders.filter(k % 10 == 0).select(k, mark("o_orderpriority"), F.lit("deferred"), F.lit(3)))
     rows = orders.select(k.alias("item"), "o_orderstatus", "o_orderpriority")
     return U.decided(rows, decisions, "o_orderstatus", "o_orderpriority").groupBy("review").agg(F.count("*").alias("n"))
 
