@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import canonical
-from ..operators import articles, coverage, incremental
+from ..operators import articles, candidates, chunks, coverage, incremental
+from ..operators import records as R
 from ..sources import crawl_run
 from .registry import query, table
 
@@ -171,3 +172,58 @@ def coverage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes, documents = _coverage(spark, sf_dir)
     return coverage.by_source(classes, documents, spark.createDataFrame([("a source without pages",)], "source_id string"))
 
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g')) AS characters, 0 AS wrong_quotes, 0 AS over FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def chunk_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk plan of all documents, each one block, counted again: characters that its spans cover, spans that are not
+    where they say, chunks that cost too much."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    blocks = docs.select(F.col("doc_id").alias("document"), F.lit("s1").alias("section"), F.lit(1).alias("block_no"), F.lit(0).alias("start"), "text", F.lit(False).alias("link_only"))
+    spans = chunks.chunk_plan(blocks).withColumnRenamed("document", "doc_id")
+    sized = spans.groupBy("doc_id", "chunk").agg(F.sum(F.length("quote") + chunks.SPAN_FRAME).alias("cost")).groupBy("doc_id").agg(F.count_if(F.col("cost") > 6400).alias("over"))
+    # spans overlap at the ends of chunks: what a span adds begins where those before it end
+    w = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = spans.withColumn("before", F.greatest("start", F.coalesce(F.max("end").over(w), F.lit(0))))
+    both = fresh.join(docs, "doc_id")
+    wrong = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")) != F.col("quote")
+    added = F.when(F.col("end") > F.col("before"), F.length(F.regexp_replace(F.substring(F.col("text"), F.col("before") + 1, F.col("end") - F.col("before")), r"[ \t\n\r\f\x0B]+", ""))).otherwise(0)
+    per = both.groupBy("doc_id").agg(F.sum(added).alias("characters"), F.count_if(wrong).cast("int").alias("wrong_quotes"))
+    return per.join(sized, "doc_id").select("doc_id", "characters", "wrong_quotes", F.col("over").cast("int").alias("over"))
+
+
+_PACKAGE = """
+    lines AS (SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+    c AS (SELECT d.doc_id, d.lang, len(string_split(text, chr(10))) AS n, quality, toxic, line AS first_line FROM documents d LEFT JOIN labels USING (doc_id) JOIN lines l ON l.doc_id = d.doc_id AND l.n = 1)
+"""
+
+
+@query(f"""
+    WITH {_PACKAGE}, r AS (
+        SELECT doc_id, lang, CASE WHEN toxic = 1 THEN 'no supported review' WHEN doc_id % 19 = 3 THEN 'confidence' WHEN quality = 0 THEN 'low confidence' WHEN doc_id % 23 = 5 THEN 'label or description'
+                                  WHEN doc_id % 29 = 7 THEN 'content hash' WHEN doc_id % 10 = 1 THEN 'block number' WHEN length(first_line) < 4 THEN 'outside block' WHEN doc_id % 10 = 2 THEN 'evidence id' WHEN doc_id % 10 = 3 THEN 'evidence changed' END AS reason FROM c
+    ), s AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY lang, reason IS NULL ORDER BY doc_id) END AS nth FROM r)
+    SELECT doc_id, reason, CASE WHEN reason IS NULL THEN 'about-' || lang || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END END AS concept_id, CASE WHEN reason IS NULL THEN '1-1' END AS ranges FROM s
+""")
+def packaged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate per document that quotes its first line, some of them with a fault; lines are blocks."""
+    k, lang = F.col("doc_id"), F.col("lang")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    lines = R.with_offsets(docs.select(k, F.posexplode(F.split("text", "\n")).alias("at", "text")), "doc_id", "at", "text", gap=1)
+    blocks = lines.select(k.alias("document_id"), (F.col("at") + 1).cast("bigint").alias("block_number"), F.concat(k.cast("string"), F.lit(":b"), (F.col("at") + 1).cast("string")).alias("block_id"), "start", "end", "text", F.sha2("text", 256).alias("text_sha256"))
+    records = docs.select(k.alias("document_id"), F.col("text").alias("content_text"), F.sha2(F.when(k % 29 == 7, "").otherwise(F.col("text")), 256).alias("content_sha256"))
+    line = F.split("text", "\n")[0]
+    size = F.greatest(F.length(line), F.lit(4)).cast("bigint")
+    number = F.when(k % 10 == 1, F.size(F.split("text", "\n")) + 1).otherwise(1).cast("bigint")
+    evidence = F.struct(
+        F.concat(F.lit("b"), F.when(k % 10 == 2, "1").otherwise("00001"), F.lit(":0:"), size.cast("string")).alias("evidence_id"), F.concat(k.cast("string"), F.lit(":b1")).alias("block_id"), number.alias("block_number"),
+        F.lit(0).cast("bigint").alias("start"), size.alias("end"), F.when(k % 10 == 3, "never said").otherwise(line).alias("quote"), F.sha2(line, 256).alias("text_sha256"),
+    )
+    proposed = docs.select(
+        k.alias("candidate_id"), k.alias("document_id"), F.concat(F.lit(" About: "), lang, F.lit("!")).alias("preferred_label"), F.when(k % 23 == 5, " ").otherwise("text").alias("description"),
+        F.when(k % 19 == 3, F.lit(1.5)).when(F.col("quality") == 0, F.lit(0.2)).otherwise(F.lit(0.9)).alias("confidence"), F.lit("CANDIDATE").alias("validation_state"),
+        F.when(F.col("toxic") == 1, "rejected").otherwise("supported").alias("decision"), F.lit("none").alias("issue"), F.lit("ok").alias("review_reason"), F.concat(lang, F.lit("-CH")).alias("language"), F.array(evidence).alias("evidence"),
+    )
+    out = candidates.packaged(proposed, records, blocks, 0.5)
+    listed = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["first_block"].cast("string"), r["last_block"].cast("string"))), ",")
+    return out.select(F.col("candidate_id").alias("doc_id"), "reason", "concept_id", listed.alias("ranges"))
