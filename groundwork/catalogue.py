@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import corpus, curation, extraction, pages, places, release, runs, search, service  # noqa: F401  registering their queries
+from .plans import corpus, curation, extraction, pages, places, release, runs, search, service, validation  # noqa: F401  registering their queries
 from .plans.registry import QUERIES, SQL, Query
 
 

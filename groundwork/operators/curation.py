@@ -16,6 +16,19 @@ GAP_CLASSES = (
     ("robots-unavailable", True), ("unclassified", True), ("not-attempted", True),
 )
 
+# What the text of a failed attempt says, in the order in which it is asked.
+FAILURE_PATTERNS = (
+    ("mailto-redirect", "mailto:"), ("access-denied", "robots-disallowed|http (?:error )?403|forbidden"), ("dns-failure", "getaddrinfo|name or service not known|nodename nor servname"),
+    ("tls-certificate", "certificate|ssl"), ("not-found", "http (?:error )?(?:404|410)"), ("redirect-out-of-scope", "redirect-out-of-scope|redirect limit|redirect to unreviewed"),
+    ("oversized", "response-too-large|response-limit|exceeds"), ("rate-limited", "http (?:error )?429|rate-limit"), ("server-error", r"http (?:error )?5\d\d|server-unavailable"),
+    ("transient-network", "timed out|timeout|request-failed|connection|urlerror|oserror|10060|10061"), ("robots-unavailable", "robots-unavailable"), ("not-attempted", "^pending$"),
+)
+
+
+def failure_class(detail: Column) -> Column:
+    """The class of a failed attempt by what it says; null text was not attempted."""
+    return gap_class(detail, list(FAILURE_PATTERNS))
+
 
 def gap_class(reason: Column, patterns: list[tuple[str, str]]) -> Column:
     """The first class whose pattern a failure text matches, in the fixed order; null text was not attempted."""

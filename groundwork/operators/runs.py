@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..lineage import cut
+from .curation import GAP_CLASSES
 
-# What keeps a target from being had, most specific first, and whether trying again can help.
-FAILURES = (
-    ("mailto-redirect", False), ("access-denied", False), ("dns-failure", False), ("tls-certificate", True), ("not-found", False), ("redirect-out-of-scope", False),
-    ("oversized", True), ("rate-limited", True), ("server-error", True), ("transient-network", True), ("robots-unavailable", True), ("unclassified", True), ("not-attempted", True),
-)
 # What a saved page can look like by its flags, the first that holds; the gap, and whether trying again can help.
 SAVED_GAPS = (
     ("error_page_title", "soft-error-page", True), ("javascript_application_shell", "javascript-shell", False), ("possible_access_challenge", "access-challenge", True),
@@ -28,8 +24,8 @@ def target_gaps(targets: DataFrame, attempts: DataFrame, covered: DataFrame) ->
     whose documents a plugin has. The latest attempt says whether the target is saved; the first flag that holds, or the
     most specific failure of any attempt, is its gap. A target that needs review is not tried again while it has a gap.
     """
-    rank = F.create_map(*(F.lit(x) for k, (name, _) in enumerate(FAILURES) for x in (name, k)))
-    again = F.create_map(*(F.lit(x) for pair in FAILURES for x in pair), *(F.lit(x) for _, gap, retry in SAVED_GAPS for x in (gap, retry)))
+    rank = F.create_map(*(F.lit(x) for k, (name, _) in enumerate(GAP_CLASSES) for x in (name, k)))
+    again = F.create_map(*(F.lit(x) for pair in GAP_CLASSES for x in pair), *(F.lit(x) for _, gap, retry in SAVED_GAPS for x in (gap, retry)))
     known = F.when(rank[F.col("failure")].isNull(), "unclassified").otherwise(F.col("failure"))
     per = attempts.groupBy("url").agg(
         F.count("*").alias("attempts"), F.count_if(F.col("status") == "saved").alias("saved_attempts"),
