@@ -56,13 +56,6 @@ def publishers(pages: DataFrame, registry: DataFrame, item: str, host: str, auth
     return rows.select(item, F.coalesce("_a", "_b", "_authority").alias("publisher"), rule.alias("rule"))
 
 
-def basis_label(level: Column, kind: Column, norm: Column, refers_to: Column) -> Column:
-    """What an excerpt rests on, in words; summaries may say what they refer to."""
-    place = F.when(level == 0, "federal").when(level == 1, "cantonal").otherwise("municipal")
-    named = F.concat(place, F.lit(" "), kind, F.coalesce(F.concat(F.lit(": "), norm), F.lit("")))
-    return F.when(kind == "summary", F.concat(named, F.coalesce(F.concat(F.lit(" of "), refers_to), F.lit("")))).otherwise(named)
-
-
 def ranges(rows: DataFrame, group: str, number: str) -> DataFrame:
     """group, first, last, blocks: runs of consecutive numbers."""
     island = F.col(number) - F.row_number().over(Window.partitionBy(group).orderBy(number))

@@ -10,7 +10,7 @@ from ..operators import curation as C
 from ..operators import operations as O
 from ..operators import records as R
 from .registry import query, table
-from .search import lexical_topk
+from .search import _HITS, lexical_topk
 
 
 @query("""
@@ -141,7 +141,10 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.page_of(rows, [F.asc("priority"), F.desc("last"), F.asc("user_id"), F.asc("event_type")], 2, 25).select("user_id", "event_type", "priority", "calls")
 
 
-@query()
+@query(f"""
+    WITH {_HITS}, truth AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+    SELECT item_id, item_id IN (SELECT item_id FROM hits JOIN truth USING (item_id, doc_id)) AS passed FROM benchmark
+""")
 def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage as a case: passed when a document that holds it is among the hits."""
     from .search import contamination
@@ -152,7 +155,16 @@ def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.join(good, "item_id", "left").select("item_id", F.coalesce("passed", F.lit(False)).alias("passed"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text <> ''),
+    w AS (
+        SELECT doc_id, -1 AS span, 0::BIGINT AS start, 0::BIGINT AS "end" FROM t
+        UNION ALL
+        SELECT doc_id, span + 1, "end", CASE WHEN "end" + 500 >= n THEN n WHEN contains(substring(text, "end" + 251, 250), ' ') THEN "end" + 501 - strpos(reverse(substring(text, "end" + 251, 250)), ' ') + 1 - 1 ELSE "end" + 500 END
+        FROM w JOIN t USING (doc_id) WHERE "end" < n
+    )
+    SELECT doc_id, span, start, "end" FROM w WHERE span >= 0
+""")
 def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.evidence_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
 

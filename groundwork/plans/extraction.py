@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import canonical
-from ..operators import articles, candidates, chunks, coverage, incremental
+from ..operators import acceptance, articles, candidates, chunks, coverage, incremental
 from ..operators import records as R
 from ..sources import crawl_run
 from .registry import query, table
@@ -227,3 +227,26 @@ def packaged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = candidates.packaged(proposed, records, blocks, 0.5)
     listed = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["first_block"].cast("string"), r["last_block"].cast("string"))), ",")
     return out.select(F.col("candidate_id").alias("doc_id"), "reason", "concept_id", listed.alias("ranges"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, doc_id // 10 AS concept, split_part(text, chr(10), 1) AS said, text[1:300] AS quote FROM documents),
+    c AS (SELECT doc_id, concept, doc_id % 3 = 0 AS pinned, [lower(said[2:14]), CASE WHEN doc_id % 7 = 0 THEN 'never said' ELSE lower(said[1:3]) END] AS phrases, CASE WHEN doc_id % 5 = 0 THEN 'no such words' WHEN doc_id % 4 = 0 THEN lower(quote[21:35]) END AS other FROM f),
+    s AS (SELECT c.doc_id, f.doc_id AS fact, quote FROM c JOIN f ON f.concept = c.concept AND (NOT pinned OR f.doc_id = c.doc_id)
+          WHERE f.doc_id % 11 <> 0 AND list_aggregate(list_transform(phrases, lambda p: contains(lower(regexp_replace(trim(said), '\\s+', ' ', 'g')), regexp_replace(trim(p), '\\s+', ' ', 'g'))), 'bool_and'))
+    SELECT doc_id AS claim_id, CASE WHEN pinned AND doc_id % 11 = 0 THEN 'not served' WHEN doc_id NOT IN (SELECT doc_id FROM s) THEN 'not stated'
+                WHEN other IS NOT NULL AND doc_id NOT IN (SELECT s.doc_id FROM s JOIN c USING (doc_id) WHERE contains(lower(regexp_replace(trim(quote), '\\s+', ' ', 'g')), regexp_replace(trim(other), '\\s+', ' ', 'g'))) THEN 'not backed' END AS issue
+    FROM c
+""")
+def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim per document on the facts of its ten neighbours: first lines as statements, openings as excerpts; one in eleven
+    is not served."""
+    k, docs = F.col("doc_id"), table(spark, sf_dir, "documents")
+    line, text = F.split("text", "\n")[0], F.col("text")
+    concept = F.floor(k / 10).cast("string")
+    served = docs.filter(k % 11 != 0).select(F.lit("case").alias("case_id"), concept.alias("concept"), k.alias("fact_id"), line.alias("statement"))
+    excerpts = docs.select(k.alias("fact_id"), F.substring(text, 1, 300).alias("excerpt"))
+    said = F.array(F.substring(line, 2, 13), F.when(k % 7 == 0, "never said").otherwise(F.substring(line, 1, 3)))
+    other = F.when(k % 5 == 0, F.array(F.lit("no such words"))).when(k % 4 == 0, F.array(F.substring(F.substring(text, 1, 300), 21, 15)))
+    claims = docs.select(k.alias("claim_id"), F.lit("case").alias("case_id"), concept.alias("concept"), F.when(k % 3 == 0, k).alias("fact_id"), said.alias("statement_contains"), other.alias("excerpt_contains"))
+    return acceptance.claim_issues(claims, served, excerpts)

@@ -10,6 +10,7 @@ from ..functions.identity import host_of
 from ..operators import anchors as A
 from ..operators import records as O
 from ..operators import release as R
+from ..operators import validation as V
 from .registry import query, table
 
 
@@ -63,16 +64,18 @@ _KIND = "CASE l_returnflag WHEN 'N' THEN 'act' WHEN 'A' THEN 'guidance' ELSE 'su
 
 
 @query(f"""
-    SELECT DISTINCT l_linenumber % 3 AS level, {_KIND} AS kind,
-           CASE l_linenumber % 3 WHEN 0 THEN 'federal' WHEN 1 THEN 'cantonal' ELSE 'municipal' END || ' ' || {_KIND} || CASE WHEN l_linenumber > 2 THEN ': Art. ' || l_linenumber ELSE '' END
-           || CASE WHEN {_KIND} = 'summary' AND l_linestatus = 'F' THEN ' of the rules' ELSE '' END AS label
-    FROM lineitem
+    WITH b AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'federal' WHEN 1 THEN 'cantonal' ELSE 'municipal' END AS level, {_KIND} AS kind, CASE WHEN l_linenumber > 2 THEN 'Art. ' || l_linenumber END AS norm, l_linestatus = 'F' AS refers FROM lineitem)
+    SELECT DISTINCT level, kind, CASE kind WHEN 'act' THEN upper(level[1]) || level[2:] || ' act: ' || norm WHEN 'guidance' THEN upper(level[1]) || level[2:] || ' authority guidance' ELSE 'Portal summary of ' || level || ' rules' END
+           || CASE WHEN refers THEN ', referring to the rules' ELSE '' END AS label
+    FROM b
 """)
 def basis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as excerpts: what they rest on, in words; an act without a norm has none."""
     n = F.col("l_linenumber")
+    level = F.when(n % 3 == 0, "federal").when(n % 3 == 1, "cantonal").otherwise("municipal")
     kind, norm = F.expr(_KIND), F.when(n > 2, F.concat(F.lit("Art. "), n.cast("string")))
-    text = R.basis_label(n % 3, kind, norm, F.when(F.col("l_linestatus") == "F", "the rules"))
-    return table(spark, sf_dir, "lineitem").select((n % 3).alias("level"), kind.alias("kind"), text.alias("label")).distinct()
+    text = V.basis_label(level, kind, norm, F.when(F.col("l_linestatus") == "F", "the rules"))
+    return table(spark, sf_dir, "lineitem").select(level.alias("level"), kind.alias("kind"), text.alias("label")).distinct()
 
 
 @query("""
