@@ -113,7 +113,7 @@ def citation_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranges(table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("o_custkey"), "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@query("""
+@query(r"""
     WITH r AS (SELECT o_custkey AS dataset, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position, CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN '4-not specified' ELSE o_orderpriority END AS key, o_orderdate::DATE AS day FROM orders),
     m AS (SELECT c_custkey AS dataset, c_custkey % 30 AS row_count, CASE WHEN c_custkey % 12 <> 0 THEN c_mktsegment END AS title, CASE WHEN c_custkey % 15 = 0 THEN ' ' ELSE 'open' END AS licence, DATE '1992-06-01' AS a, DATE '1998-06-01' AS b, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'] AS keys FROM customer),
     s AS (SELECT *, lag(coalesce(key, '')) OVER w AS pk, lag(day) OVER w AS pd FROM r WINDOW w AS (PARTITION BY dataset ORDER BY position)),
