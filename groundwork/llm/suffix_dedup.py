@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. Places are ranked
 by their first 8 bytes, which are their own rank; a rank of h bytes and that of the place h further on name the 2h bytes
-there, and two of 32 bytes, 18 apart, name the 50 of the threshold. Names are 64 bits (128 where a decision rests on one
+there, and two of 32 bytes, 18 apart, name the 50 of the threshold. Names are 64 bits (96 where a decision rests on one
 alone); Spark brings equal ones together in ranges of names, and places whose rank is unique take no further part.
 
 Three things keep a rank from being sent for each byte and doubling:
@@ -27,16 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import pack, shard_bounds, unpack
-from .scratch import discard, release, written
+from .scratch import release, written
 
 LENGTH = 50
 #: Bytes of text in a block, in a range of names, and worked on at a time.
-BLOCK_BYTES, RANGE_BYTES, SLICE_BYTES = 16_000_000, 48_000_000, 4_000_000
+BLOCK_BYTES, RANGE_BYTES, SLICE_BYTES = 4_000_000, 8_000_000, 500_000
 _GRAM = 32
 _NULL_ID = np.iinfo(np.int64).max
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xC2B2AE3D27D4EB4F)]
@@ -53,6 +54,11 @@ def _name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _HALF)) * _M[2]
+    return h ^ (h >> _SHIFT)
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` consecutive keys."""
     done = 1
@@ -78,7 +84,8 @@ class _Slice:
         sample = (least[self.at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, (sample[1:] != sample[:-1]) | (self.doc[1:] != self.doc[:-1])][: len(sample)])
         self.first, self.last = self.at[first], self.at[np.r_[first[1:], len(sample)][: len(first)] - 1]
-        self.owner, self.key = self.doc[first], rank[sample[first]]
+        # least ranks crowd at the low end; a bijection spreads them over the ranges of names
+        self.owner, self.key = self.doc[first], _spread(rank[sample[first]])
         ends_of = _name(self.windows(self.first), self.windows(self.last))
         self.segment = _name(ends_of, (self.last - self.first).astype(np.uint64))
 
@@ -86,7 +93,7 @@ class _Slice:
         return _name(self.rank[at], self.rank[at + self.length - _GRAM])
 
     def checks(self, at: np.ndarray) -> np.ndarray:
-        """A second name of windows, from their bytes."""
+        """A second, shorter name of windows, from their bytes."""
         h = np.full(len(at), _M[2])
         for k in [*range(0, self.length - 8, 8), self.length - 8]:
             h = (h ^ self.words[at + k]) * _M[1]
@@ -186,19 +193,19 @@ def _settled(entries: DataFrame, segments: bool) -> DataFrame:
         t = t.sort_by("block")
         parts = [unpack(x) for x in t["entries"].to_pylist()]
         cut = np.cumsum([0, *(len(p[0]) for p in parts)])
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        key, other, ids = columns[0], columns[1], columns[-1]
-        order = np.lexsort((other, key))
-        k, o, ids = key[order], other[order], ids[order]
-        new = np.r_[True, k[1:] != k[:-1]]
+        key, other, *several, ids = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        order = np.argsort(key, kind="stable") if segments else np.lexsort((other, key))
+        key, other, ids = key[order], other[order], ids[order]
+        new = np.r_[True, key[1:] != key[:-1]]
         if not segments:
-            new[1:] |= o[1:] != o[:-1]
+            new[1:] |= other[1:] != other[:-1]
         at = np.flatnonzero(new)
-        size = np.diff(np.r_[at, len(k)])
+        size = np.diff(np.r_[at, len(key)])
         state = np.where(np.repeat(np.minimum.reduceat(ids, at), size) < ids, _EARLIER, _UNIQUE).astype(np.uint8)
         if segments:
-            several = np.logical_or.reduceat((o != np.repeat(o[at], size)) | columns[2][order], at)
-            state[np.repeat(several, size)] = _SEVERAL
+            differ = np.logical_or.reduceat((other != np.repeat(other[at], size)) | several[0][order], at)
+            state[np.repeat(differ, size)] = _SEVERAL
         out = np.empty(len(order), np.uint8)
         out[order] = state
         return pa.table({"block": t["block"], "shard": t["shard"], "states": pa.array([pack(out[i:j]) for i, j in zip(cut, cut[1:])], pa.binary())})
@@ -211,35 +218,36 @@ def _states(t: pa.Table) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint8), *(unpack(x)[0] for _, x in rows)])
 
 
-_LOST = -1  # the "shard" of the row that says what a block is known to lose, and which windows are still open
+def _opened(block: _Block, known: np.ndarray, length: int, size: int) -> tuple[np.ndarray, ...]:
+    """Windows that a block is known to lose, as first and last places of runs; the open ones' place and the number of
+    their name; the distinct names in order, with the least id of each."""
+    keys, _, _, ids = _ranks_of(block, length, size)
+    first, last, at, names, checks, docs = ([np.empty(0, k)] for k in (np.int64, np.int64, np.int64, np.uint64, np.uint32, np.int64))
+    for start, s in _slices(block, length, size):
+        of = np.searchsorted(keys, s.key)
+        state, own = known[of], block.ids[s.owner]
+        gone = (state == _EARLIER) | ((state == _UNIQUE) & (own > ids[of]))
+        first.append(start + s.first[gone]), last.append(start + s.last[gone])
+        count = np.where(state == _SEVERAL, s.last - s.first + 1, 0)
+        w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(s.first, count)
+        at.append(start + w), names.append(s.windows(w)), checks.append(s.checks(w)), docs.append(np.repeat(own, count))
+    first, last, at, names, checks, docs = map(np.concatenate, (first, last, at, names, checks, docs))
+    order = np.lexsort((docs, checks, names))
+    a, b = names[order], checks[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    lead = order[new]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    # A window of a document after the block's first one goes whatever other blocks hold
+    later = docs > docs[lead][of]
+    return np.r_[first, at[later]], np.r_[last, at[later]], at[~later], of[~later], names[lead], checks[lead], docs[lead]
 
 
 def _windows(blocks: DataFrame, states: DataFrame, n: int, length: int, size: int) -> DataFrame:
     def open_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block, known = _Block(left["payload"][0].as_py()), _states(right)
-        keys, _, _, ids = _ranks_of(block, length, size)
-        first, last, at, names, checks, docs = ([np.empty(0, k)] for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
-        for start, s in _slices(block, length, size):
-            of = np.searchsorted(keys, s.key)
-            state, own = known[of], block.ids[s.owner]
-            gone = (state == _EARLIER) | ((state == _UNIQUE) & (own > ids[of]))
-            first.append(start + s.first[gone]), last.append(start + s.last[gone])
-            count = np.where(state == _SEVERAL, s.last - s.first + 1, 0)
-            w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(s.first, count)
-            at.append(start + w), names.append(s.windows(w)), checks.append(s.checks(w)), docs.append(np.repeat(own, count))
-        first, last, at, names, checks, docs = map(np.concatenate, (first, last, at, names, checks, docs))
-        order = np.lexsort((docs, checks, names))
-        a, b = names[order], checks[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
-        lead = order[new]
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        # A window of a document after the block's first one goes whatever other blocks hold
-        later = docs > docs[lead][of]
-        lost = np.r_[first, at[later]], np.r_[last, at[later]]
-        rows = _rows(key[0].as_py(), n, names[lead], checks[lead], docs[lead])
-        rows.append((_LOST, key[0].as_py(), pack(*(x.astype("<u4") for x in (*lost, at[~later], of[~later])))))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["shard", "block", "entries"])
+        *_, names, checks, ids = _opened(_Block(left["payload"][0].as_py()), _states(right), length, size)
+        columns = list(zip(*_rows(key[0].as_py(), n, names, checks, ids))) or [[], [], []]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["shard", "block", "entries"])
 
     return blocks.select("block", "payload").groupBy("block").cogroup(states.groupBy("block")).applyInArrow(open_up, _ENTRIES)
 
@@ -248,12 +256,12 @@ _KEPT = "doc_id bigint, n_bytes bigint, kept binary, removed array<struct<start:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _kept(blocks: DataFrame, lost: DataFrame, states: DataFrame, length: int) -> DataFrame:
+def _kept(blocks: DataFrame, states: DataFrame, opened: DataFrame, length: int, size: int) -> DataFrame:
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        payload = left.filter(left["payload"].is_valid())["payload"][0].as_py()
-        block = _Block(payload)
-        first, last, at, of = (x.astype(np.int64) for x in unpack(left.filter(left["entries"].is_valid())["entries"][0].as_py()))
-        at = at[_states(right)[of] == _EARLIER]
+        block, of_windows = _Block(left["payload"][0].as_py()), right["opened"].combine_chunks()
+        known, late = _states(right.filter(pa.compute.invert(of_windows))), _states(right.filter(of_windows))
+        first, last, at, of, *_ = _opened(block, known, length, size)
+        at = at[late[of] == _EARLIER]
         edge = np.zeros(len(block.data) + 1, np.int32)
         for i, j in ((first, last), (at, at)):
             np.add.at(edge, i, 1)
@@ -273,8 +281,14 @@ def _kept(blocks: DataFrame, lost: DataFrame, states: DataFrame, length: int) ->
         ids = pa.array(block.ids, mask=block.ids == _NULL_ID)
         return pa.table([ids, pa.array(block.ends - begin), pa.array(pieces, pa.binary()), pa.ListArray.from_arrays(cuts, spans).cast(_SPANS)], ["doc_id", "n_bytes", "kept", "removed"])
 
-    both = blocks.select("block", "payload", F.lit(None).cast("binary").alias("entries")).unionAll(lost.select("block", F.lit(None).cast("binary"), "entries"))
-    return both.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(cut, _KEPT)
+    both = states.withColumn("opened", F.lit(False)).unionByName(opened.withColumn("opened", F.lit(True)))
+    return blocks.select("block", "payload").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, _KEPT)
+
+
+def _settle_disks(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of the phase before. It holds on to a query's plan until the next one has begun."""
+    spark.range(1).collect()
+    release(spark)
 
 
 def without_earlier_strings(
@@ -287,10 +301,7 @@ def without_earlier_strings(
     blocks = written(_blocks(docs.select(F.col(doc_id).cast("bigint"), F.col(text)), block_bytes), "suffix-blocks")
     n = max(1, -(-(blocks.agg(F.sum("n_bytes")).first()[0] or 0) // range_bytes))
     states = written(_settled(_ranked(blocks, n, length, slice_bytes), segments=True), "suffix-states")
-    release(spark)
-    windows = written(_windows(blocks, states, n, length, slice_bytes), "suffix-windows")
-    discard(states)
-    release(spark)
-    states = written(_settled(windows.filter("shard >= 0"), segments=False), "suffix-states")
-    release(spark)
-    return _kept(blocks, windows.filter(f"shard = {_LOST}"), states, length)
+    _settle_disks(spark)
+    opened = written(_settled(_windows(blocks, states, n, length, slice_bytes), segments=False), "suffix-windows")
+    _settle_disks(spark)
+    return _kept(blocks, states, opened, length, slice_bytes)
