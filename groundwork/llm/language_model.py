@@ -7,7 +7,7 @@ restaurant and gives its parent's probability. Counts of all training documents
 Seating: the state holds the size of every table. A Gibbs step draws a customer of a dish at random, takes it from its
 table (an empty table leaves the restaurant, and its customer the parent), and seats it again given all tables that
 are there: at a table in proportion to its size less the discount, or at a new one in proportion to the parent's
-probability. A sweep makes ``2 * ceil(log2(customers))`` such steps for every dish. All pairs that end in one word lie
+probability. A sweep makes one such step for every customer of every dish. All pairs that end in one word lie
 in one shard, which knows the word's seating in the root; between sweeps, shards send the tables of their contexts to
 ranges of context hashes, which send back the totals, so a shard's own changes count at once and others' from the next
 sweep on; only the root's two totals reach the driver. The first seating is drawn in growing blocks. A pair that occurs
@@ -25,6 +25,8 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
+import random
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -44,6 +46,8 @@ BURN_IN, SAMPLES = 2, 3
 BLOCK_CHARS = 6_000_000
 #: Training tokens of a shard, about, and shards to a range of context hashes.
 SHARD_TOKENS, SHARDS_A_RANGE = 1_000_000, 4
+#: Dishes of a shard whose steps are made one after another: those with most, too few for arrays.
+ALONE = 96
 END = np.uint64(1)
 
 
@@ -204,70 +208,129 @@ def first_sizes(customers: np.ndarray, tables: np.ndarray, discount: float, rng:
 
 
 def draws(customers: np.ndarray) -> np.ndarray:
-    """Gibbs steps of a dish in one sweep."""
-    return np.where(customers > 1, 2 * np.ceil(np.log2(np.maximum(customers, 2))), 0).astype(np.int64)
+    """Gibbs steps of a dish in one sweep: one for each customer; one that is alone always has the one table."""
+    return np.where(customers > 1, customers, 0).astype(np.int64)
+
+
+def move_one(sizes: list[int], leave: int, come: int, mass: Callable, discount: float, rng: np.random.Generator) -> list[int]:
+    """Sizes of one dish's tables after its steps. ``mass(by)``: the mass of a new table when ``by`` more than at first are there."""
+    seat = array("i", np.repeat(np.arange(len(sizes), dtype=np.int32), sizes).tobytes())
+    rand, n, t, by, free = random.Random(int(rng.integers(1 << 62))).random, len(seat), len(sizes), 0, []
+    sizes, new = list(sizes), mass(0)
+    for r in range(max(leave, come)):
+        if r < leave:
+            i = int(rand() * n)
+            k = seat[i]
+            n -= 1
+            seat[i] = seat[n]
+            sizes[k] -= 1
+            if not sizes[k]:
+                free.append(k)
+                t -= 1
+                by -= 1
+                new = mass(by)
+        if r < come:
+            if not n or rand() * (new + n - discount * t) < new:
+                if free:
+                    k = free.pop()
+                    sizes[k] = 1
+                else:
+                    k = len(sizes)
+                    sizes.append(1)
+                t += 1
+                by += 1
+                new = mass(by)
+            else:  # the table of a random customer, with the odds that leave each its size less the discount
+                k = seat[int(rand() * n)]
+                while rand() * sizes[k] < discount:
+                    k = seat[int(rand() * n)]
+                sizes[k] += 1
+            if n < len(seat):
+                seat[n] = k
+            else:
+                seat.append(k)
+            n += 1
+    return [s for s in sizes if s]
 
 
 def move(
-    tables: np.ndarray, sizes: np.ndarray, leave: np.ndarray, come: np.ndarray, mass: Callable, changed: Callable, discount: float, rng: np.random.Generator
+    tables: np.ndarray, sizes: np.ndarray, leave: np.ndarray, come: np.ndarray, mass: Callable, changed: Callable, discount: float, rng: np.random.Generator, single: Callable | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Tables and sizes after ``leave`` random customers of each dish left and ``come`` were seated, step by step.
 
     In a step one customer leaves and one comes. ``mass(dishes, gone)`` is the mass of a new table, where ``gone``
-    says that the dish has just lost one; ``changed(dishes, by)`` hears how many tables came or went.
+    says that the dish has just lost one; ``changed(dishes, by)`` hears how many tables came or went. Dishes step
+    side by side, but the ``ALONE`` with most steps one after another, if ``single(dish)`` gives their ``mass(by)``.
     """
     steps = np.maximum(leave, come)
     order = np.argsort(-steps, kind="stable")
     order = order[: int((steps > 0).sum())]
     if not len(order):
         return tables, sizes
+    source, after = np.cumsum(tables) - tables, tables.copy()
+    alone, order = (order[:ALONE], order[ALONE:]) if single else (order[:0], order)
+    apart = []
+    for k in alone.tolist():
+        apart.append(move_one(sizes[source[k] : source[k] + tables[k]].tolist(), int(leave[k]), int(come[k]), single(k), discount, rng))
+        after[k] = len(apart[-1])
+        changed(np.array([k]), np.array([after[k] - tables[k]]))
     steps, leave, come = steps[order], leave[order], come[order]
     held, t = tables[order], tables[order].copy()
-    start = np.concatenate([[0], np.cumsum(held + come)])
-    flat, source = np.zeros(start[-1], np.int64), np.cumsum(tables) - tables
-    flat[_ragged(start[:-1], held)] = sizes[_ragged(source[order], held)]
-    n, free = np.add.reduceat(np.append(flat, 0), start[:-1]) * (held + come > 0), start[:-1] + held
-    for r in range(int(steps[0])):
+    filled = np.repeat(np.arange(len(order)), held)  # the dish of each table
+    n = np.bincount(filled, sizes[_ragged(source[order], held)], len(order)).astype(np.int64)
+    start = np.cumsum(np.concatenate([[0], n + np.maximum(come - leave, 0)]))  # a place for each customer that may be there at once
+    start, places = start[:-1], int(start[-1])
+    # Tables of a dish have the numbers of its places; those without customers are a stack
+    size, seat, spare = np.zeros(places, np.int32), np.zeros(places, np.int32), np.arange(places, dtype=np.int32)
+    number = _ragged(start, held)
+    size[number] = sizes[_ragged(source[order], held)]
+    seat[_ragged(start, n)] = np.repeat(number, size[number])
+    for r in range(int(steps[0]) if len(order) else 0):
         m = int(np.searchsorted(-steps, -r))
-        end, gone, by = start[m], np.zeros(m, np.int64), np.zeros(m, np.int64)
+        gone, was = np.zeros(m, np.int64), t[:m].copy()
         out = np.flatnonzero(leave[:m] > r)
         if len(out):
-            upto = np.cumsum(flat[:end])
-            u = upto[start[out]] - flat[start[out]] + (rng.random(len(out)) * n[out]).astype(np.int64)
-            at = np.searchsorted(upto, u, side="right")
-            flat[at] -= 1
+            at = start[out] + (rng.random(len(out)) * n[out]).astype(np.int64)
+            k = seat[at]
             n[out] -= 1
-            gone[out] = flat[at] == 0
-            t[out] -= gone[out]
-            by -= gone
+            seat[at] = seat[start[out] + n[out]]
+            size[k] -= 1
+            empty = size[k] == 0
+            gone[out] = empty
+            some = out[empty]
+            t[some] -= 1
+            spare[start[some] + t[some]] = k[empty]
         into = np.flatnonzero(come[:m] > r)
         if len(into):
             new, old = mass(order[into], gone[into]), n[into] - discount * t[into]
             fresh = rng.random(len(into)) * (new + old) < new
             fresh |= n[into] == 0
             stay, fresh = into[~fresh], into[fresh]
-            if len(stay):
-                weight = np.where(flat[:end] > 0, flat[:end] - discount, 0.0)
-                upto = np.cumsum(weight)
-                low, high = upto[start[stay]] - weight[start[stay]], upto[start[stay + 1] - 1]
-                u = np.minimum(low + rng.random(len(stay)) * (high - low), np.nextafter(high, 0))
-                flat[np.searchsorted(upto, u, side="right")] += 1
-            flat[free[fresh]] = 1
-            free[fresh] += 1
+            while len(stay):  # the table of a random customer, with the odds that leave each its size less the discount
+                k = seat[start[stay] + (rng.random(len(stay)) * n[stay]).astype(np.int64)]
+                took = rng.random(len(stay)) * size[k] >= discount
+                sat, k = stay[took], k[took]
+                size[k] += 1
+                seat[start[sat] + n[sat]] = k
+                stay = stay[~took]
+            k = spare[start[fresh] + t[fresh]]
+            size[k] = 1
+            seat[start[fresh] + n[fresh]] = k
             t[fresh] += 1
-            by[fresh] += 1
             n[into] += 1
+        by = t[:m] - was
         at = np.flatnonzero(by)
         changed(order[at], by[at])
-    tables = tables.copy()
-    tables[order] = t
-    place = np.cumsum(tables) - tables
+    after[order] = t
+    place = np.cumsum(after) - after
     still = np.ones(len(tables), bool)
-    still[order] = False
-    after = np.empty(int(tables.sum()), np.int64)
-    after[_ragged(place[still], tables[still])] = sizes[_ragged(source[still], tables[still])]
-    after[_ragged(place[order], t)] = flat[flat > 0]
-    return tables, after
+    still[order], still[alone] = False, False
+    flat = np.empty(int(after.sum()), np.int64)
+    flat[_ragged(place[still], after[still])] = sizes[_ragged(source[still], after[still])]
+    flat[_ragged(place[order], t)] = size[size > 0]
+    for k, own in zip(alone.tolist(), apart):
+        flat[place[k] : place[k] + len(own)] = own
+    return after, flat
 
 
 class Sweeps:
@@ -323,8 +386,19 @@ class Sweeps:
             np.add.at(of_context, self.context[pairs], by)
             np.add.at(customers, self.word[pairs], by)
 
+        def pair_alone(pair: int) -> Callable:
+            w = self.word[pair]
+            here, tables, own = float(customers[w]), float(self.root_tables[w]), float(of_context[self.context[pair]])
+            above, of_root = float((s + d * root_tables) * self.base), float(s + root_customers)
+
+            def mass(by: int) -> float:
+                n = here + by
+                return (STRENGTH[1] + DISCOUNT[1] * max(own + by, 0.0)) * (max(n - d * min(tables, n), 0.0) + above) / (of_root + by)
+
+            return mass
+
         steps = draws(self.pair_counts)
-        self.tables, self.sizes = move(self.tables, self.sizes, steps, steps, mass, changed, DISCOUNT[1], rng)
+        self.tables, self.sizes = move(self.tables, self.sizes, steps, steps, mass, changed, DISCOUNT[1], rng, pair_alone)
         # The root: customers that the sweep took or sent, then its own steps
         total = [root_tables]
 
@@ -334,9 +408,13 @@ class Sweeps:
         def root_changed(words: np.ndarray, by: np.ndarray) -> None:
             total[0] += by.sum()
 
+        def root_alone(word: int) -> Callable:
+            tables, base = float(total[0]), float(self.base)
+            return lambda by: max(s + d * (tables + by), s) * base
+
         more, steps = customers - before, draws(customers)
         for leave, come in ((np.maximum(-more, 0), np.maximum(more, 0)), (steps, steps)):
-            self.root_tables, self.root_sizes = move(self.root_tables, self.root_sizes, leave, come, of_root, root_changed, d, rng)
+            self.root_tables, self.root_sizes = move(self.root_tables, self.root_sizes, leave, come, of_root, root_changed, d, rng, root_alone)
 
     def pair(self, totals: np.ndarray, context_customers: np.ndarray) -> np.ndarray:
         """Probability of each (context, word) of the shard, seen in training or not."""

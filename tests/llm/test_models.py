@@ -340,3 +340,28 @@ def test_pii_awkward(spark):
     assert len(got) == awkward(spark).count()
     assert {(r.n_email, r.n_card) for r in got if r.doc_id == 13} == {(1, 1)}
     assert pii.personal_data(empty(spark)).count() == 0
+
+
+def test_a_sweep_takes_every_customer():
+    """From one table of all: as many steps as customers, among other dishes and alone."""
+    assert language_model.draws(np.array([0, 1, 2, 3, 1000])).tolist() == [0, 0, 2, 3, 1000]
+    pairs = [2000, 1500, *[3] * 200]
+    s = language_model.Sweeps(shard_row([2000, 1500, *[3] * 200], range(202), range(202), pairs), 202, 202)
+    s.base, totals = 0.5, s.totals()
+    totals[:2] = 2000  # tables that other shards hold
+    s.sweep(1, totals)
+    assert s.tables[0] > 25 and s.tables[1] > 25  # 22 steps open 22 at most
+    steps = np.array([2000, 1500])
+    t, sizes = language_model.move(np.array([1, 1]), steps.copy(), steps, steps, lambda x, gone: 50.0, lambda x, by: None, 0.7, np.random.default_rng(0))
+    assert (t > 25).all() and (np.bincount(np.repeat([0, 1], t), sizes) == steps).all()
+
+
+def test_steps_alone_reach_the_exact_conditional():
+    rng, c, d, others, parent, copies = np.random.default_rng(0), 9, 0.7, 6, 0.2, 6000
+    want = stirling(c, d) * np.cumprod([parent * (5.0 + d * (others + k)) for k in range(c)])
+    want /= want.sum()
+    got = np.zeros(c + 1)
+    for _ in range(copies):
+        got[len(language_model.move_one([c], 60, 60, lambda by: parent * (5.0 + d * (others + 1 + by)), d, rng))] += 1 / copies
+    assert np.abs(got[1:] - want).max() < 0.025
+    assert sum(language_model.move_one([4, 1], 3, 9, lambda by: 0.5, d, rng)) == 11 and language_model.move_one([2], 2, 0, lambda by: 0.5, d, rng) == []
