@@ -6,9 +6,9 @@ no rate is bounded from below. ``BUDGET`` of all tokens are kept. A class that h
 is wanted whole, and the rest goes to the others in proportion; rates are products of the classes' factors, at most 1.
 ``marginals`` shows targets and what was reached.
 
-Topics are learnt from the texts: hashed words, weighted by rarity, are clustered by direction (``TOPICS`` centres,
-fitted on at most about ``SAMPLE_TEXTS`` distinct texts, those of the smallest hashes); every text gets the nearest
-centre, and "none" where it has no word that tells topics apart. Everything else counts all documents.
+Topics are learnt from all texts: hashed words, weighted by rarity, are clustered by direction (``TOPICS`` centres, fitted
+on every distinct text by sums of whole numbers, so file layout changes nothing); every text gets the nearest centre, and
+"none" where it has no word that tells topics apart. Everything else counts all documents.
 
 Cells are raked on the driver up to ``DRIVER_CELLS`` of them, a checked number, and as a table beyond; both ways give
 the same rates.
@@ -21,7 +21,7 @@ names, are kept by ``mixed``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .blocks import pack, unpack
 from .joins import join_groups
 from .scratch import discard, written
 
 TEMPER, BUDGET = 0.7, 0.5
 MARGINS = ("source", "lang", "topic")
-TOPICS, TOPIC_DIMS, SAMPLE_TEXTS, FREQUENT = 12, 4096, 4000, 0.1
+TOPICS, TOPIC_DIMS, FREQUENT = 12, 4096, 0.1
+POWERS, MOVES, SCALE = 3, 3, 2.0**24
 DRIVER_CELLS = 100_000
 ROUNDS, CLOSE = 100, 1e-6
 MOST = 1e9  # of a factor, far above the 1 at which a cell is kept whole
@@ -57,96 +59,175 @@ def word_counts(text: str | None, dims: TopicWords) -> tuple[int, np.ndarray]:
     return len(words), np.bincount(np.fromiter(map(dims.__getitem__, words), np.int64, len(words)), minlength=TOPIC_DIMS + 1)[:TOPIC_DIMS]
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows of unit length (or zero): damped counts times rarity."""
-    x = np.log1p(counts).astype(np.float32) * idf
-    norm = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+class Texts:
+    """Texts as rows of unit length (or zero): damped counts of dimensions times rarity, one after another."""
 
+    def __init__(self, dims: list[bytes], counts: list[bytes], idf: np.ndarray):
+        sizes = np.array([len(d) // 2 for d in dims], np.int64)
+        self.rows, self.row, self.dim = len(dims), np.repeat(np.arange(len(dims)), sizes), np.frombuffer(b"".join(dims), "<u2").astype(np.int64)
+        x = np.log1p(np.frombuffer(b"".join(counts), "<u4")) * idf[self.dim]
+        norm = np.sqrt(np.bincount(self.row, x * x, self.rows))
+        self.some = norm > 0  # words that tell topics apart
+        self.x = np.divide(x, norm[self.row], out=np.zeros_like(x), where=x > 0)
 
-def _halves(x: np.ndarray, rounds: int) -> np.ndarray:
-    """Which of two centres each row is nearer to: split along the rows' main direction, then moved by direction."""
-    y = x - x.mean(0)
-    v = y[int(np.argmax((y * y).sum(1)))].copy()
-    for _ in range(rounds):
-        v = y.T @ (y @ v)
-        v /= max(float(np.sqrt(v @ v)), 1e-12)
-    right = y @ v > 0
-    for _ in range(rounds):
-        if not right.any() or right.all():
-            break
-        c = np.stack([x[~right].sum(0), x[right].sum(0)])
-        c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
-        right = x @ c[1] > x @ c[0]
-    return right
-
-
-def cluster(counts: np.ndarray, topics: int = TOPICS, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Rarity weights and centres: the largest cluster is halved until there are ``topics``."""
-    held = (counts > 0).sum(0)
-    idf = np.where((held > 1) & (held <= max(2, FREQUENT * len(counts))), np.log((1 + len(counts)) / (1 + held)), 0.0).astype(np.float32)
-    x = weighted(counts, idf)
-    x = x[x.any(1)]
-    if not len(x):
-        return idf, np.zeros((0, TOPIC_DIMS), np.float32)
-    of, whole = np.zeros(len(x), np.int64), set()
-    while of.max() + 1 < topics:
-        sizes = [0 if k in whole else n for k, n in enumerate(np.bincount(of))]
-        k = int(np.argmax(sizes))
-        if sizes[k] < 2:
-            break
-        rows = np.flatnonzero(of == k)
-        right = _halves(x[rows], rounds)
-        if right.any() and not right.all():
-            of[rows[right]] = of.max() + 1
-        else:
-            whole.add(k)  # equal rows
-    c = np.stack([x[of == k].sum(0) for k in range(of.max() + 1)])
-    return idf, c / np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
+    def dot(self, of: np.ndarray) -> np.ndarray:
+        """The inner product of each row with a vector that ``of`` gives by entry."""
+        return np.bincount(self.row, self.x * of, self.rows)
 
+    def nearest(self, centres: np.ndarray) -> np.ndarray:
+        return np.stack([self.dot(c[self.dim]) for c in centres]).argmax(0) if len(centres) else np.zeros(self.rows, np.int64)
 
-def fit_topics(docs: DataFrame, text: str, topics: int = TOPICS, sample_texts: int = SAMPLE_TEXTS) -> tuple[np.ndarray, np.ndarray]:
-    """Rarity weights and centres, fitted in one task on about ``sample_texts`` distinct texts."""
-    hashed = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("h")).filter(F.length("text") > 0)
-    distinct = hashed.select(F.approx_count_distinct("h")).first()[0] or 1
-    limit = min(1.0, sample_texts / distinct) * 2.0**64 - 2.0**63
-    chosen = hashed.filter(F.col("h").cast("double") < limit).groupBy("h").agg(F.min("text").alias("text"))
+    def names(self, centres: np.ndarray) -> list[str]:
+        return [f"t{k:02d}" if some and len(centres) else "none" for k, some in zip(self.nearest(centres).tolist(), self.some.tolist())]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def featured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with tokens (words, at least one), a hash of the text, and its dimensions with their counts."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dims = TopicWords()
         for b in batches:
-            rows = [word_counts(t, dims)[1].astype("<u2").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(rows, pa.binary())], ["h", "counts"])
+            tokens, at, counts = [], [], []
+            for t in b.column(b.schema.get_field_index(text)).to_pylist():
+                n, c = word_counts(t, dims)
+                held = np.flatnonzero(c)
+                tokens.append(max(1, n)), at.append(held.astype("<u2").tobytes()), counts.append(c[held].astype("<u4").tobytes())
+            columns = [*(b.column(b.schema.get_field_index(c)) for c in keep), b.column(b.schema.get_field_index("_hash")), pa.array(tokens, pa.int64()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "hash", "tokens", "dims", "counts"])
+
+    kinds = dict(docs.dtypes)
+    read = docs.select(*dict.fromkeys([*keep, text]), F.when(F.length(text) > 0, F.xxhash64(text)).alias("_hash"))
+    return read.mapInArrow(add, "".join(f"{c} {kinds[c]}, " for c in keep) + "hash bigint, tokens bigint, dims binary, counts binary")
 
-    def fit(t: pa.Table) -> pa.Table:
-        t = t.sort_by("h")
-        idf, centres = cluster(np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").reshape(-1, TOPIC_DIMS), topics)
-        return pa.table({"idf": [idf.tobytes()], "centres": [centres.tobytes()]})
 
-    got = chosen.mapInArrow(count, "h bigint, counts binary").groupBy(F.lit("all")).applyInArrow(fit, "idf binary, centres binary").first()
-    if got is None:
-        return np.zeros(TOPIC_DIMS, np.float32), np.zeros((0, TOPIC_DIMS), np.float32)
-    return np.frombuffer(got.idf, np.float32), np.frombuffer(got.centres, np.float32).reshape(-1, TOPIC_DIMS)
+def _summed(texts: DataFrame, n: int, each: Callable) -> np.ndarray:
+    """(n, TOPIC_DIMS + 1) sums over all texts; ``each`` makes those of a batch from its dims and counts. Whole numbers, so the order is nothing."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, TOPIC_DIMS + 1), np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                total += each(part.column("dims").to_pylist(), part.column("counts").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([pack(t) for t in total], pa.binary())], ["row", "sums"])
+
+    def join(t: pa.Table) -> pa.Table:
+        total = np.zeros(TOPIC_DIMS + 1, np.int64)
+        for x in t["sums"].to_pylist():
+            total += unpack(x)[0]
+        return pa.table({"row": t["row"].slice(0, 1), "sums": pa.array([pack(total)], pa.binary())})
+
+    got = texts.select("dims", "counts").mapInArrow(add, "row bigint, sums binary").groupBy("row").applyInArrow(join, "row bigint, sums binary").collect()
+    out = np.zeros((n, TOPIC_DIMS + 1))
+    for r in got:
+        out[r.row] = unpack(r.sums)[0]
+    return out
 
-def with_topics(docs: DataFrame, text: str, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with topic and tokens (words, at least one) of every whole text."""
+
+def _batch_sums(t: Texts, label: np.ndarray, weight: np.ndarray | None, n: int) -> np.ndarray:
+    """Rows by label, times ``weight``, in units of 1 / SCALE; the last column counts them."""
+    out = np.zeros((n, TOPIC_DIMS + 1), np.int64)
+    x = t.x if weight is None else t.x * weight[t.row]
+    out[:, :TOPIC_DIMS] = np.bincount(label[t.row] * TOPIC_DIMS + t.dim, np.rint(x * SCALE), n * TOPIC_DIMS).reshape(n, TOPIC_DIMS).astype(np.int64)
+    out[:, TOPIC_DIMS] = np.bincount(label[t.some], minlength=n)
+    return out
+
+
+def _units(sums: np.ndarray) -> np.ndarray:
+    c = sums[:, :TOPIC_DIMS]
+    return c / np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
+
+
+def fit_texts(texts: DataFrame, topics: int = TOPICS) -> tuple[np.ndarray, np.ndarray]:
+    """Rarity weights and centres of all distinct texts of a ``featured`` table.
+
+    Beginning with one centre, the largest clusters are halved along their main direction (``POWERS`` rounds of its
+    power iteration) and all centres moved (at most ``MOVES`` times) until there are ``topics``. Each step is a sum over all texts.
+    """
+    texts = written(texts.filter("hash is not null").select("hash", "dims", "counts").dropDuplicates(["hash"]), "mixing-texts")
+    n = texts.count()
+
+    def holds(dims: list[bytes], counts: list[bytes]) -> np.ndarray:
+        return np.bincount(np.frombuffer(b"".join(dims), "<u2"), minlength=TOPIC_DIMS + 1).astype(np.int64)[None]
+
+    held = _summed(texts, 1, holds)[0, :TOPIC_DIMS]
+    idf = np.where((held > 1) & (held <= max(2, FREQUENT * n)), np.log((1 + n) / (1 + held)), 0.0)
+
+    def clusters(centres: np.ndarray) -> np.ndarray:
+        def each(dims: list[bytes], counts: list[bytes]) -> np.ndarray:
+            t = Texts(dims, counts, idf)
+            return _batch_sums(t, t.nearest(centres), None, len(centres))
+
+        return _summed(texts, len(centres), each)
+
+    def along(centres: np.ndarray, ways: np.ndarray, middle: np.ndarray, halves: bool) -> np.ndarray:
+        """Sums of each cluster's rows times how far along its way from its middle they are, or of those on either side."""
+
+        def each(dims: list[bytes], counts: list[bytes]) -> np.ndarray:
+            t = Texts(dims, counts, idf)
+            label = t.nearest(centres)
+            far = t.dot(ways[label[t.row], t.dim]) - middle[label]
+            return _batch_sums(t, 2 * label + (far > 1e-9), None, 2 * len(centres)) if halves else _batch_sums(t, label, far, len(centres))
+
+        return _summed(texts, len(centres) * (2 if halves else 1), each)
+
+    centres = np.zeros((1, TOPIC_DIMS))
+    sums = clusters(centres)
+    centres = _units(sums)[sums[:, TOPIC_DIMS] > 0]
+    while 0 < len(centres) < topics:
+        size = sums[:, TOPIC_DIMS]
+        chosen = [k for k in np.argsort(-size, kind="stable")[: topics - len(centres)].tolist() if size[k] > 1]
+        mean = sums[:, :TOPIC_DIMS] / SCALE / np.maximum(size, 1)[:, None]
+        ways = np.zeros_like(centres)
+        ways[np.arange(len(centres)), mean.argmax(1)] = 1.0
+        for _ in range(POWERS):
+            ways = _units(along(centres, ways, (ways * mean).sum(1), False))
+        sides = along(centres, ways, (ways * mean).sum(1), True)
+        split = [k for k in chosen if sides[2 * k, TOPIC_DIMS] and sides[2 * k + 1, TOPIC_DIMS]]
+        if not split:  # equal rows
+            break
+        ends = [sides[2 * k : 2 * k + 2] if k in split else sums[k : k + 1] for k in range(len(centres))]
+        before, centres = len(centres), _units(np.concatenate(ends))
+        for _ in range(MOVES):
+            sums = clusters(centres)
+            sums = sums[sums[:, TOPIC_DIMS] > 0]
+            moved = _units(sums)
+            if moved.shape == centres.shape and (moved == centres).all():
+                break
+            centres = moved
+        if len(centres) <= before:
+            break
+    discard(texts)
+    return idf, centres
+
+
+def fit_topics(docs: DataFrame, text: str, topics: int = TOPICS) -> tuple[np.ndarray, np.ndarray]:
+    """Rarity weights and centres of all distinct texts of ``docs``."""
+    texts = written(featured(docs, text, []), "mixing-features")
+    model = fit_texts(texts, topics)
+    discard(texts)
+    return model
+
+
+def _topics_of(features: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with topic and tokens of the rows of a ``featured`` table."""
     idf, centres = model
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dims = TopicWords()
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                each = [word_counts(t, dims) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
-                x = weighted(np.stack([c for _, c in each]), idf)
-                near = (x @ centres.T).argmax(1) if len(centres) else np.zeros(len(x), np.int64)
-                names = [f"t{k:02d}" if some and len(centres) else "none" for k, some in zip(near.tolist(), x.any(1).tolist())]
-                columns = [*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(names), pa.array([max(1, n) for n, _ in each], pa.int64())]
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                names = Texts(part.column(part.schema.get_field_index("dims")).to_pylist(), part.column(part.schema.get_field_index("counts")).to_pylist(), idf).names(centres)
+                columns = [*(part.column(part.schema.get_field_index(c)) for c in keep), pa.array(names, pa.string()), part.column(part.schema.get_field_index("tokens"))]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "topic", "tokens"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(add, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", topic string, tokens bigint")
+    kinds = dict(features.dtypes)
+    return features.select(*keep, "tokens", "dims", "counts").mapInArrow(add, "".join(f"{c} {kinds[c]}, " for c in keep) + "topic string, tokens bigint")
+
+
+def with_topics(docs: DataFrame, text: str, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with topic and tokens (words, at least one) of every whole text."""
+    return _topics_of(featured(docs, text, keep), model, keep)
 
 
 def _class(m: str) -> Column:
@@ -276,7 +357,10 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     """doc_id, source, lang, topic, tokens, weight of its cell, keep_rate and kept for every row of ``docs``."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(lang).alias("lang"), body.alias("text"), _draw(F.col(doc_id), body, seed).alias("draw"))
-    counted = written(with_topics(rows, "text", fit_topics(rows, "text"), ["doc_id", "source", "lang", "draw"]), "mixing")
+    kept = ["doc_id", "source", "lang", "draw"]
+    texts = written(featured(rows, "text", kept), "mixing-features")
+    counted = written(_topics_of(texts, fit_texts(texts), kept), "mixing")
+    discard(texts)
     out = _rated(counted, targets, power)
     return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "keep_rate", (F.col("draw") < F.col("keep_rate")).alias("kept"))
 
@@ -303,8 +387,12 @@ def mixed(docs: DataFrame, targets: dict | None = None, seed: int = 17, power: f
     body = F.coalesce(at["text"], F.lit(""))
     rows = plain.withColumns({"source": at["source"], "lang": at["lang"], "text": body, "draw": _draw(at["doc_id"], body, seed)})
     kept = [*(f"c{i}" for i in range(len(names))), "source", "lang", "draw"]
-    topics = with_topics(rows, "text", fit_topics(rows, "text"), kept)
-    cells = calibrate(written(topics.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "mixing"), targets, power)
+    texts = written(featured(rows, "text", ["source", "lang"]), "mixing-features")
+    model = fit_texts(texts)
+    counted = _topics_of(texts, model, ["source", "lang"]).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    cells = calibrate(written(counted, "mixing"), targets, power)
+    discard(texts)
+    topics = with_topics(rows, "text", model, kept)
     # Texts are read again rather than shuffled or stored
     out = _rated(topics, targets, power, cells).filter(F.col("draw") < F.col("keep_rate"))
     return out.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)

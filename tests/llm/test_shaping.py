@@ -154,6 +154,22 @@ def test_topics_follow_words(spark):
     assert got[900] == got[901] == got[902] == "none"
 
 
+def test_topics_count_every_text(spark):
+    """Rarity from the exact counts of 6,000 texts and their copies, whatever the layout; centres are the means of what is nearest."""
+    rng = np.random.default_rng(2)
+    words = [chr(97 + i) * 2 + chr(97 + j) * 2 + chr(97 + k) for i in range(12) for j in range(12) for k in range(12)]
+    rows = [(i, " ".join(rng.choice(words[144 * (i % 12) : 144 * (i % 12) + 288], 12)) + f" {i}") for i in range(6000)]
+    docs = spark.createDataFrame(rows + rows[:50] * 20, "doc_id long, text string")
+    idf, centres = mixing.fit_topics(docs.repartition(3), "text")
+    dims, held = mixing.TopicWords(), np.zeros(mixing.TOPIC_DIMS)
+    for _, t in rows:
+        held += mixing.word_counts(t, dims)[1] > 0
+    want = np.where((held > 1) & (held <= 600), np.log(6001 / (1 + held)), 0)
+    assert np.allclose(idf, want) and len(centres) == 12
+    again = mixing.fit_topics(docs.repartition(11), "text")
+    assert (again[0] == idf).all() and (again[1] == centres).all()
+
+
 def test_mixture_awkward(spark):
     docs = awkward(spark).withColumnRenamed("n_chars", "topic").selectExpr("*", "1 as draw", "2 as weight", "3 as keep_rate", "4 as size", "5 as row")
     assert mixing.mixed(docs).columns == docs.columns
