@@ -14,8 +14,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,7 +38,9 @@ BROADCAST_COUNTS = 500_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts of these characters only are split here as the tokenizer splits them; all others it splits itself.
 _USUAL = re.compile(f"[\\t\\n\\r\x20-\x7e{_LETTERS}¡¿«»–—‘’“”…]*\\Z")
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+# The commonest kinds come first: letters and digits begin no other kind
+_WORDS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_ASCII_WORDS = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
 
 class WordEncoder:
@@ -62,16 +66,22 @@ class WordEncoder:
         known = self.known
         if len(known) > self.KEEP:
             known.clear()
-        split = [_WORDS.findall(t) if _USUAL.match(t) else None for t in texts]
+        split = [(_ASCII_WORDS if t.isascii() else _WORDS).findall(t) if _USUAL.match(t) else None for t in texts]
         new = list(set(chain.from_iterable(ws for ws in split if ws)).difference(known))
         for w, e in zip(new, self.single.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = array("I", e.ids).tobytes()
         return [
             np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if ws is None else np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
             for t, ws in zip(texts, split)
         ]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks that a Python worker runs, so that words seen before are known."""
+    return WordEncoder(path)
+
+
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, block int, nth bigint"
 
 
@@ -84,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, encoder, count = TaskContext.get().partitionId(), WordEncoder(tokenizer_path), defaultdict(int)
+        block, encoder, count = TaskContext.get().partitionId(), word_encoder(tokenizer_path), defaultdict(int)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

@@ -51,6 +51,15 @@ def test_packing(spark, sf_dir, table):
     assert packing.packed(empty(spark), PATH).count() == 0
 
 
+def test_words_are_the_tokenizers():
+    """Texts with and without characters beyond ASCII, split here, against the tokenizer alone."""
+    texts = ["it's they'll 's 't x're don't", "a  b\n c\td ", "\n\n a", "12 3a 4.5 ' ''s", "café's naïve – “quoted” 7é", " ", "", "a's1 b-c_d", "İ 好 x's", "\x0b a\x1c b\x1f\x85c"]
+    encoder = packing.WordEncoder(PATH)
+    assert packing._ASCII_WORDS.findall("it's 7 o'clock") == packing._WORDS.findall("it's 7 o'clock")
+    for _ in range(2):
+        assert all((a == b).all() and len(a) + 1 == len(c) for a, b, c in zip(encoder.encode(texts), [x[:-1] for x in whole_ids(texts)], whole_ids(texts)))
+
+
 def test_plan_is_best_fit():
     slots = packing.plan({700: 3, 300: 2, 200: 5, 24: 4}, 1024)
     room = defaultdict(int)
