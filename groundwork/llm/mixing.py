@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,19 +82,40 @@ class Texts:
         return [f"t{k:02d}" if some and len(centres) else "none" for k, some in zip(self.nearest(centres).tolist(), self.some.tolist())]
 
 
+def batch_counts(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Of each text: tokens (words, at least one), its dimensions and their counts, as ``word_counts`` gives them."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    flat, n = words.flatten(), len(words)
+    row = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+    size = pc.binary_length(flat).to_numpy()
+    tokens = np.maximum(np.bincount(row[size > 0], minlength=n), 1)
+    used = pc.ascii_is_alpha(flat).to_numpy(zero_copy_only=False) & (size > 3)
+    coded = flat.filter(pa.array(used)).dictionary_encode()
+    # Letters only, so one join and split makes Python's words of all distinct ones
+    distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py().encode().split()
+    dim = (np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)) % np.uint64(TOPIC_DIMS)).astype(np.int64)
+    counts = np.bincount(row[used] * TOPIC_DIMS + dim[coded.indices.to_numpy()], minlength=n * TOPIC_DIMS)
+    held = np.flatnonzero(counts)
+    cut = np.searchsorted(held, np.arange(n + 1) * TOPIC_DIMS).tolist()
+    at, of = (held % TOPIC_DIMS).astype("<u2").tobytes(), counts[held].astype("<u4").tobytes()
+    pieces = list(zip(cut, cut[1:]))
+    return pa.array(tokens, pa.int64()), pa.array([at[2 * i : 2 * j] for i, j in pieces], pa.binary()), pa.array([of[4 * i : 4 * j] for i, j in pieces], pa.binary())
+
+
+def _counted(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, tuple[pa.Array, pa.Array, pa.Array]]]:
+    """Pieces of the batches with the ``batch_counts`` of their texts."""
+    for b in batches:
+        for i in range(0, b.num_rows, 256):
+            part = b.slice(i, 256)
+            yield part, batch_counts(part.column(part.schema.get_field_index(text)))
+
+
 def featured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with tokens (words, at least one), a hash of the text, and its dimensions with their counts."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dims = TopicWords()
-        for b in batches:
-            tokens, at, counts = [], [], []
-            for t in b.column(b.schema.get_field_index(text)).to_pylist():
-                n, c = word_counts(t, dims)
-                held = np.flatnonzero(c)
-                tokens.append(max(1, n)), at.append(held.astype("<u2").tobytes()), counts.append(c[held].astype("<u4").tobytes())
-            columns = [*(b.column(b.schema.get_field_index(c)) for c in keep), b.column(b.schema.get_field_index("_hash")), pa.array(tokens, pa.int64()), pa.array(at, pa.binary()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "hash", "tokens", "dims", "counts"])
+        for b, counted in _counted(batches, text):
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (*keep, "_hash")), *counted], [*keep, "hash", "tokens", "dims", "counts"])
 
     kinds = dict(docs.dtypes)
     read = docs.select(*dict.fromkeys([*keep, text]), F.when(F.length(text) > 0, F.xxhash64(text)).alias("_hash"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from helpers import awkward, empty
@@ -328,3 +329,16 @@ def test_packing_without_broadcast(spark, sf_dir, monkeypatch):
     a = sorted(map(tuple, packing.packed(docs, PATH).collect()))
     monkeypatch.setattr(packing, "BROADCAST_COUNTS", 0)
     assert sorted(map(tuple, packing.packed(docs, PATH).collect())) == a
+
+
+def test_counts_of_batches_are_those_of_each_text(spark):
+    """One task with other texts on either side; ASCII white space alone parts words, letters alone count."""
+    texts = [None, "", " \t\x0b\n", "Alpha alpha  BETA beta2 gam ma\x0cdelta", "naïve Übermut wort wort　eins", "x" * 9000, "a1 b2", "Trailing words here \r\n"] * 70
+    dims, (tokens, at, of) = mixing.TopicWords(), mixing.batch_counts(pa.array(texts, pa.string()).slice(3))
+    for t, n, d, c in zip(texts[3:], tokens.to_pylist(), at.to_pylist(), of.to_pylist()):
+        words, counts = mixing.word_counts(t, dims)
+        assert n == max(1, words) and (np.frombuffer(d, "<u2") == np.flatnonzero(counts)).all() and (np.frombuffer(c, "<u4") == counts[counts > 0]).all()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = mixing.fit_topics(rows, "text", topics=2)
+    topics = mixing.with_topics(rows, "text", model, ["doc_id", "text"])
+    assert {(r.doc_id, r.text): r.tokens for r in topics.collect()} == {(i, t): max(1, mixing.word_counts(t, dims)[0]) for i, t in enumerate(texts)}
