@@ -249,7 +249,15 @@ def _topics_of(features: DataFrame, model: tuple[np.ndarray, np.ndarray], keep:
 
 def with_topics(docs: DataFrame, text: str, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
     """The columns ``keep`` with topic and tokens (words, at least one) of every whole text."""
-    return _topics_of(featured(docs, text, keep), model, keep)
+    idf, centres = model
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, (tokens, dims, counts) in _counted(batches, text):
+            names = Texts(dims.to_pylist(), counts.to_pylist(), idf).names(centres)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(names, pa.string()), tokens], [*keep, "topic", "tokens"])
+
+    kinds = dict(docs.dtypes)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(add, "".join(f"{c} {kinds[c]}, " for c in keep) + "topic string, tokens bigint")
 
 
 def _class(m: str) -> Column:

@@ -341,4 +341,5 @@ def test_counts_of_batches_are_those_of_each_text(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     model = mixing.fit_topics(rows, "text", topics=2)
     topics = mixing.with_topics(rows, "text", model, ["doc_id", "text"])
+    assert topics._jdf.queryExecution().toString().count("MapInArrow") <= 4  # once in each of the four plans: one Python worker a task
     assert {(r.doc_id, r.text): r.tokens for r in topics.collect()} == {(i, t): max(1, mixing.word_counts(t, dims)[0]) for i, t in enumerate(texts)}
