@@ -66,9 +66,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sentence_spans import without_repeated_spans
+    from .sentence_spans import LONG_WORDS, without_repeated_spans
 
-    return without_repeated_spans(_table(spark, sf_dir, "documents"))
+    return without_repeated_spans(_table(spark, sf_dir, "documents"), passage=LONG_WORDS)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ hashes of all their words, over the whole corpus, in hash ranges that get one en
 The first place of a repeated span is the one with the smallest document id (of rows that share an id, the one with
 the smallest text hash), then the first position; sentences covered by any other place are removed.
 
+A passage may begin and end inside sentences. With ``passage`` (words), windows of half as many words are compared as
+well: of all windows within any ``passage`` consecutive words, the one with the least hash. So whatever two places share
+of that length, they share a window; its words go from all places but the first, whole sentences or not. Up to half a
+passage at either end of what is shared may stay.
+
 Sentences end at ``.``, ``!`` or ``?`` before white space, at other scripts' full stops and marks, or at a line end;
 what has no words joins the sentence before it. A Chinese or Japanese character counts as a word of its own.
 Sentences are compared by their words, A-Z lower-cased. Removal takes the white space after a sentence along.
@@ -91,11 +96,27 @@ def spans(text: str | None, run: int = RUN, long_words: int = LONG_WORDS) -> tup
     return n, np.concatenate(runs), np.concatenate(hashes)
 
 
+def windows(text: str | None, passage: int) -> tuple[np.ndarray, np.ndarray]:
+    """(m, 2) windows of half a passage as first and last word, in order; (m, 2) halves of their hashes."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    size, n = max(1, passage // 2), len(words)
+    if n < passage:
+        return np.empty((0, 2), np.int64), np.empty((0, 2), np.uint64)
+    v, m = np.repeat(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)[:, None], 2, 1), 1
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+    while m < size:
+        step = min(m, size - m)
+        v, m = _mix(v[:-step] * odd + v[step:]), m + step
+    at = np.lib.stride_tricks.sliding_window_view(v[:, 0], passage - size + 1).argmin(1)
+    at = np.unique(at + np.arange(len(at)))
+    return np.stack([at, at + size - 1], 1), v[at] ^ np.uint64(size)
+
+
 _FIRST = "block bigint, nth bigint, doc_id bigint, text string, shard bigint, entries binary"
 _PLACES = -1  # the "shard" of the row that says where a block's spans are
 
 
-def _dealt(docs: DataFrame, n: int, run: int, long_words: int) -> DataFrame:
+def _dealt(docs: DataFrame, n: int, run: int, long_words: int, passage: int | None) -> DataFrame:
     """The documents with their block; each block's distinct spans for each shard; where in the block they are."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +134,14 @@ def _dealt(docs: DataFrame, n: int, run: int, long_words: int) -> DataFrame:
             ties = np.array([xxhash.xxh3_64_intdigest((x or "").encode("utf-8", "surrogatepass")) for x in texts], np.uint64)
             order = np.lexsort((np.arange(len(ids)), ties, ids))
             each = [spans(texts[k], run, long_words) for k in order]
-            doc = np.repeat(order, [len(e[1]) for e in each])
-            runs, hashes = (np.concatenate([e[k] for e in each]) for k in (1, 2))
+            held = [e[1:] for e in each] + ([windows(texts[k], passage) for k in order] if passage else [])
+            of_doc = np.repeat(np.arange(len(held)) % len(order), [len(r) for r, _ in held])
+            by_word = np.repeat(np.arange(len(held)) >= len(order), [len(r) for r, _ in held])
+            doc = order[of_doc]
+            runs, hashes = (np.concatenate([h[k] for h in held]) for k in (0, 1))
             # spans of one document in the order of their places
-            place = np.lexsort((runs[:, 1], runs[:, 0], np.repeat(np.arange(len(order)), [len(e[1]) for e in each])))
-            doc, runs, hashes = doc[place], runs[place], hashes[place]
+            place = np.lexsort((runs[:, 1], runs[:, 0], of_doc))
+            doc, runs, hashes, by_word = doc[place], runs[place], hashes[place], by_word[place]
             distinct, first, of, count = np.unique(hashes.view("u8,u8").reshape(-1), return_index=True, return_inverse=True, return_counts=True)
             h1, h2, of = distinct["f0"], distinct["f1"], of.reshape(-1)
             edge = shard_bounds(h1, n)
@@ -126,7 +150,7 @@ def _dealt(docs: DataFrame, n: int, run: int, long_words: int) -> DataFrame:
             packed = [pack(*(x[edge[k] : edge[k + 1]] for x in own)) for k in kept]
             sizes = np.zeros(len(order), np.int64)
             sizes[order] = [e[0] for e in each]
-            places = pack(sizes.astype("<u4"), doc.astype("<u4"), runs[:, 0].astype("<u4"), runs[:, 1].astype("<u4"), of.astype("<u4"))
+            places = pack(sizes.astype("<u4"), doc.astype("<u4"), runs[:, 0].astype("<u4"), runs[:, 1].astype("<u4"), of.astype("<u4"), by_word.astype("u1"))
             yield rows(1 + len(kept), block=pa.array(np.full(1 + len(kept), block)), shard=pa.array([_PLACES, *kept]), entries=pa.array([places, *packed], pa.binary()))
 
     return docs.mapInArrow(deal, _FIRST)
@@ -157,17 +181,27 @@ def _judged(entries: DataFrame) -> DataFrame:
 _CLEAN = "doc_id bigint, text string, n_sentences bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>"
 
 
-def _without(text: str, runs: np.ndarray, n: int) -> tuple[str, int, list[dict]]:
-    """The text without the sentences that ``runs`` cover, their number, their spans."""
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _without(text: str, runs: np.ndarray, n: int, words: np.ndarray) -> tuple[str, int, list[dict]]:
+    """The text without the sentences that ``runs`` and the words that ``words`` cover; how many sentences lose any; the spans."""
     cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, runs[:, 0], 1)
     np.add.at(cover, runs[:, 1] + 1, -1)
     cover = np.cumsum(cover[:-1]) > 0
     where, pieces = sentences(text), []
-    for i in np.flatnonzero(cover).tolist():
-        start, end, _ = where[i]
-        if pieces and pieces[-1]["end"] == start:
-            pieces[-1]["end"] = end
+    gone = [where[i][:2] for i in np.flatnonzero(cover).tolist()]
+    if len(words):
+        starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+        within = [(starts[i], starts[j + 1]) for i, j in words.tolist()]
+        begin = np.array([i for i, *_ in where])
+        for i, j in within:
+            cover[np.searchsorted(begin, i, "right") - 1 if i >= begin[0] else 0 : np.searchsorted(begin, j)] = True
+        gone = sorted(gone + within)
+    for start, end in gone:
+        if pieces and pieces[-1]["end"] >= start:
+            pieces[-1]["end"] = max(end, pieces[-1]["end"])
         else:
             pieces.append({"start": start, "end": end})
     kept, at = [], 0
@@ -180,7 +214,7 @@ def _without(text: str, runs: np.ndarray, n: int) -> tuple[str, int, list[dict]]
 def _cleaned(docs: DataFrame, flags: DataFrame) -> DataFrame:
     def clean(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         placed = pa.compute.is_valid(left["shard"])
-        sizes, doc, first, last, of = unpack(left.filter(placed)["entries"][0].as_py())
+        sizes, doc, first, last, of, by_word = unpack(left.filter(placed)["entries"][0].as_py())
         left = left.filter(pa.compute.invert(placed)).sort_by("nth")
         ids, texts = left["doc_id"].to_pylist(), left["text"].to_pylist()
         flag = np.concatenate([np.empty(0, np.uint8), *(unpack(x)[0] for _, x in sorted(zip(right["shard"].to_pylist(), right["flags"].to_pylist())))])[of]
@@ -188,13 +222,14 @@ def _cleaned(docs: DataFrame, flags: DataFrame) -> DataFrame:
         here[np.unique(of, return_index=True)[1]] = True  # spans are in the order of their places
         gone = np.flatnonzero((flag == 2) | ((flag == 1) & ~here))
         runs = np.stack([first[gone], last[gone]], 1).astype(np.int64)
+        by_word = by_word[gone] > 0
         gone = doc[gone]
         order = np.argsort(gone, kind="stable")
         cut = np.searchsorted(gone[order], np.arange(len(ids) + 1))
         out = []
         for k, (doc_id, text) in enumerate(zip(ids, texts)):
-            lost = runs[order[cut[k] : cut[k + 1]]]
-            text, removed, pieces = _without(text, lost, int(sizes[k])) if len(lost) else (text or "", 0, [])
+            own = order[cut[k] : cut[k + 1]]
+            text, removed, pieces = _without(text, runs[own[~by_word[own]]], int(sizes[k]), runs[own[by_word[own]]]) if len(own) else (text or "", 0, [])
             out.append((doc_id, text, int(sizes[k]), removed, pieces))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         return pa.table({k: pa.array(c, kind) for k, c, kind in zip(("doc_id", "text", "n_sentences", "n_removed", "removed"), zip(*out), kinds)})
@@ -202,10 +237,10 @@ def _cleaned(docs: DataFrame, flags: DataFrame) -> DataFrame:
     return docs.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(clean, _CLEAN)
 
 
-def without_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, long_words: int = LONG_WORDS) -> DataFrame:
-    """doc_id, text without the removed sentences, n_sentences, n_removed, removed (spans of the old text)."""
+def without_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, long_words: int = LONG_WORDS, passage: int | None = None) -> DataFrame:
+    """doc_id, text without the removed sentences, n_sentences, n_removed (those that lose words), removed (spans of the old text)."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    both = written(_dealt(rows, max(1, -(-chars // RANGE_CHARS)), run, long_words), "spans")
+    both = written(_dealt(rows, max(1, -(-chars // RANGE_CHARS)), run, long_words, passage), "spans")
     flags = written(_judged(both.filter("shard >= 0").select("shard", "block", "entries")), "span-flags")
     return _cleaned(both.filter(f"shard is null or shard = {_PLACES}").select("block", "nth", "doc_id", "text", "shard", "entries"), flags)

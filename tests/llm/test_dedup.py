@@ -206,3 +206,21 @@ def test_long_single_sentences(spark):
     rows = [(1, long), (2, long), (3, "First here. " + long + "Then this."), (4, short), (5, short), (6, wide), (7, "前。" + wide + "後。")]  # no run of three but these
     got = {r.doc_id: r.text for r in sentence_spans.without_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: long, 2: "", 3: "First here. Then this.", 4: short, 5: short, 6: wide, 7: "前。後。"}
+
+
+def test_passages_inside_sentences(spark):
+    """Passages of 50 words that begin and end inside sentences lose words in all places but the first; one of 24 stays."""
+    own = lambda d, a, n: " ".join(f"d{d}x{k}" for k in range(a, a + n))
+    shared = " ".join(f"p{k}." if k % 20 == 12 else f"p{k}" for k in range(50))
+    short = " ".join(f"q{k}" for k in range(24))
+    rows = [(d, f"{own(d, 0, 7 * d)} {shared} {own(d, 100, 9)}\n{own(d, 200, 30)} {short} {own(d, 300, 30)}") for d in (1, 2, 3)] + [(4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3):
+        got = {r.doc_id: r for r in sentence_spans.without_repeated_spans(docs.repartition(parts), passage=50).collect()}
+        assert [got[i].text for i in (1, 4, 5)] == [rows[0][1], "", ""]
+        for d in (2, 3):
+            text, r = rows[d - 1][1], got[d]
+            lost = " ".join(text[p.start : p.end] for p in r.removed).split()
+            assert r.n_removed > 0 and len(lost) >= 25 and set(lost) <= set(shared.split())
+            assert r.text.split() == [w for w in text.split() if w not in set(lost)]
+    assert [r.n_removed for r in sentence_spans.without_repeated_spans(docs).collect()] == [0] * 5
