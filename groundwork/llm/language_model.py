@@ -7,7 +7,8 @@ restaurant and gives its parent's probability. Counts of all training documents
 Seating: the state holds the size of every table. A Gibbs step draws a customer of a dish at random, takes it from its
 table (an empty table leaves the restaurant, and its customer the parent), and seats it again given all tables that
 are there: at a table in proportion to its size less the discount, or at a new one in proportion to the parent's
-probability. A sweep makes one such step for every customer of every dish. All pairs that end in one word lie
+probability. A sweep makes one such step for every customer of every pair; all customers of a word in the root are seated
+at once, from their exact conditional. All pairs that end in one word lie
 in one shard, which knows the word's seating in the root; between sweeps, shards send the tables of their contexts to
 ranges of context hashes, which send back the totals, so a shard's own changes count at once and others' from the next
 sweep on; only the root's two totals reach the driver. The first seating is drawn in growing blocks. A pair that occurs
@@ -26,9 +27,9 @@ whatever their names, are ignored.
 from __future__ import annotations
 
 import random
-from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,10 @@ BLOCK_CHARS = 6_000_000
 SHARD_TOKENS, SHARDS_A_RANGE = 1_000_000, 4
 #: Dishes of a shard whose steps are made one after another: those with most, too few for arrays.
 ALONE = 96
+#: Random numbers that a dish alone draws at once.
+_DRAWN = 4096
+#: Customers and tables up to which all of a word in the root are seated at once; words beyond make steps.
+SEATED, SEATED_TABLES = 1 << 16, 24
 END = np.uint64(1)
 
 
@@ -214,42 +219,82 @@ def draws(customers: np.ndarray) -> np.ndarray:
 
 def move_one(sizes: list[int], leave: int, come: int, mass: Callable, discount: float, rng: np.random.Generator) -> list[int]:
     """Sizes of one dish's tables after its steps. ``mass(by)``: the mass of a new table when ``by`` more than at first are there."""
-    seat = array("i", np.repeat(np.arange(len(sizes), dtype=np.int32), sizes).tobytes())
+    seat, sizes = np.repeat(np.arange(len(sizes)), sizes).tolist(), list(sizes)
     rand, n, t, by, free = random.Random(int(rng.integers(1 << 62))).random, len(seat), len(sizes), 0, []
-    sizes, new = list(sizes), mass(0)
-    for r in range(max(leave, come)):
-        if r < leave:
-            i = int(rand() * n)
+    both = min(leave, come) if n > 1 else 0  # a customer that is alone would open its table again
+    known: dict[int, float] = {}
+
+    def odds(by: int, t: int) -> float:
+        """That one of the dish's customers, the others being seated at ``t`` tables, opens a new one."""
+        if by not in known:
+            new = mass(by)
+            known[by] = new / (new + max(n - 1 - discount * t, 0.0))
+        return known[by]
+
+    opens = odds(0, t) if both else 0.0
+    for r in range(0, both, _DRAWN):
+        m = min(_DRAWN, both - r)
+        who = rng.integers(0, n, m)
+        other = (who + rng.integers(1, n, m)) % n  # a random one of those that stay
+        for i, j, u, v in zip(who.tolist(), other.tolist(), rng.random(m).tolist(), rng.random(m).tolist()):
             k = seat[i]
-            n -= 1
-            seat[i] = seat[n]
-            sizes[k] -= 1
-            if not sizes[k]:
+            size = sizes[k]
+            if size > 1:
+                if u < opens:
+                    sizes[k] = size - 1
+                    if free:
+                        seat[i] = k = free.pop()
+                        sizes[k] = 1
+                    else:
+                        seat[i] = len(sizes)
+                        sizes.append(1)
+                    t, by = t + 1, by + 1
+                    opens = odds(by, t)
+                    continue
+                sizes[k] = size - 1
+            else:
+                fewer = odds(by - 1, t - 1)
+                if u < fewer:
+                    continue
+                sizes[k], opens, t, by = 0, fewer, t - 1, by - 1
                 free.append(k)
-                t -= 1
-                by -= 1
-                new = mass(by)
-        if r < come:
-            if not n or rand() * (new + n - discount * t) < new:
-                if free:
-                    k = free.pop()
-                    sizes[k] = 1
-                else:
-                    k = len(sizes)
-                    sizes.append(1)
-                t += 1
-                by += 1
-                new = mass(by)
-            else:  # the table of a random customer, with the odds that leave each its size less the discount
-                k = seat[int(rand() * n)]
-                while rand() * sizes[k] < discount:
-                    k = seat[int(rand() * n)]
-                sizes[k] += 1
-            if n < len(seat):
-                seat[n] = k
+            k = seat[j]  # the table of a random customer, with the odds that leave each its size less the discount
+            while v * sizes[k] < discount:
+                j = int(rand() * n)
+                while j == i:
+                    j = int(rand() * n)
+                k, v = seat[j], rand()
+            sizes[k] += 1
+            seat[i] = k
+    for _ in range(leave - min(leave, come)):
+        i = int(rand() * n)
+        k = seat[i]
+        n -= 1
+        seat[i] = seat[n]
+        seat.pop()
+        sizes[k] -= 1
+        if not sizes[k]:
+            free.append(k)
+    if come > leave:
+        new = mass(by)
+    for _ in range(come - min(leave, come)):
+        if not n or rand() * (new + n - discount * t) < new:
+            if free:
+                k = free.pop()
+                sizes[k] = 1
             else:
-                seat.append(k)
-            n += 1
+                k = len(sizes)
+                sizes.append(1)
+            t += 1
+            by += 1
+            new = mass(by)
+        else:
+            k = seat[int(rand() * n)]
+            while rand() * sizes[k] < discount:
+                k = seat[int(rand() * n)]
+            sizes[k] += 1
+        seat.append(k)
+        n += 1
     return [s for s in sizes if s]
 
 
@@ -285,8 +330,41 @@ def move(
     number = _ragged(start, held)
     size[number] = sizes[_ragged(source[order], held)]
     seat[_ragged(start, n)] = np.repeat(number, size[number])
-    for r in range(int(steps[0]) if len(order) else 0):
-        m = int(np.searchsorted(-steps, -r))
+    active = np.searchsorted(-steps, -np.arange(int(steps[0]) if len(order) else 0)).tolist()
+    if np.array_equal(leave, come):  # nobody is missing after a step, so the one that comes takes the place of the one that left
+        others = n - 1
+        for m in active:
+            was, begin, stays = t[:m].copy(), start[:m], others[:m]
+            i = (rng.random(m) * n[:m]).astype(np.int64)
+            at = begin + i
+            k = seat[at]
+            left = size[k] - 1
+            size[k] = left
+            gone = left == 0
+            some = np.flatnonzero(gone)
+            t[some] -= 1
+            spare[begin[some] + t[some]] = k[some]
+            new = mass(order[:m], gone)
+            fresh = rng.random(m) * (new + stays - discount * t[:m]) < new
+            stay, fresh = np.flatnonzero(~fresh), np.flatnonzero(fresh)
+            while len(stay):  # the table of a random customer, with the odds that leave each its size less the discount
+                j = i[stay] + 1 + (rng.random(len(stay)) * stays[stay]).astype(np.int64)
+                j -= np.where(j >= n[stay], n[stay], 0)
+                k = seat[begin[stay] + j]
+                own = size[k]
+                took = rng.random(len(stay)) * own >= discount
+                size[k] = own + took
+                seat[at[stay[took]]] = k[took]
+                stay = stay[~took]
+            k = spare[begin[fresh] + t[fresh]]
+            size[k] = 1
+            seat[at[fresh]] = k
+            t[fresh] += 1
+            by = t[:m] - was
+            some = np.flatnonzero(by)
+            changed(order[some], by[some])
+        active = []
+    for r, m in enumerate(active):
         gone, was = np.zeros(m, np.int64), t[:m].copy()
         out = np.flatnonzero(leave[:m] > r)
         if len(out):
@@ -333,6 +411,63 @@ def move(
     return after, flat
 
 
+@lru_cache(maxsize=2)
+def seatings(discount: float, customers: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """By tables t and customers n: seatings of n at t over those where the last n - t open no table; seatings at t over those at t - 1."""
+    n = np.arange(customers + 1, dtype=np.float64)
+    opened, ratio = np.zeros((2, tables + 1, customers + 1))
+    opened[1, 1:] = 1
+    for t in range(2, min(tables, customers) + 1):
+        m = n[t:]
+        # what one more table at a time weighs, step by step from the first t - 1 customers
+        weight = np.cumprod(np.r_[1.0, (n[t - 1 : -1] - discount * (t - 1)) / (m - discount * t)])
+        opened[t, t:] = np.cumsum(opened[t - 1, t - 1 : -1] * weight[:-1])
+        ratio[t, t:] = opened[t, t:] / (opened[t - 1, t:] * (m - discount * t) * weight[1:])
+    return opened, ratio
+
+
+def seat_tables(customers: np.ndarray, mass: np.ndarray, more: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes, all customers of a dish drawn together from their exact conditional; 0 where it reaches beyond
+    the tabulated ones. A dish's first table has ``mass``, each further one ``more`` than the one before."""
+    most = min(SEATED_TABLES, int(customers.max()))
+    _, ratio = seatings(discount, SEATED, SEATED_TABLES)
+    odds = ratio[2 : most + 1, customers] * (mass + more * np.arange(1, most)[:, None])
+    upto = np.cumsum(np.concatenate([np.ones((1, len(customers))), np.cumprod(odds, axis=0)]), axis=0)
+    tables = 1 + (upto < rng.random(len(customers)) * upto[-1]).sum(axis=0)
+    beyond = (customers > most) & (upto[-1] - upto[-2] > 1e-15 * upto[-1]) if most > 1 else customers > most
+    return np.where(beyond, 0, tables)
+
+
+def seat_sizes(customers: np.ndarray, tables: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Sizes of dishes' tables given their number, one dish after another: who opened each, then how the others joined."""
+    opened, _ = seatings(discount, SEATED, SEATED_TABLES)
+    order = np.argsort(-tables, kind="stable")
+    n, t, wide = customers[order], tables[order], int(tables.max(initial=0))
+    first = np.zeros((len(n), wide + 2), np.int64)  # the customer, from 1, that opened each table; after the last one the end
+    first[np.arange(len(n)), t + 1] = n + 1
+    first[:, 1] = np.where(t > 0, 1, first[:, 1])
+    for back in range(wide - 1):
+        d = np.flatnonzero(t - back >= 2)
+        k = t[d] - back
+        low, high = k.copy(), first[d, k + 1] - 1
+        sought = (1 - rng.random(len(d))) * opened[k, high]
+        while (low < high).any():
+            middle = (low + high) // 2
+            less = opened[k, middle] < sought
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        first[d, k] = high
+    size = np.zeros((len(n), wide), np.int64)
+    for k in range(1, wide + 1):
+        d = int(np.searchsorted(-t, -k, side="right"))
+        size[:d, k - 1] = 1
+        weight = rng.standard_gamma(size[:d, :k] - discount)
+        size[:d, :k] += rng.multinomial(first[:d, k + 1] - first[:d, k] - 1, weight / weight.sum(axis=1, keepdims=True))
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    size = size[back]
+    return size[size > 0]
+
+
 class Sweeps:
     """The seating of one shard; repeatable, so that a task that is run again gives the same."""
 
@@ -399,8 +534,25 @@ class Sweeps:
 
         steps = draws(self.pair_counts)
         self.tables, self.sizes = move(self.tables, self.sizes, steps, steps, mass, changed, DISCOUNT[1], rng, pair_alone)
-        # The root: customers that the sweep took or sent, then its own steps
-        total = [root_tables]
+        self._sweep_root(before, customers, root_tables, rng)
+
+    def _sweep_root(self, before: np.ndarray, customers: np.ndarray, root_tables: float, rng: np.random.Generator) -> None:
+        """All customers of a word are seated at once. Words beyond ``seatings`` first take in or lose those that the
+        contexts sent or took, then make their steps."""
+        d, s, total = DISCOUNT[0], STRENGTH[0], [float(root_tables)]
+        tables = np.minimum(customers, 1)
+        order = np.flatnonzero((customers > 1) & (customers <= SEATED))
+        order = order[np.argsort(customers[order], kind="stable")]
+        at = 0
+        while at < len(order):
+            # so few side by side that their tables hardly change what all share
+            some = order[at : at + max(1, int(total[0]) // 1000)]
+            own = self.root_tables[some]
+            new = seat_tables(customers[some], (s + d * (total[0] - own)) * self.base, d * self.base, d, rng)
+            tables[some] = new
+            total[0] += (new - own)[new > 0].sum()
+            at += len(some)
+        step = (customers > SEATED) | ((customers > 0) & (tables == 0))
 
         def of_root(words: np.ndarray, gone: np.ndarray) -> np.ndarray:
             return np.maximum(s + d * (total[0] - gone), s) * self.base
@@ -412,9 +564,18 @@ class Sweeps:
             tables, base = float(total[0]), float(self.base)
             return lambda by: max(s + d * (tables + by), s) * base
 
-        more, steps = customers - before, draws(customers)
-        for leave, come in ((np.maximum(-more, 0), np.maximum(more, 0)), (steps, steps)):
-            self.root_tables, self.root_sizes = move(self.root_tables, self.root_sizes, leave, come, of_root, root_changed, d, rng, root_alone)
+        seated = seat_sizes(np.where(step, 0, customers), np.where(step, 0, tables), d, rng)
+        if step.any():
+            stepped, kept = self.root_tables[step], self.root_sizes[np.repeat(step, self.root_tables)]
+            more, steps = (customers - before)[step], draws(customers[step])
+            for leave, come in ((np.maximum(-more, 0), np.maximum(more, 0)), (steps, steps)):
+                stepped, kept = move(stepped, kept, leave, come, of_root, root_changed, d, rng, root_alone)
+            tables[step] = stepped
+            sizes = np.empty(len(seated) + len(kept), np.int64)
+            where = np.repeat(step, tables)
+            sizes[where], sizes[~where] = kept, seated
+            seated = sizes
+        self.root_tables, self.root_sizes = tables, seated
 
     def pair(self, totals: np.ndarray, context_customers: np.ndarray) -> np.ndarray:
         """Probability of each (context, word) of the shard, seen in training or not."""

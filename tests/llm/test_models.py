@@ -365,3 +365,35 @@ def test_steps_alone_reach_the_exact_conditional():
         got[len(language_model.move_one([c], 60, 60, lambda by: parent * (5.0 + d * (others + 1 + by)), d, rng))] += 1 / copies
     assert np.abs(got[1:] - want).max() < 0.025
     assert sum(language_model.move_one([4, 1], 3, 9, lambda by: 0.5, d, rng)) == 11 and language_model.move_one([2], 2, 0, lambda by: 0.5, d, rng) == []
+
+
+def test_words_are_seated_at_once_by_the_exact_conditional(monkeypatch):
+    """Tables and sizes of whole dishes against enumeration; the frequent words of the root take no single steps."""
+    rng, c, d, mass, more, copies = np.random.default_rng(0), 9, 0.8, 1.4, 0.16, 20_000
+    want = stirling(c, d) * np.cumprod([mass + more * k for k in range(c)])
+    want /= want.sum()
+    tables = language_model.seat_tables(np.full(copies, c), np.full(copies, mass), more, d, rng)
+    assert np.abs(np.bincount(tables, minlength=c + 1)[1:] / copies - want).max() < 0.015
+    sizes, of = language_model.seat_sizes(np.full(copies, c), tables, d, rng), np.repeat(np.arange(copies), tables)
+    assert (np.bincount(of, sizes) == c).all() and (sizes > 0).all()
+    smaller = stirling(c - 1, d)
+    alone = sum(want[t - 1] * (smaller[t - 2] if t > 1 else 0) / stirling(c, d)[t - 1] for t in range(1, c + 1))
+    assert abs(np.bincount(of, sizes == 1, copies).mean() / c - alone) < 0.01
+    steps, one = [], language_model.move_one
+    monkeypatch.setattr(language_model, "move_one", lambda sizes, leave, *rest: steps.append(leave) or one(sizes, leave, *rest))
+    customers = [60_000, 5000, *range(1, 300)]
+    s = language_model.Sweeps(shard_row(customers, [], [], []), 0, 400_000)
+    totals = np.array([400_000.0, 50_000_000.0])
+    s.begin(totals)
+    s.sweep(1, totals)
+    assert not steps and (np.bincount(np.repeat(np.arange(301), s.root_tables), s.root_sizes) == customers).all()
+
+
+def test_words_beyond_the_tabulated_seatings_make_steps(monkeypatch):
+    monkeypatch.setattr(language_model, "SEATED", 50)
+    customers = [400, 0, 60, 7, 1, 30]
+    s = language_model.Sweeps(shard_row(customers, [], [], []), 0, 6)
+    s.begin(s.totals())
+    for k in range(5):
+        s.sweep(1 + k, s.totals())
+        assert (np.bincount(np.repeat(np.arange(6), s.root_tables), s.root_sizes, 6) == customers).all() and (s.root_sizes > 0).all()
