@@ -67,6 +67,15 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - done)], keys[width - done :]) if done < width else keys
 
 
+def _checks(words: dict[int, np.ndarray], length: int) -> np.ndarray:
+    """A second, shorter name of windows, from the words of 8 bytes at each place in them."""
+    h = np.full(len(words[0]), _M[2])
+    for k in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ words[k]) * _M[1]
+        h ^= h >> _HALF
+    return h
+
+
 class _Slice:
     """Windows of ``length`` bytes of the documents that end at ``ends``, and their segments, for a slice of a block."""
 
@@ -77,28 +86,34 @@ class _Slice:
         self.rank = rank = _name(rank[:-16], rank[16:])
         places = np.arange(len(rank), dtype=np.uint64)
         least = _least(((rank >> _HALF) << _HALF) | places, length - _GRAM + 1)[:n]
-        doc = np.searchsorted(ends, np.arange(start, start + len(least)), side="right")
-        fits = np.arange(start, start + len(least)) + length <= ends[np.minimum(doc, len(ends) - 1)]
-        self.at = np.flatnonzero(fits)
+        held = np.diff(np.clip(ends - start, 0, len(least)), prepend=0)  # places of each document
+        some = np.flatnonzero(held)
+        doc = np.repeat(some, held[some])
+        self.at = np.flatnonzero(np.arange(start + length, start + length + len(doc)) <= np.repeat(ends[some], held[some]))
         self.doc, self.length = doc[self.at], length
         sample = (least[self.at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, (sample[1:] != sample[:-1]) | (self.doc[1:] != self.doc[:-1])][: len(sample)])
         self.first, self.last = self.at[first], self.at[np.r_[first[1:], len(sample)][: len(first)] - 1]
         # least ranks crowd at the low end; a bijection spreads them over the ranges of names
         self.owner, self.key = self.doc[first], _spread(rank[sample[first]])
+
+    def segments(self) -> np.ndarray:
         ends_of = _name(self.windows(self.first), self.windows(self.last))
-        self.segment = _name(ends_of, (self.last - self.first).astype(np.uint64))
+        return _name(ends_of, (self.last - self.first).astype(np.uint64))
 
     def windows(self, at: np.ndarray) -> np.ndarray:
         return _name(self.rank[at], self.rank[at + self.length - _GRAM])
 
     def checks(self, at: np.ndarray) -> np.ndarray:
-        """A second, shorter name of windows, from their bytes."""
-        h = np.full(len(at), _M[2])
-        for k in [*range(0, self.length - 8, 8), self.length - 8]:
-            h = (h ^ self.words[at + k]) * _M[1]
-            h ^= h >> _HALF
-        return h
+        return _checks({k: self.words[at + k] for k in [*range(0, self.length - 8, 8), self.length - 8]}, self.length)
+
+
+def _windows_at(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the windows that begin at ``at``, and second, shorter names of the same bytes."""
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    part = {k: words[at + k] for k in sorted({*range(0, length - 8, 8), *range(length - _GRAM, length, 8)})}
+    ranks = [_name(_name(part[k], part[k + 8]), _name(part[k + 16], part[k + 24])) for k in (0, length - _GRAM)]
+    return _name(*ranks), _checks(part, length)
 
 
 class _Block:
@@ -162,7 +177,7 @@ def _rows(block: int, n: int, by: np.ndarray, *columns: np.ndarray) -> list[tupl
 
 def _ranks_of(block: _Block, length: int, size: int) -> tuple[np.ndarray, ...]:
     """Distinct ranks of a block in order: rank, segment, whether it has several, the least id."""
-    parts = [(s.key, s.segment, block.ids[s.owner]) for _, s in _slices(block, length, size)]
+    parts = [(s.key, s.segments(), block.ids[s.owner]) for _, s in _slices(block, length, size)]
     key, segment, ids = (np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))
     order, new = _distinct(ids, segment, key)
     at = np.flatnonzero(new)
@@ -221,17 +236,24 @@ def _states(t: pa.Table) -> np.ndarray:
 def _opened(block: _Block, known: np.ndarray, length: int, size: int) -> tuple[np.ndarray, ...]:
     """Windows that a block is known to lose, as first and last places of runs; the open ones' place and the number of
     their name; the distinct names in order, with the least id of each."""
-    keys, _, _, ids = _ranks_of(block, length, size)
-    first, last, at, names, checks, docs = ([np.empty(0, k)] for k in (np.int64, np.int64, np.int64, np.uint64, np.uint32, np.int64))
-    for start, s in _slices(block, length, size):
-        of = np.searchsorted(keys, s.key)
-        state, own = known[of], block.ids[s.owner]
-        gone = (state == _EARLIER) | ((state == _UNIQUE) & (own > ids[of]))
-        first.append(start + s.first[gone]), last.append(start + s.last[gone])
-        count = np.where(state == _SEVERAL, s.last - s.first + 1, 0)
-        w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(s.first, count)
-        at.append(start + w), names.append(s.windows(w)), checks.append(s.checks(w)), docs.append(np.repeat(own, count))
-    first, last, at, names, checks, docs = map(np.concatenate, (first, last, at, names, checks, docs))
+    parts = [(s.key, start + s.first, start + s.last, block.ids[s.owner]) for start, s in _slices(block, length, size)]
+    key, begin, end, own = (np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, k) for k in (np.uint64, np.int64, np.int64, np.int64))
+    del parts
+    order = np.argsort(key, kind="stable")
+    ranks = key[order]
+    new = np.r_[True, ranks[1:] != ranks[:-1]][: len(ranks)]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    ids = np.minimum.reduceat(own[order], np.flatnonzero(new)) if len(order) else own
+    state = known[of]
+    gone = (state == _EARLIER) | ((state == _UNIQUE) & (own > ids[of]))
+    first, last = begin[gone], end[gone]
+    several = np.flatnonzero(state == _SEVERAL)
+    count = end[several] - begin[several] + 1
+    at, docs = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - begin[several], count), np.repeat(own[several], count)
+    names, checks = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    for i in range(0, len(at), size):
+        names[i : i + size], checks[i : i + size] = _windows_at(block.data, at[i : i + size], length)
     order = np.lexsort((docs, checks, names))
     a, b = names[order], checks[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]

@@ -102,3 +102,21 @@ def test_query_gives_the_rows_of_its_sql(spark, sf_dir):
     want = con.sql(f"select {', '.join(got.columns)} from ({queries.oracle_sql()['op12_suffix_dedup']})").fetchall()
     rows = [tuple(r) for r in got.collect()]
     assert sorted(rows) == sorted(want) and any(r[2] for r in rows)
+
+
+def test_open_windows_are_named_without_ranking_the_block_again(monkeypatch):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcde ") for _ in range(400))
+    texts = [(passage[a : a + n] + "".join(rng.choice("xyz") for _ in range(60))).encode() for a, n in ((0, 400), (30, 200), (100, 300), (0, 70))] + [b"", b"short"]
+    block = suffix_dedup._Block(suffix_dedup._Block.payload(list(range(len(texts))), texts))
+    keys, *_ = suffix_dedup._ranks_of(block, 50, 300)
+    made, plain_slice = [], suffix_dedup._Slice
+    monkeypatch.setattr(suffix_dedup, "_Slice", lambda *args: made.append(args) or plain_slice(*args))
+    *_, at, of, names, checks, docs = suffix_dedup._opened(block, np.full(len(keys), suffix_dedup._SEVERAL, np.uint8), 50, 300)
+    assert len(made) == len(range(0, len(block.data) - 49, 300))  # each slice once
+    data, least = block.data.tobytes(), {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            least.setdefault(t[k : k + 50], i)
+    assert len(names) == len(least) and len(set(zip(names.tolist(), checks.tolist()))) == len(least)
+    assert all(docs[j] == least[data[k : k + 50]] for k, j in zip(at.tolist(), of.tolist()))
