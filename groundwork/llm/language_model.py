@@ -7,8 +7,8 @@ restaurant and gives its parent's probability. Counts of all training documents
 Seating: the state holds the size of every table. A Gibbs step draws a customer of a dish at random, takes it from its
 table (an empty table leaves the restaurant, and its customer the parent), and seats it again given all tables that
 are there: at a table in proportion to its size less the discount, or at a new one in proportion to the parent's
-probability. A sweep makes one such step for every customer of every pair; all customers of a word in the root are seated
-at once, from their exact conditional. All pairs that end in one word lie
+probability. A sweep makes one such step for every customer of every pair; all customers of a word in the root, or of a
+large pair with few tables, are seated at once from their exact conditional. All pairs that end in one word lie
 in one shard, which knows the word's seating in the root; between sweeps, shards send the tables of their contexts to
 ranges of context hashes, which send back the totals, so a shard's own changes count at once and others' from the next
 sweep on; only the root's two totals reach the driver. The first seating is drawn in growing blocks. A pair that occurs
@@ -53,6 +53,8 @@ ALONE = 96
 _DRAWN = 4096
 #: Customers and tables up to which all of a word in the root are seated at once; words beyond make steps.
 SEATED, SEATED_TABLES = 1 << 16, 24
+#: Customers up to which a pair that steps alone, with few tables, is seated at once.
+SEATED_ALONE = 1 << 13
 END = np.uint64(1)
 
 
@@ -305,7 +307,8 @@ def move(
 
     In a step one customer leaves and one comes. ``mass(dishes, gone)`` is the mass of a new table, where ``gone``
     says that the dish has just lost one; ``changed(dishes, by)`` hears how many tables came or went. Dishes step
-    side by side, but the ``ALONE`` with most steps one after another, if ``single(dish)`` gives their ``mass(by)``.
+    side by side, but the ``ALONE`` with most steps one after another, if ``single(dish)`` gives their ``mass(by)``. Of
+    these, large ones with few tables whose customers all step are seated at once.
     """
     steps = np.maximum(leave, come)
     order = np.argsort(-steps, kind="stable")
@@ -314,11 +317,24 @@ def move(
         return tables, sizes
     source, after = np.cumsum(tables) - tables, tables.copy()
     alone, order = (order[:ALONE], order[ALONE:]) if single else (order[:0], order)
-    apart = []
+    apart: dict[int, list[int] | np.ndarray] = {}
+    joint = {}
     for k in alone.tolist():
-        apart.append(move_one(sizes[source[k] : source[k] + tables[k]].tolist(), int(leave[k]), int(come[k]), single(k), discount, rng))
-        after[k] = len(apart[-1])
+        own, one, t = sizes[source[k] : source[k] + tables[k]], single(k), 0
+        n = int(own.sum())
+        if leave[k] == come[k] == n and 2 * SEATED_TABLES <= n <= SEATED_ALONE and tables[k] <= SEATED_TABLES // 2:
+            masses = np.array([[one(j - int(tables[k]))] for j in range(1, SEATED_TABLES)])
+            t = int(_tables_by(np.array([n]), masses, SEATED_ALONE, discount, rng)[0])
+        if t:
+            joint[k], after[k] = n, t
+        else:
+            apart[k] = move_one(own.tolist(), int(leave[k]), int(come[k]), one, discount, rng)
+            after[k] = len(apart[k])
         changed(np.array([k]), np.array([after[k] - tables[k]]))
+    if joint:
+        at = np.array(list(joint))
+        together = seat_sizes(np.array(list(joint.values())), after[at], discount, rng, SEATED_ALONE)
+        apart |= zip(joint, np.split(together, np.cumsum(after[at])[:-1]))
     steps, leave, come = steps[order], leave[order], come[order]
     held, t = tables[order], tables[order].copy()
     filled = np.repeat(np.arange(len(order)), held)  # the dish of each table
@@ -406,12 +422,12 @@ def move(
     flat = np.empty(int(after.sum()), np.int64)
     flat[_ragged(place[still], after[still])] = sizes[_ragged(source[still], after[still])]
     flat[_ragged(place[order], t)] = size[size > 0]
-    for k, own in zip(alone.tolist(), apart):
+    for k, own in apart.items():
         flat[place[k] : place[k] + len(own)] = own
     return after, flat
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=3)
 def seatings(discount: float, customers: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """By tables t and customers n: seatings of n at t over those where the last n - t open no table; seatings at t over those at t - 1."""
     n = np.arange(customers + 1, dtype=np.float64)
@@ -430,17 +446,23 @@ def seat_tables(customers: np.ndarray, mass: np.ndarray, more: float, discount:
     """Tables of dishes, all customers of a dish drawn together from their exact conditional; 0 where it reaches beyond
     the tabulated ones. A dish's first table has ``mass``, each further one ``more`` than the one before."""
     most = min(SEATED_TABLES, int(customers.max()))
-    _, ratio = seatings(discount, SEATED, SEATED_TABLES)
-    odds = ratio[2 : most + 1, customers] * (mass + more * np.arange(1, most)[:, None])
+    return _tables_by(customers, mass + more * np.arange(1, most)[:, None], SEATED, discount, rng)
+
+
+def _tables_by(customers: np.ndarray, mass: np.ndarray, limit: int, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """As ``seat_tables``, by the masses of each dish's second, third, ... table."""
+    most = len(mass) + 1
+    _, ratio = seatings(discount, limit, SEATED_TABLES)
+    odds = ratio[2 : most + 1, customers] * mass
     upto = np.cumsum(np.concatenate([np.ones((1, len(customers))), np.cumprod(odds, axis=0)]), axis=0)
     tables = 1 + (upto < rng.random(len(customers)) * upto[-1]).sum(axis=0)
     beyond = (customers > most) & (upto[-1] - upto[-2] > 1e-15 * upto[-1]) if most > 1 else customers > most
     return np.where(beyond, 0, tables)
 
 
-def seat_sizes(customers: np.ndarray, tables: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+def seat_sizes(customers: np.ndarray, tables: np.ndarray, discount: float, rng: np.random.Generator, limit: int | None = None) -> np.ndarray:
     """Sizes of dishes' tables given their number, one dish after another: who opened each, then how the others joined."""
-    opened, _ = seatings(discount, SEATED, SEATED_TABLES)
+    opened, _ = seatings(discount, limit or SEATED, SEATED_TABLES)
     order = np.argsort(-tables, kind="stable")
     n, t, wide = customers[order], tables[order], int(tables.max(initial=0))
     first = np.zeros((len(n), wide + 2), np.int64)  # the customer, from 1, that opened each table; after the last one the end

@@ -397,3 +397,17 @@ def test_words_beyond_the_tabulated_seatings_make_steps(monkeypatch):
     for k in range(5):
         s.sweep(1 + k, s.totals())
         assert (np.bincount(np.repeat(np.arange(6), s.root_tables), s.root_sizes, 6) == customers).all() and (s.root_sizes > 0).all()
+
+
+def test_large_pairs_are_seated_at_once_by_the_exact_conditional(monkeypatch):
+    monkeypatch.setattr(language_model, "move_one", None)  # takes no single steps
+    rng, c, d, others, parent = np.random.default_rng(0), 60, 0.7, 2, 0.05
+    want = stirling(c, d) * np.cumprod([parent * (5.0 + d * (others + k)) for k in range(c)])
+    want /= want.sum()
+    tables, sizes, steps, got = np.ones(90, np.int64), np.full(90, c), np.full(90, c), np.zeros(c + 1)
+    for _ in range(60):
+        before = tables
+        tables, sizes = language_model.move(tables, sizes, steps, steps, None, lambda x, by: None, d, rng, lambda k: lambda by: parent * (5.0 + d * (others + before[k] + by)))
+        assert (np.bincount(np.repeat(np.arange(90), tables), sizes) == c).all() and (sizes > 0).all()
+        got += np.bincount(tables, minlength=c + 1) / 5400
+    assert np.abs(got[1:] - want).max() < 0.025
