@@ -30,6 +30,7 @@ import random
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t in blocks_of(batches, "text", BLOCK_CHARS):
-            numbers: dict[bytes, int] = defaultdict()
-            numbers.default_factory = numbers.__len__
+            # not by the dictionary's own length: it would refer to itself, and outlive its block by far in a worker
+            numbers: dict[bytes, int] = defaultdict(count().__next__)
             parts, lengths = [], []
             for batch in t.to_batches():
                 for text in batch.column("text").to_pylist():
@@ -606,8 +607,8 @@ class Sweeps:
         return (own + weight * self.root(totals)[self.word]) / (STRENGTH[1] + context_customers[self.context])
 
 
-_HELD = "shard bigint, asks boolean, contexts binary, own binary"
-_STATE = _HELD + ", counts binary, pairs binary, start binary, tables binary, history binary, root_tables double, root_customers double"
+_STATE = "shard bigint, contexts binary, own binary, counts binary, pairs binary, start binary, tables binary, history binary, root_tables double, root_customers double"
+_SENT = "range bigint, shard bigint, asks boolean, part binary"
 
 
 def _row(columns: str, values: dict) -> pa.Table:
@@ -615,19 +616,46 @@ def _row(columns: str, values: dict) -> pa.Table:
     return pa.table({k: pa.array([values[k]], kinds[kind]) for k, kind in (c.split() for c in columns.split(", "))})
 
 
-def _held(gathered: DataFrame, asks: bool, empty: int) -> DataFrame:
-    """What the shards hold of all their contexts: customers, tables before the first sweep, and ``empty`` zeros each."""
+def _sent(rows: DataFrame, n: int, asks: bool, own: Callable[[dict, int], list[np.ndarray]]) -> DataFrame:
+    """To ranges of context hashes: what the shards hold of their contexts, ``own(row, number of contexts)``. Worked out by the
+    function that sends it, for Python functions that feed one another hold a Python worker each."""
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                _, context, counts = unpack(row["pairs"])
-                n = len(unpack(row["contexts"])[0])
-                sums = [np.bincount(context, w, n).astype("<u4") for w in (counts, counts > 0)]
-                own = pack(*sums, *[np.zeros(n, "<u4")] * empty)
-                yield from _row(_HELD, {"shard": row["shard"], "asks": asks, "contexts": row["contexts"], "own": own}).to_batches()
+                (contexts,) = unpack(row["contexts"])
+                held, edge = own(row, len(contexts)), shard_bounds(contexts, n)
+                kept = np.flatnonzero(np.diff(edge))
+                packed = [pack(_steps(contexts[i:j]), *(x[i:j] for x in held)) for i, j in zip(edge[kept], edge[kept + 1])]
+                columns = [pa.array(kept), pa.array(np.full(len(kept), row["shard"])), pa.array([asks] * len(kept), pa.bool_()), pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "shard", "asks", "part"])
+
+    return rows.mapInArrow(send, _SENT)
+
+
+def _sent_all(gathered: DataFrame, n: int, asks: bool, empty: int) -> DataFrame:
+    """Of all contexts of the shards: customers, tables before the first sweep, and ``empty`` zeros each."""
+
+    def own(row: dict, contexts: int) -> list[np.ndarray]:
+        _, context, counts = unpack(row["pairs"])
+        sums = [np.bincount(context, w, contexts).astype("<u4") for w in (counts, counts > 0)]
+        return [*sums, *[np.zeros(contexts, "<u4")] * empty]
+
+    return _sent(gathered.select("shard", "contexts", "pairs"), n, asks, own)
+
+
+def _sent_own(states: DataFrame, n: int) -> DataFrame:
+    """What the last sweep left at the contexts of the shards' states, which ask for the sums."""
+    return _sent(states.select("shard", "contexts", "own"), n, True, lambda row, contexts: unpack(row["own"]))
+
+
+def _sent_added(states: DataFrame, n: int) -> DataFrame:
+    """What the sampled sweeps added to the tables of each context, in the columns after those of ``_sent_all``."""
+
+    def own(row: dict, contexts: int) -> list[np.ndarray]:
+        return [np.zeros(contexts, "<u4")] * 2 + unpack(row["history"])[2::3]
 
-    return gathered.select("shard", "contexts", "pairs").mapInArrow(hold, _HELD)
+    return _sent(states.select("shard", "contexts", "history"), n, False, own)
 
 
 def _started(gathered: DataFrame) -> DataFrame:
@@ -640,7 +668,7 @@ def _started(gathered: DataFrame) -> DataFrame:
                 more = counts > 1
                 at, context = np.unique(context[more], return_inverse=True)
                 zeros = np.zeros(len(at), "<u4")
-                new = {"shard": row["shard"], "asks": True, "contexts": pack(contexts[at]), "own": pack(zeros, zeros), "counts": row["counts"], "pairs": pack(word[more], context.astype("<u4"), counts[more])}
+                new = {"shard": row["shard"], "contexts": pack(contexts[at]), "own": pack(zeros, zeros), "counts": row["counts"], "pairs": pack(word[more], context.astype("<u4"), counts[more])}
                 s = Sweeps(new, len(at), 0)
                 new |= {"start": None, "tables": None, "history": None, "root_tables": float(s.root_tables.sum()), "root_customers": float(s.customers().sum())}
                 yield from _row(_STATE, new).to_batches()
@@ -648,18 +676,8 @@ def _started(gathered: DataFrame) -> DataFrame:
     return gathered.select("shard", "contexts", "counts", "pairs").mapInArrow(start, _STATE)
 
 
-def _exchanged(held: DataFrame, n: int) -> DataFrame:
-    """By shard that asks and range of context hashes: the sums over all of ``held`` for each of the shard's contexts."""
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                (contexts,), own = unpack(row["contexts"]), unpack(row["own"])
-                edge = shard_bounds(contexts, n)
-                kept = np.flatnonzero(np.diff(edge))
-                packed = [pack(_steps(contexts[i:j]), *(x[i:j] for x in own)) for i, j in zip(edge[kept], edge[kept + 1])]
-                columns = [pa.array(kept), pa.array(np.full(len(kept), row["shard"])), pa.array([row["asks"]] * len(kept)), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["range", "shard", "asks", "part"])
+def _exchanged(sent: DataFrame) -> DataFrame:
+    """By shard that asks and range of context hashes: the sums over all that was ``sent`` for each of the shard's contexts."""
 
     def add(t: pa.Table) -> pa.Table:
         parts = [unpack(x) for x in t["part"].to_pylist()]
@@ -670,7 +688,6 @@ def _exchanged(held: DataFrame, n: int) -> DataFrame:
         packed = [pack(*(x[of[cut[k] : cut[k + 1]]] for x in totals)) for k in asked.tolist()]
         return pa.table({"shard": t["shard"].take(pa.array(asked)), "range": t["range"].take(pa.array(asked)), "total": pa.array(packed, pa.binary())})
 
-    sent = held.select("shard", "asks", "contexts", "own").mapInArrow(send, "range bigint, shard bigint, asks boolean, part binary")
     return sent.groupBy("range").applyInArrow(add, "shard bigint, range bigint, total binary")
 
 
@@ -702,19 +719,6 @@ def _swept(states: DataFrame, totals: DataFrame, number: int, root: list[float],
     return states.groupBy("shard").cogroup(totals.groupBy("shard")).applyInArrow(sweep, _STATE)
 
 
-def _added(states: DataFrame) -> DataFrame:
-    """What the sampled sweeps added to the tables of each context, in the columns after those of ``_held``."""
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                added = unpack(row["history"])[2::3]
-                zeros = np.zeros(len(added[0]), "<u4")
-                yield from _row(_HELD, {"shard": row["shard"], "asks": False, "contexts": row["contexts"], "own": pack(zeros, zeros, *added)}).to_batches()
-
-    return states.select("shard", "contexts", "history").mapInArrow(hold, _HELD)
-
-
 def _answers(gathered: DataFrame, states: DataFrame, n: int, roots: list[list[float]], vocabulary: int) -> DataFrame:
     """By block and shard: counts of the block's words and log probabilities of its pairs. ``roots``: the root's totals after each sampled sweep."""
 
@@ -733,7 +737,7 @@ def _answers(gathered: DataFrame, states: DataFrame, n: int, roots: list[list[fl
             out.append(pack(s.counts[of_word].astype("<u4"), pair[of_pair].astype("<f4")))
         return pa.table({"block": pa.array(row["blocks"], pa.int64()), "shard": pa.array([row["shard"]] * len(out), pa.int64()), "answer": pa.array(out, pa.binary())})
 
-    totals = _exchanged(_held(gathered, True, len(roots)).unionAll(_added(states)), n)
+    totals = _exchanged(_sent_all(gathered, n, True, len(roots)).unionAll(_sent_added(states, n)))
     right = totals.unionAll(states.select("shard", F.lit(-1).cast("bigint").alias("range"), F.col("history").alias("total")))
     return gathered.drop("types", "contexts").groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(answer, "block bigint, shard bigint, answer binary")
 
@@ -778,10 +782,10 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", burn_in:
     states = written(_started(gathered), "lm-state")
     roots = [_root(states)]
     for number in range(1 + burn_in + samples):
-        held = states if number else _held(gathered, False, 0).unionAll(states.select("shard", "asks", "contexts", "own"))
-        before, states = states, written(_swept(states, _exchanged(held, ranges), number, roots[-1], types, number > burn_in), "lm-state")
+        sent = _sent_own(states, ranges) if number else _sent_all(gathered, ranges, False, 0).unionAll(_sent_own(states, ranges))
+        before, states = states, written(_swept(states, _exchanged(sent), number, roots[-1], types, number > burn_in), "lm-state")
         discard(before)
-        del held, before
+        del sent, before
         roots.append(_root(states))
         release(spark)
     answers = written(_answers(gathered, states, ranges, roots[burn_in + 2 :], types), "lm-answers")

@@ -1,3 +1,4 @@
+import gc
 import hashlib
 import math
 import random
@@ -6,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, empty, words
 from pyspark.sql import functions as F
@@ -411,3 +413,43 @@ def test_large_pairs_are_seated_at_once_by_the_exact_conditional(monkeypatch):
         assert (np.bincount(np.repeat(np.arange(90), tables), sizes) == c).all() and (sizes > 0).all()
         got += np.bincount(tables, minlength=c + 1) / 5400
     assert np.abs(got[1:] - want).max() < 0.025
+
+
+def test_a_task_of_the_language_model_keeps_one_python_worker(spark, sf_dir, monkeypatch):
+    """No Python function feeds another without a shuffle between them: each would hold a worker of its own."""
+    frames, write = [], language_model.written
+    monkeypatch.setattr(language_model, "written", lambda df, name: frames.append(df) or write(df, name))
+    frames.append(language_model.scored(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+    def most(node):
+        """Python functions on a path without a shuffle: most on any below, and on the one that ends here."""
+        children, name = node.children(), node.nodeName()
+        below, here = (max(x, default=0) for x in zip(*(most(children.apply(i)) for i in range(children.size())))) if children.size() else (0, 0)
+        here = 0 if "Exchange" in name else here + ("InArrow" in name)
+        return max(below, here), here
+
+    plans = [df._jdf.queryExecution().executedPlan() for df in frames]
+    chains = [most(p.initialPlan() if p.nodeName() == "AdaptiveSparkPlan" else p)[0] for p in plans]
+    assert len(chains) == 11 and set(chains) == {1}
+
+
+def test_a_worker_lets_go_of_the_words_of_a_block(monkeypatch):
+    """Without waiting for Python's collector of cycles, which seldom runs where most objects are bytes and arrays."""
+    docs = pa.table({"doc_id": [1, 2], "text": ["a b a", None], "held": [False, True]})
+    monkeypatch.setattr(language_model, "blocks_of", lambda batches, text, limit: [(0, docs)])
+
+    class Frame:
+        mapInArrow = staticmethod(lambda number, schema: number)
+
+    gc.collect()
+    gc.disable()
+    gc.set_debug(gc.DEBUG_SAVEALL)
+    try:
+        (row,) = [r for b in language_model.numbered(Frame)(iter([])) for r in b.to_pylist()]
+        gc.collect()
+        left = [x for x in gc.garbage if isinstance(x, dict) and b"a" in x]
+    finally:
+        gc.set_debug(0)
+        gc.garbage.clear()
+        gc.enable()
+    assert row["trained"] == 4 and not left
