@@ -26,3 +26,16 @@ def test_a_dataset_without_any_key_is_keyless_only(spark, tmp_path):
     got, want = both(spark, tmp_path, "dataset_issues", orders=orders, customer=customers)
     assert got == want
     assert {r[1] for r in got if r[0] == "dataset.keys"} == {"3"} and {r[1] for r in got if r[0] == "dataset.keyless"} == {"1", "2", "3"}
+
+
+#: Headings cut within a reference, as they are in the given pages, and references to other signs without their end.
+PAGES = [
+    (1, "https://a.example/x", '<html lang="en"><head><title>Tom &amp;&amp</title></head><body><nav><ul><li><a href="/a">A&am</a></li></ul></nav><article><h1>Tom &amp;&amp</h1><p><b>Tom &amp;&amp;</b> said &quot;so&quot;<br>&copy; &ampx; &#65 &</p></article></body></html>'),
+    (2, "https://a.example/y", '<html lang="de"><head><title>&quot;Ja&quot</title></head><body><article><h1>&quot;Ja&quot</h1><p>1 &lt 2 &lt; 3 &notit; &copy</p></article><footer>&copy; &middot; &#x27;22&nbsp</footer></body></html>'),
+], "page_id long, url string, html string"
+
+
+def test_references_without_a_semicolon_stay_in_blocks(spark, tmp_path):
+    got, want = both(spark, tmp_path, "page_blocks", pages=PAGES)
+    assert got == want
+    assert {r[4] for r in got} == {"", "Tom &&amp", '"Ja&quot'}
