@@ -39,3 +39,9 @@ def test_references_without_a_semicolon_stay_in_blocks(spark, tmp_path):
     got, want = both(spark, tmp_path, "page_blocks", pages=PAGES)
     assert got == want
     assert {r[4] for r in got} == {"", "Tom &&amp", '"Ja&quot'}
+
+
+def test_references_without_a_semicolon_stay_in_facts(spark, tmp_path):
+    got, want = both(spark, tmp_path, "page_facts", pages=PAGES)
+    assert got == want
+    assert [r[1] for r in got] == ["Tom &&amp", '"Ja&quot'] and all(r[-1] for r in got)
