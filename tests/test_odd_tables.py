@@ -45,3 +45,9 @@ def test_references_without_a_semicolon_stay_in_facts(spark, tmp_path):
     got, want = both(spark, tmp_path, "page_facts", pages=PAGES)
     assert got == want
     assert [r[1] for r in got] == ["Tom &&amp", '"Ja&quot'] and all(r[-1] for r in got)
+
+
+def test_references_without_a_semicolon_stay_in_sections(spark, tmp_path):
+    got, want = both(spark, tmp_path, "page_sections", pages=PAGES)
+    assert got == want
+    assert {r[2] for r in got} == {"", "Tom &&amp", '"Ja&quot'}
