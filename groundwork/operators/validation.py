@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date
 from typing import NamedTuple
 
@@ -85,17 +86,21 @@ def _counts(rows: DataFrame, by: Column, stated: dict[str, int], rule: str) -> D
     return have.agg(pairs.alias("have")).filter(F.col("have") != want).select(F.lit(rule).alias("rule"), F.lit("manifest").alias("key"))
 
 
-def release_issues(r: Release, m: Manifest, jurisdiction: str) -> DataFrame:
-    """rule, key of everything that a release has wrong. ``jurisdiction`` is the pattern of its codes.
+def issue_parts(r: Release, m: Manifest, jurisdiction: str) -> Iterator[DataFrame]:
+    """The issues of ``release_issues`` in parts, each with shuffles of its own: written one after another, no more than
+    those of one part lie on the executors' disks at a time.
 
     Every rule is a filter, an anti join or a count; parts meet by their ids, so none is held by one task or the driver.
     """
     c, listed = F.col, lambda a: F.coalesce(a, F.array().cast("array<string>"))
     blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
-    out = []
-    for name, rows, key in (("document", r.documents, "document_id"), ("topic", r.topics, "topic_id"), ("concept", r.concepts, "concept_id"), ("fact", r.facts, "fact_id"), ("evidence", r.evidence, "evidence_id"), ("institution", r.institutions, "institution_id")):
-        out.append(_found(rows.groupBy(key).agg(F.count("*").alias("n")), key, **{f"{name}__duplicate": c("n") > 1, f"{name}__id": ~c(key).rlike(IDENTIFIER)}))
+    b = lambda f: c(f"basis.{f}")
 
+    def ids(name: str, rows: DataFrame) -> DataFrame:
+        key = f"{name}_id"
+        return _found(rows.groupBy(key).agg(F.count("*").alias("n")), key, **{f"{name}__duplicate": c("n") > 1, f"{name}__id": ~c(key).rlike(IDENTIFIER)})
+
+    out = [ids("document", r.documents), ids("topic", r.topics), ids("concept", r.concepts), ids("institution", r.institutions)]
     names = r.concepts.select(c("concept_id").alias("by"), F.explode(listed(c("fact_ids"))).alias("fact_id"))
     of = r.facts.select("fact_id", "concept_id", "jurisdiction")
     met = names.join(of, "fact_id", "left")
@@ -112,48 +117,63 @@ def release_issues(r: Release, m: Manifest, jurisdiction: str) -> DataFrame:
     pairs = names.select(c("by").alias("concept_id"), "fact_id", F.lit(True).alias("listed")).distinct()
     formed = c("jurisdiction").rlike(jurisdiction)
     facts = r.facts.join(schema, "concept_id", "left").join(pairs, ["concept_id", "fact_id"], "left")
-    out.append(_found(
+    out += [ids("fact", r.facts), _found(
         facts, "fact_id", fact__unknown_concept=c("known").isNull(), fact__unlisted=c("known") & c("listed").isNull(), fact__jurisdiction=~formed, fact__undeclared_jurisdiction=formed & ~c("jurisdiction").isin(m.jurisdictions),
         fact__statement=blank("statement"), fact__validity=c("valid_through") < c("valid_from"),
-    ))
+    )]
     allowed = F.try_element_at(c("context_schema"), c("field"))
     has = F.coalesce(F.array_contains(F.map_keys("context_schema"), c("field")), F.lit(False))
-    conditions = facts.select("fact_id", "context_schema", F.explode("condition").alias("field", "value"))
+    conditions = r.facts.select("fact_id", "concept_id", F.explode("condition").alias("field", "value")).join(schema, "concept_id", "left")
     out.append(_found(conditions, "fact_id", fact__condition_field=~has, fact__condition_value=has & allowed.isNotNull() & ~F.array_contains(allowed, c("value"))))
-    cited = r.facts.select("fact_id", c("jurisdiction").alias("of"), F.posexplode(listed(c("evidence_ids"))).alias("at", "evidence_id"))
-    out.append(_without(r.evidence, "evidence.uncited", "evidence_id", "evidence_id", cited))
-
-    b = lambda f: c(f"basis.{f}")
-    spoken, lacks = c("language").rlike(LANGUAGE), b("kind").isin(*NORM_KINDS) & blank(b("norm"))
-    docs = r.documents.select("document_id", c("content_sha256").alias("d_content"), c("raw_sha256").alias("d_raw"), c("institution_id").alias("d_institution"), F.lit(True).alias("known"))
-    known = c("known").isNotNull()
-    out.append(_found(
-        r.evidence.join(docs, "document_id", "left"), "evidence_id", evidence__document=~known, evidence__offsets=(c("end") <= c("start")) | (F.length("excerpt") != c("end") - c("start")),
-        evidence__excerpt_hash=F.sha2("excerpt", 256) != c("excerpt_sha256"), evidence__language=~spoken, evidence__undeclared_language=spoken & ~c("language").isin(m.languages),
-        evidence__content_hash=c("content_sha256") != c("d_content"), evidence__raw_hash=c("raw_sha256") != c("d_raw"), evidence__institution=known & ~c("institution_id").eqNullSafe(c("d_institution")),
-        evidence__basis=c("basis").isNull() & c("institution_id").isNotNull(), evidence__norm=lacks,
-        evidence__label=c("basis").isNotNull() & ~F.coalesce(lacks, F.lit(False)) & ~b("label").eqNullSafe(basis_label(b("level"), b("kind"), b("norm"), b("refers_to"))),
-    ))
+    yield _all(out)
 
     i = r.institutions
     levels = F.element_at(F.array(*map(F.lit, LEVELS)), level_of(c("jurisdiction")) + 1)
     named = r.documents.filter("institution_id is not null")
-    out += [
+    cited = r.facts.select("fact_id", c("jurisdiction").alias("of"), F.posexplode(listed(c("evidence_ids"))).alias("at", "evidence_id"))
+    speaking = r.evidence.filter("institution_id is not null").select("evidence_id", "institution_id").join(i.select("institution_id", c("jurisdiction").alias("speaks")), "institution_id")
+    yield _all([
+        ids("evidence", r.evidence), _found(cited.join(speaking, "evidence_id"), "fact_id", fact__institution=~contains_place(c("speaks"), c("of"))),
         _found(i, "institution_id", institution__jurisdiction=~formed, institution__level=formed & (levels != c("level")), institution__name=blank("name")),
         _without(i, "institution.uncited", "institution_id", "institution_id", named), _without(named, "document.institution", "document_id", "institution_id", i),
         _without(r.documents, "document.uncited", "document_id", "document_id", r.evidence), _found(r.documents, "document_id", document__accessed=c("accessed_on") > F.lit(m.snapshot_date)),
         r.documents.filter("institution_id is null").join(i.limit(1).select(F.lit(True).alias("any")), F.lit(True), "left_semi").select(F.lit("document.no_institution").alias("rule"), c("document_id").cast("string").alias("key")),
-    ]
-    met = cited.join(r.evidence.select("evidence_id", "basis", "institution_id", F.lit(True).alias("there")), "evidence_id", "left").join(i.select("institution_id", c("jurisdiction").alias("speaks")), "institution_id", "left")
-    out.append(_found(met, "fact_id", fact__evidence=c("there").isNull(), fact__institution=~contains_place(c("speaks"), c("of"))))
-    best = met.filter("basis is not null").groupBy("fact_id").agg(F.max_by("basis", F.struct(weight_of(b("kind"), BASIS_WEIGHTS), -c("at"))).alias("best"))
-    rests = r.facts.select("fact_id", "jurisdiction", "basis").join(best, "fact_id", "left")
-    out += [
-        _found(rests, "fact_id", fact__basis=~c("basis").eqNullSafe(c("best")), fact__federal_basis=(level_of(c("jurisdiction")) == 0) & (b("level") != "federal")),
         _counts(r.facts, c("kind"), m.provenance_kinds, "manifest.provenance_kinds"), _counts(r.facts, c("review_status"), m.review_statuses, "manifest.review_statuses"),
         _counts(r.facts, b("kind"), m.basis_kinds, "manifest.basis_kinds"), _counts(r.documents.join(i, "institution_id"), c("level"), m.institution_levels, "manifest.institution_levels"),
-    ]
-    every = out[0]
-    for rows in out[1:]:
+    ])
+
+    # what a row of evidence says by itself needs no document
+    spoken, lacks = c("language").rlike(LANGUAGE), b("kind").isin(*NORM_KINDS) & blank(b("norm"))
+    docs = r.documents.select("document_id", c("content_sha256").alias("d_content"), c("raw_sha256").alias("d_raw"), c("institution_id").alias("d_institution"), F.lit(True).alias("known"))
+    known = c("known").isNotNull()
+    yield _all([
+        _found(
+            r.evidence, "evidence_id", evidence__offsets=(c("end") <= c("start")) | (F.length("excerpt") != c("end") - c("start")), evidence__excerpt_hash=F.sha2("excerpt", 256) != c("excerpt_sha256"),
+            evidence__language=~spoken, evidence__undeclared_language=spoken & ~c("language").isin(m.languages), evidence__basis=c("basis").isNull() & c("institution_id").isNotNull(), evidence__norm=lacks,
+            evidence__label=c("basis").isNotNull() & ~F.coalesce(lacks, F.lit(False)) & ~b("label").eqNullSafe(basis_label(b("level"), b("kind"), b("norm"), b("refers_to"))),
+        ),
+        _found(
+            r.evidence.select("evidence_id", "document_id", "content_sha256", "raw_sha256", "institution_id").join(docs, "document_id", "left"), "evidence_id", evidence__document=~known,
+            evidence__content_hash=c("content_sha256") != c("d_content"), evidence__raw_hash=c("raw_sha256") != c("d_raw"), evidence__institution=known & ~c("institution_id").eqNullSafe(c("d_institution")),
+        ),
+    ])
+
+    yield _without(r.evidence, "evidence.uncited", "evidence_id", "evidence_id", cited)
+    yield _without(cited, "fact.evidence", "fact_id", "evidence_id", r.evidence)
+
+    met = cited.select("fact_id", "at", "evidence_id").join(r.evidence.filter("basis is not null").select("evidence_id", "basis"), "evidence_id")
+    best = met.groupBy("fact_id").agg(F.max_by("basis", F.struct(weight_of(b("kind"), BASIS_WEIGHTS), -c("at"))).alias("best"))
+    rests = r.facts.select("fact_id", "jurisdiction", "basis").join(best, "fact_id", "left")
+    yield _found(rests, "fact_id", fact__basis=~c("basis").eqNullSafe(c("best")), fact__federal_basis=(level_of(c("jurisdiction")) == 0) & (b("level") != "federal"))
+
+
+def release_issues(r: Release, m: Manifest, jurisdiction: str) -> DataFrame:
+    """rule, key of everything that a release has wrong. ``jurisdiction`` is the pattern of its codes."""
+    return _all(list(issue_parts(r, m, jurisdiction)))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    every = parts[0]
+    for rows in parts[1:]:
         every = every.unionAll(rows)
     return every
